@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slotframe.functions.base58 import base58, base58_list
+from slotframe.functions.base58 import base58, base58_list, key_literal
 from slotframe.functions.names import DISCRIMINATOR_BYTES, sanitize_name
 from slotframe.plans.layout import (OK, UNKNOWN, Compiler, Outcome, Pos, Stages, compile_layout,
                                     layout_compiles)
@@ -173,12 +173,19 @@ def decode_all(df: DataFrame, interface: Interface, kind: str = "instruction", d
         pick([o.trailing for o in outcomes], nothing, "int").alias("trailing_bytes"))
 
 
+def program_literal(df: DataFrame, interface: Interface) -> Column:
+    """The program's id in the form the table holds it: key bytes or text."""
+    if isinstance(df.schema["program_id"].dataType, T.BinaryType):
+        return key_literal(interface.program_id)
+    return F.lit(interface.program_id)
+
+
 def typed_instructions(dispatched: DataFrame, interface: Interface, name: str, data: str = "data",
                        indexed_at: Column | None = None) -> DataFrame:
     """Rows of one ``{program}_ix_{name}`` table; an instruction without arguments still gives its row."""
     layout = interface.find("instruction", name)
     key = ["transaction_signature", "outer_index", "inner_index", "instruction_index"]
-    rows = dispatched.where((F.col("program_id") == interface.program_id) & (F.col("name") == name))
+    rows = dispatched.where((F.col("program_id") == program_literal(dispatched, interface)) & (F.col("name") == name))
     decoded = decode_table(rows.select(*key, data), interface, layout, data, keep=key)
     return decoded.withColumn("indexed_at", F.current_timestamp() if indexed_at is None else indexed_at)
 
@@ -188,7 +195,7 @@ def typed_accounts(dispatched: DataFrame, interface: Interface, name: str, data:
     """Rows of one account table: typed fields and the whole object as JSON in ``data_json``."""
     layout = interface.find("account", name)
     keep = keep or [c for c in dispatched.columns if c not in (data, "name", "matched", "fields")]
-    rows = dispatched.where((F.col("program_id") == interface.program_id) & (F.col("name") == name))
+    rows = dispatched.where((F.col("program_id") == program_literal(dispatched, interface)) & (F.col("name") == name))
     return decode_table(rows, interface, layout, data, keep=keep, json_column="data_json")
 
 
