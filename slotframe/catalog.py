@@ -112,6 +112,11 @@ def decoded_one(df: DataFrame, interface: Interface, **kw: object) -> DataFrame:
     return dc.decode_table(df, interface, interface.instructions[0], keep=[], **kw)
 
 
+def minus(name: str) -> Column:
+    """A nullable integer with -1 for NULL, so that results compare as plain integers."""
+    return F.coalesce(F.col(name), F.lit(-1)).alias(name)
+
+
 def key_text(keys: Column) -> Column:
     """Account keys as one text, ``-`` where a key is missing."""
     return F.array_join(F.transform(keys, lambda k: F.coalesce(hexed(k), F.lit("-"))), ",")
@@ -146,7 +151,8 @@ def backfill_since(spark, sf):
     return ledger.backfill(fx.transactions(spark, sf), (700, "700"), oldest_first=True)
 
 
-@query(f"""WITH {SQL_TX} SELECT * FROM tx WHERE (slot, signature) < (1200, '1200') AND (slot, signature) > (10, '10')
+@query(f"""WITH {SQL_TX} SELECT * FROM tx 
+WHERE (slot < 1200 OR (slot = 1200 AND signature < '1200')) AND (slot > 10 OR (slot = 10 AND signature > '10'))
 ORDER BY slot DESC, signature DESC LIMIT 100""")
 def keyset_page(spark, sf):
     return ledger.keyset_page(fx.transactions(spark, sf), 100, (1200, "1200"), (10, "10"))
@@ -394,22 +400,30 @@ def cut_read(spark: SparkSession, sf: str) -> DataFrame:
                        "part", "supplier", "decode_status", "failed_field", "failed_offset", "trailing_bytes")
 
 
-@query(f"WITH {SQL_CUT} SELECT * FROM cut_read")
+CUT_COLUMNS = ["order", "line", "part", "supplier", "failed_offset", "trailing_bytes"]
+SQL_CUT_COLUMNS = ", ".join(f'coalesce("{c}", -1) AS "{c}"' for c in CUT_COLUMNS) + ", decode_status, failed_field"
+
+
+def cut_columns(df: DataFrame) -> DataFrame:
+    return df.select(*[minus(c) for c in CUT_COLUMNS], "decode_status", "failed_field")
+
+
+@query(f"WITH {SQL_CUT} SELECT {SQL_CUT_COLUMNS} FROM cut_read")
 def decode_partial(spark, sf):
-    return cut_read(spark, sf)
+    return cut_columns(cut_read(spark, sf))
 
 
-@query(f"WITH {SQL_CUT} SELECT * FROM cut_read WHERE decode_status <> 'ok'")
+@query(f"WITH {SQL_CUT} SELECT {SQL_CUT_COLUMNS} FROM cut_read WHERE decode_status <> 'ok'")
 def quarantine(spark, sf):
-    return dc.quarantine(cut_read(spark, sf))
+    return cut_columns(dc.quarantine(cut_read(spark, sf)))
 
 
-@query("""SELECT d.doc_id AS doc, l.quality, -l.toxic AS toxic, 42 AS "end", 'ok' AS decode_status
+@query("""SELECT d.doc_id AS doc, coalesce(l.quality, -1) AS quality, coalesce(-l.toxic, 9) AS toxic, 42 AS "end", 'ok' AS decode_status
 FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def decode_option(spark, sf):
     rows = decoded_one(fx.option_payloads(spark, sf), fx.OPTIONS)
-    return rows.select(F.col("doc").cast("bigint").alias("doc"), F.col("quality").cast("int").alias("quality"),
-                       "toxic", F.col("end").cast("int").alias("end"), "decode_status")
+    return rows.select(F.col("doc").cast("bigint").alias("doc"), F.coalesce(F.col("quality").cast("int"), F.lit(-1)).alias("quality"),
+                       F.coalesce("toxic", F.lit(9)).alias("toxic"), F.col("end").cast("int").alias("end"), "decode_status")
 
 
 SQL_VECTORS = """SELECT vec_id AS id, label, CAST(i - 1 AS INTEGER) AS pos, CAST(embedding[i] AS DOUBLE) AS item,
@@ -434,7 +448,7 @@ def decode_array(spark, sf):
 
 @query("""SELECT conv_id AS conv, CASE WHEN role <> 'system' THEN role END AS role,
 CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 9 END AS role_index,
-CASE WHEN role = 'system' THEN 'Plain' ELSE 'Said' END AS body, CASE WHEN role <> 'system' THEN turn END AS turn,
+CASE WHEN role = 'system' THEN 'Plain' ELSE 'Said' END AS body, CASE WHEN role <> 'system' THEN turn ELSE -1 END AS turn,
 CASE WHEN role <> 'system' THEN "text" END AS "text",
 CASE WHEN role = 'system' THEN '{"variant":9}' ELSE '"' || role || '"' END AS role_json,
 CASE WHEN role = 'system' THEN '"Plain"' END AS body_json FROM conversations""")
@@ -445,7 +459,7 @@ def decode_enum(spark, sf):
     return rows.select(
         F.col("conv").cast("bigint").alias("conv"), F.col("role.variant").alias("role"),
         F.col("role.idx").cast("int").alias("role_index"), F.col("body.variant").alias("body"),
-        F.col("body.Said.turn").alias("turn"), F.col("body.Said.text").alias("text"),
+        F.coalesce("body.Said.turn", F.lit(-1)).alias("turn"), F.col("body.Said.text").alias("text"),
         F.to_json(F.variant_get(shown, "$.role", "variant")).alias("role_json"), plain.alias("body_json"))
 
 
@@ -460,7 +474,7 @@ def decode_primitives(spark, sf):
 
 
 def sql_word(digest: str, at: int) -> str:
-    pairs = " || ".join(f"substr({digest}, {at + 15 - 2 * i}, 2)" for i in range(8))
+    pairs = " || ".join(f"substr({digest}, {at + 14 - 2 * i}, 2)" for i in range(8))
     return f"CAST(CAST('0x' || {pairs} AS UBIGINT) AS UHUGEINT)"
 
 
@@ -490,11 +504,11 @@ def decode_string(spark, sf):
                        F.col("raw").cast("string").alias("raw"), "n", "decode_status")
 
 
-@query(f"""WITH {SQL_FLAT} SELECT CAST(o_orderkey AS VARCHAR) AS transaction_signature, outer_index, inner_index,
+@query(f"""WITH {SQL_FLAT} SELECT CAST(o_orderkey AS VARCHAR) AS transaction_signature, outer_index, coalesce(inner_index, -1) AS inner_index,
 instruction_index, o_orderkey AS "order", o_custkey AS customer FROM flat WHERE name = 'placeOrder'""")
 def typed_ix(spark, sf):
     rows = dc.typed_instructions(dispatched(spark, sf), desk(), "placeOrder")
-    return rows.select("transaction_signature", "outer_index", "inner_index", "instruction_index",
+    return rows.select("transaction_signature", "outer_index", minus("inner_index"), "instruction_index",
                        *[F.col(c).cast("bigint").alias(c) for c in ("order", "customer")])
 
 
@@ -528,12 +542,12 @@ def decode_report(spark, sf):
     return dc.decode_report(desk_ledger(spark, sf), by=("name",))
 
 
-@query(f"""WITH {SQL_FLAT} SELECT CAST(o_orderkey AS VARCHAR) AS transaction_signature, outer_index, inner_index, name,
+@query(f"""WITH {SQL_FLAT} SELECT CAST(o_orderkey AS VARCHAR) AS transaction_signature, outer_index, coalesce(inner_index, -1) AS inner_index, name,
 CASE name WHEN 'placeOrder' THEN '{{"order":' || o_orderkey || ',"customer":' || o_custkey || '}}'
   WHEN 'note' THEN '{{"text":"' || o_orderpriority || '","order":' || o_orderkey || '}}' END AS args
 FROM flat WHERE program = '{DESK_HEX}'""")
 def decode_all(spark, sf):
-    return desk_ledger(spark, sf).select("transaction_signature", "outer_index", "inner_index", "name", "args")
+    return desk_ledger(spark, sf).select("transaction_signature", "outer_index", minus("inner_index"), "name", "args")
 
 
 @query()
@@ -579,11 +593,11 @@ def unpack_report(spark, sf):
 
 
 def flat_columns(df: DataFrame) -> DataFrame:
-    return df.select("transaction_signature", "slot", "outer_index", "inner_index", "instruction_index",
+    return df.select("transaction_signature", "slot", "outer_index", minus("inner_index"), "instruction_index",
                      hexed(F.col("program_id")).alias("program"), hexed(F.col("data")).alias("data"))
 
 
-SQL_FLAT_COLUMNS = """CAST(o_orderkey AS VARCHAR) AS transaction_signature, o_orderkey AS slot, outer_index, inner_index,
+SQL_FLAT_COLUMNS = """CAST(o_orderkey AS VARCHAR) AS transaction_signature, o_orderkey AS slot, outer_index, coalesce(inner_index, -1) AS inner_index,
 instruction_index, program, data"""
 
 
@@ -597,7 +611,7 @@ def flatten_inner(spark, sf):
     return flat_columns(flat(spark, sf).where(F.col("inner_index").isNotNull()))
 
 
-@query(f"""WITH {SQL_FLAT} SELECT CAST(o_orderkey AS VARCHAR) AS transaction_signature, outer_index, inner_index, accounts,
+@query(f"""WITH {SQL_FLAT} SELECT CAST(o_orderkey AS VARCHAR) AS transaction_signature, outer_index, coalesce(inner_index, -1) AS inner_index, accounts,
 replace(accounts, ',-', '') AS compact FROM flat""")
 def resolve_accounts(spark, sf):
     compact = fl.flatten_instructions(fx.raw_transactions(spark, sf), compact=True)
@@ -605,23 +619,23 @@ def resolve_accounts(spark, sf):
     both = flat(spark, sf).select(*key, "accounts").withColumn(
         "compact", F.filter("accounts", lambda a: a.isNotNull()))
     assert both.select("compact").schema == compact.select(F.col("accounts").alias("compact")).schema
-    return both.select(*key, key_text(F.col("accounts")).alias("accounts"), key_text(F.col("compact")).alias("compact"))
+    return both.select("transaction_signature", "outer_index", minus("inner_index"), key_text(F.col("accounts")).alias("accounts"), key_text(F.col("compact")).alias("compact"))
 
 
-@query(f"""WITH {SQL_FLAT} SELECT CAST(o_orderkey AS VARCHAR) AS transaction_signature, outer_index, inner_index
+@query(f"""WITH {SQL_FLAT} SELECT CAST(o_orderkey AS VARCHAR) AS transaction_signature, outer_index, coalesce(inner_index, -1) AS inner_index
 FROM flat WHERE program = '{PRICES_HEX}'""")
 def for_programs(spark, sf):
-    return ledger.for_programs(flat(spark, sf), [fx.PRICES]).select("transaction_signature", "outer_index", "inner_index")
+    return ledger.for_programs(flat(spark, sf), [fx.PRICES]).select("transaction_signature", "outer_index", minus("inner_index"))
 
 
 @query(f"""WITH {SQL_FLAT}, hit AS (
   SELECT o_orderkey, outer_index, inner_index, {SQL_KEY_C} AS pubkey FROM flat WHERE name IN ('placeOrder', 'note')
   UNION ALL SELECT o_orderkey, outer_index, inner_index, {SQL_KEY_O} FROM flat WHERE name = 'placeOrder'
   UNION ALL SELECT o_orderkey, outer_index, inner_index, accounts FROM flat WHERE name = 'price')
-SELECT CAST(o_orderkey AS VARCHAR) AS transaction_signature, outer_index, inner_index, pubkey FROM hit""")
+SELECT CAST(o_orderkey AS VARCHAR) AS transaction_signature, outer_index, coalesce(inner_index, -1) AS inner_index, pubkey FROM hit""")
 def touched(spark, sf):
     rows = fl.touched_accounts(dispatched(spark, sf))
-    return rows.select("transaction_signature", "outer_index", "inner_index", hexed(F.col("pubkey")).alias("pubkey"))
+    return rows.select("transaction_signature", "outer_index", minus("inner_index"), hexed(F.col("pubkey")).alias("pubkey"))
 
 
 # ---- listings ---------------------------------------------------------------

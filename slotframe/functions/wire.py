@@ -24,7 +24,7 @@ def word(data: Column, at: Column, size: int) -> Column:
     digits = F.hex(piece(data, at, size))
     if size == 1:
         return F.conv(digits, 16, 10).cast("bigint")
-    swapped = F.conv(F.reverse(digits), 16, -10).cast("bigint")
+    swapped = F.conv(F.reverse(digits), 16, -10).cast("bigint")  # hex text, so characters are digits
     mask = F.lit(LOW_DIGITS)
     return F.shiftleft(swapped.bitwiseAND(mask), 4).bitwiseOR(
         F.shiftrightunsigned(swapped, 4).bitwiseAND(mask))

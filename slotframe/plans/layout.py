@@ -42,25 +42,44 @@ def layout_compiles(layout: Layout) -> bool:
 
 
 class Stages:
-    """Intermediate columns, grouped by depth; each depth becomes one select."""
+    """Intermediate columns: positions grouped by depth, each depth one select, then number words.
+
+    Between the two stands a one-row ``inline``. A filter on a decoded column would
+    otherwise be pushed below the positions and spelled out in terms of the bytes,
+    which doubles it at every depth. Filters on the other columns pass through the
+    generator and still reach the scan; layouts of fixed size have no positions and
+    no generator.
+    """
 
     def __init__(self, prefix: str):
         self.prefix = prefix
         self.levels: list[list[Column]] = []
-        self.count = 0
+        self.names: list[str] = []
+        self.words: list[Column] = []
 
     def put(self, value: Column, depth: int) -> tuple[Column, int]:
-        name = f"{self.prefix}{self.count}"
-        self.count += 1
+        """Stage a position (or anything positions depend on)."""
+        name = f"{self.prefix}{len(self.names)}"
+        self.names.append(name)
         while len(self.levels) <= depth:
             self.levels.append([])
         self.levels[depth].append(value.alias(name))
         return F.col(name), depth + 1
 
+    def put_word(self, value: Column) -> Column:
+        """Stage a number word, which a formula uses several times."""
+        name = f"{self.prefix}w{len(self.words)}"
+        self.words.append(value.alias(name))
+        return F.col(name)
+
     def apply(self, df: DataFrame) -> DataFrame:
+        given = df.columns
         for level in self.levels:
             df = df.select("*", *level)
-        return df
+        if self.names:
+            row = F.struct(*[F.col(n) for n in self.names])
+            df = df.select(*given, F.inline(F.array(row)).alias(*self.names))
+        return df.select("*", *self.words) if self.words else df
 
 
 @dataclass(frozen=True)
@@ -94,24 +113,32 @@ class Compiler:
     def fixed_value(self, node: object, at: Column) -> Column:
         if isinstance(node, Prim):
             return wire.read_fixed(self.data, at, node.name)
+        if isinstance(node, Seq):
+            return self.items(node, at, F.lit(node.count))
         if isinstance(node, Rec):
             parts, shift = [], 0
             for name, item in node.fields:
                 parts.append(self.fixed_value(item, at + shift).alias(name))
                 shift += fixed_size(item)
             return F.struct(*parts) if parts else F.struct()
-        if isinstance(node, Sum):
-            return self.unit_variant(node, wire.word(self.data, at, 1))
+        return self.unit_variant(node, wire.word(self.data, at, 1))
+
+    def items(self, node: Seq, at: Column, count: Column) -> Column:
+        """``count`` items of fixed size. Numbers are built from an array of words, so each word is read once."""
         size = fixed_size(node.item)
-        if node.count == 0:
-            return F.array().cast(spark_type(node))
-        return F.transform(F.sequence(F.lit(0), F.lit(node.count - 1)),
-                           lambda i: self.fixed_value(node.item, at + i * size))
+        steps = F.when(count > 0, F.sequence(F.lit(0), count.cast("int") - 1)) \
+            .otherwise(F.array().cast("array<int>"))
+        if isinstance(node.item, Prim) and node.item.name in wire.NUMBERS:
+            widths, build = wire.NUMBERS[node.item.name]
+            if len(widths) == 1:
+                read = F.transform(steps, lambda i: wire.word(self.data, at + i * size, size))
+                return F.transform(read, build)
+        return F.transform(steps, lambda i: self.fixed_value(node.item, at + i * size))
 
     def staged_value(self, node: object, pos: Pos) -> Column:
         """:meth:`fixed_value`, with the words of a number staged since its formula uses them repeatedly."""
         if isinstance(node, Prim) and node.name in wire.NUMBERS:
-            staged = [self.stages.put(w, pos.depth)[0] for w in wire.words(self.data, pos.at(), node.name)]
+            staged = [self.stages.put_word(w) for w in wire.words(self.data, pos.at(), node.name)]
             return wire.NUMBERS[node.name][1](*staged)
         return self.fixed_value(node, pos.at())
 
@@ -175,9 +202,7 @@ class Compiler:
             value = wire.piece(self.data, start, end - start)
         else:
             item_fail = self.item_fail(node.item, start, size)
-            steps = F.sequence(F.lit(0), count.cast("int") - 1)
-            items = F.transform(steps, lambda i: self.fixed_value(node.item, start + i * size))
-            value = F.when(count == 0, F.array().cast(spark_type(node))).otherwise(items)
+            value = self.items(node, start, count)
         fail = F.when(~has_count, pos.at()).when(end.isNull() & count.isNotNull(), item_fail)
         return Read(F.when(end.isNotNull(), value), fail, Pos(end, 0, depth))
 
