@@ -96,12 +96,8 @@ def flat(spark: SparkSession, sf: str) -> DataFrame:
     return fl.flatten_instructions(fx.raw_transactions(spark, sf))
 
 
-def desk_definitions(spark: SparkSession) -> DataFrame:
-    return df_.by_key_bytes(df_.build_registry(fx.desk_documents(spark)).instructions)
-
-
 def dispatched(spark: SparkSession, sf: str) -> DataFrame:
-    return dispatch(flat(spark, sf), desk_definitions(spark))
+    return dispatch(flat(spark, sf), [desk(), parse_interface(fx.prices_document())])
 
 
 def desk() -> Interface:
@@ -359,13 +355,7 @@ def wallets() -> Interface:
 
 def wallet_states(spark: SparkSession, sf: str, events: DataFrame | None = None) -> DataFrame:
     raw = fx.raw_accounts_of(fx.table(spark, sf, "events") if events is None else events)
-    return dispatch(raw.withColumnRenamed("owner", "program_id"), wallet_definitions(spark))
-
-
-def wallet_definitions(spark: SparkSession) -> DataFrame:
-    import json
-    documents = spark.createDataFrame([(json.dumps(fx.wallet_document()),)], "json string")
-    return df_.build_registry(documents).accounts
+    return dispatch(raw.withColumnRenamed("owner", "program_id"), [wallets()], "account")
 
 
 @query("""SELECT CASE event_type WHEN 'error' THEN 'unknown' ELSE upper(substr(event_type, 1, 1)) || substr(event_type, 2) END
@@ -924,7 +914,7 @@ def snapshot_delta(spark, sf):
     events = fx.table(spark, sf, "events")
     past = events.where(F.col("ts") < F.lit("2024-01-20").cast("timestamp_ntz"))
     previous = snapshot.digest(wallet_states(spark, sf, past).where("matched"))
-    changed = snapshot.snapshot_job(fx.raw_accounts_of(events), wallet_definitions(spark), previous, ["wallets"])
+    changed = snapshot.snapshot_job(fx.raw_accounts_of(events), [wallets()], previous, ["wallets"])
     return changed.select("name", "pubkey", "slot")
 
 

@@ -128,11 +128,6 @@ def prices_document() -> dict:
         {"name": "price", "args": _args(amount="u64"), "accounts": [{"name": "subject", "writable": True}]}]}
 
 
-def desk_documents(spark: SparkSession) -> DataFrame:
-    """(json) of the two programs that the raw transactions call."""
-    return spark.createDataFrame([(json.dumps(desk_document()),), (json.dumps(prices_document()),)], "json string")
-
-
 def one_layout(name: str, fields: list, types: list = ()) -> Interface:
     """A definition with a single instruction."""
     return parse_interface({"address": "fixture", "metadata": {"name": "fixture"}, "types": list(types),

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from slotframe.functions.base58 import decode_values
 from slotframe.functions.names import DISCRIMINATOR_BYTES
+from slotframe.plans.types import Interface
 
 UNKNOWN_NAME = "unknown"
 BROADCAST_ROWS = 200_000   # about 20 MB of definitions
@@ -27,31 +30,54 @@ def first_definitions(definitions: DataFrame) -> DataFrame:
 
 
 def attach_small(facts: DataFrame, small: DataFrame, on: list[str], rows_limit: int = BROADCAST_ROWS,
-                 salt_by: list[str] | None = None) -> DataFrame:
+                 salt_by: list[str] | None = None, known_rows: int | None = None) -> DataFrame:
     """Left join with a lookup table that has one row per key.
 
-    The lookup's rows are counted first. Within the limit it is broadcast, so the
-    facts are not shuffled. Beyond it the lookup is copied ``SALTS`` times and the
-    facts are spread over the copies, so no single key fills one task.
+    The lookup's rows are counted first, unless their number is known. Within the
+    limit it is broadcast, so the facts are not shuffled. Beyond it the lookup is
+    copied ``SALTS`` times and the facts are spread over the copies, so no single
+    key fills one task.
     """
-    if small.limit(rows_limit + 1).count() <= rows_limit:
+    rows = small.limit(rows_limit + 1).count() if known_rows is None else known_rows
+    if rows <= rows_limit:
         return facts.join(F.broadcast(small), on, "left")
     spread = F.pmod(F.xxhash64(*(salt_by or facts.columns)), F.lit(SALTS)).cast("int")
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return facts.withColumn("_salt", spread).join(copies, [*on, "_salt"], "left").drop("_salt")
 
 
-def dispatch(df: DataFrame, definitions: DataFrame, data: str = "data",
-             rows_limit: int = BROADCAST_ROWS) -> DataFrame:
+def definition_rows(df: DataFrame, interfaces: list[Interface], kind: str) -> DataFrame:
+    """Definitions held by the driver as a lookup table, first per discriminator, keyed like ``df``."""
+    as_bytes = isinstance(df.schema["program_id"].dataType, T.BinaryType)
+    first: dict[tuple, tuple] = {}
+    for face in interfaces:
+        key = decode_values([face.program_id])[0] if as_bytes else face.program_id
+        for x in face.layouts(kind):
+            if len(x.discriminator) == DISCRIMINATOR_BYTES:
+                first.setdefault((key, x.discriminator), (x.program, x.name, list(x.writable)))
+    schema = T.StructType([
+        T.StructField("program_id", df.schema["program_id"].dataType),
+        T.StructField("discriminator", T.BinaryType()), T.StructField("program", T.StringType()),
+        T.StructField("name", T.StringType()), T.StructField("writable_positions", T.ArrayType(T.IntegerType()))])
+    return df.sparkSession.createDataFrame([(*k, *v) for k, v in first.items()], schema)
+
+
+def dispatch(df: DataFrame, definitions: DataFrame | list[Interface], kind: str = "instruction",
+             data: str = "data", rows_limit: int = BROADCAST_ROWS) -> DataFrame:
     """Adds the columns of the matching definition and ``matched``; nothing matches a short payload.
 
-    ``definitions`` is the instruction or the account table of a registry. Rows
-    without a match keep their bytes and are named ``unknown``.
+    ``definitions`` is the instruction or account table of a registry, or a list of
+    interfaces (then ``kind`` says which of the two). Rows without a match keep their
+    bytes and are named ``unknown``.
     """
-    known = first_definitions(definitions).withColumnRenamed("discriminator", "_prefix") \
-        .withColumn("matched", F.lit(True))
+    if isinstance(definitions, DataFrame):
+        known, count = first_definitions(definitions), None
+    else:
+        known = definition_rows(df, definitions, kind)
+        count = sum(len(face.layouts(kind)) for face in definitions)
+    known = known.withColumnRenamed("discriminator", "_prefix").withColumn("matched", F.lit(True))
     keyed = df.withColumn("_prefix", prefix(F.col(data)))
-    joined = attach_small(keyed, known, ["program_id", "_prefix"], rows_limit, salt_by=[data])
+    joined = attach_small(keyed, known, ["program_id", "_prefix"], rows_limit, salt_by=[data], known_rows=count)
     return (joined.drop("_prefix")
             .withColumn("matched", F.coalesce("matched", F.lit(False)))
             .withColumn("name", F.coalesce("name", F.lit(UNKNOWN_NAME))))

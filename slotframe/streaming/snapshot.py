@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from slotframe.operators.dispatch import dispatch
 from slotframe.operators.lookups import latest_accounts
+from slotframe.plans.types import Interface
 from slotframe.sources.ledger import scan_accounts
 
 KEY = ["program_id", "name", "pubkey"]
@@ -17,7 +18,7 @@ def digest(df: DataFrame, data: str = "data") -> DataFrame:
     return df.withColumn("data_hash", F.sha2(F.col(data), 256))
 
 
-def snapshot_job(raw_accounts: DataFrame, definitions: DataFrame, previous: DataFrame,
+def snapshot_job(raw_accounts: DataFrame, definitions: DataFrame | list[Interface], previous: DataFrame,
                  program_ids: list | DataFrame | None = None) -> DataFrame:
     """Accounts of known types whose bytes differ from the last stored state.
 
@@ -26,7 +27,7 @@ def snapshot_job(raw_accounts: DataFrame, definitions: DataFrame, previous: Data
     counts once, with its latest observation.
     """
     rows = raw_accounts if program_ids is None else scan_accounts(raw_accounts, program_ids)
-    typed = dispatch(rows.withColumnRenamed("owner", "program_id"), definitions).where("matched")
+    typed = dispatch(rows.withColumnRenamed("owner", "program_id"), definitions, "account").where("matched")
     current = latest_accounts(digest(typed), tuple(KEY))
     stored = latest_accounts(previous.select(*KEY, "observed_at", "slot", "data_hash"), tuple(KEY))
     known = stored.select(*KEY, F.col("data_hash").alias("stored_hash"))
