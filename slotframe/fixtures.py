@@ -47,22 +47,30 @@ def drain(stream: DataFrame, label: str) -> DataFrame:
 
 # ---- encoders ---------------------------------------------------------------
 
+SWAP = 0x0F0F0F0F0F0F0F0F
+
+
 def le(value: Column, size: int) -> Column:
     """The low ``size`` bytes of an integer, lowest first."""
-    digits = F.lpad(F.hex(value.cast("bigint")), 16, "0")
-    return F.unhex(F.concat(*[F.substring(digits, 15 - 2 * i, 2) for i in range(size)]))
+    number = value.cast("bigint")
+    swapped = F.shiftleft(number.bitwiseAND(F.lit(SWAP)), 4).bitwiseOR(
+        F.shiftrightunsigned(number, 4).bitwiseAND(F.lit(SWAP)))
+    return F.substring(F.unhex(F.reverse(F.lpad(F.hex(swapped), 16, "0"))), 1, size)
 
 
-@F.arrow_udf(T.BinaryType())
-def _double_bytes(values: pa.Array) -> pa.Array:
-    raw = np.asarray(values.to_numpy(zero_copy_only=False), dtype="<f8").tobytes()
-    return pa.array([raw[i:i + 8] for i in range(0, len(raw), 8)], pa.binary())
+def pack(*pairs: tuple[Column, str]) -> Column:
+    """Columns without NULLs side by side as BINARY, given with their NumPy codes (``<u8``, ``<f4``, ...)."""
+    layout = np.dtype([(f"f{i}", code) for i, (_, code) in enumerate(pairs)])
 
+    @F.arrow_udf(T.BinaryType())
+    def packed(*columns: pa.Array) -> pa.Array:
+        rows = np.empty(len(columns[0]), dtype=layout)
+        for name, column in zip(layout.names, columns):
+            rows[name] = column.to_numpy(zero_copy_only=False).astype(layout[name])
+        ends = np.arange(len(rows) + 1, dtype=np.int32) * layout.itemsize
+        return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(rows.tobytes())])
 
-@F.arrow_udf(T.BinaryType())
-def _float_bytes(values: pa.Array) -> pa.Array:
-    raw = np.asarray(values.to_numpy(zero_copy_only=False), dtype="<f4").tobytes()
-    return pa.array([raw[i:i + 4] for i in range(0, len(raw), 4)], pa.binary())
+    return packed(*[column for column, _ in pairs])
 
 
 @F.arrow_udf(T.BinaryType())
@@ -70,18 +78,16 @@ def _float_list_bytes(values: pa.Array) -> pa.Array:
     return pa.array([np.asarray(v, dtype="<f4").tobytes() for v in values.to_pylist()], pa.binary())
 
 
-def f64_bytes(value: Column) -> Column:
-    return _double_bytes(value)
-
-
-def f32_bytes(value: Column) -> Column:
-    return _float_bytes(value)
-
-
 def f32_list_bytes(values: Column) -> Column:
     return _float_list_bytes(values)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows over all cores, where the table is too few files for that."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores, *keys)
+
+
 def text_bytes(text: Column) -> Column:
     raw = text.cast("binary")
     return F.concat(le(F.length(raw), 4), raw)
@@ -192,7 +198,7 @@ def raw_transactions_of(orders: DataFrame) -> DataFrame:
 
 
 def raw_transactions(spark: SparkSession, sf: str) -> DataFrame:
-    return raw_transactions_of(table(spark, sf, "orders"))
+    return raw_transactions_of(spread(table(spark, sf, "orders"), "o_orderkey"))
 
 
 def wire_transactions(spark: SparkSession, sf: str) -> DataFrame:
@@ -226,12 +232,16 @@ FILL = one_layout("fill", _args(order="u64", line="u8", part="u64", supplier="u6
                                 discount="f64", tax="f64"))
 
 
+def lines(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber")
+
+
 def fill_payloads(spark: SparkSession, sf: str) -> DataFrame:
     """Line items as fixed-size binary payloads."""
-    parts = [disc("fill"), le(F.col("l_orderkey"), 8), le(F.col("l_linenumber"), 1), le(F.col("l_partkey"), 8),
-             le(F.col("l_suppkey"), 8)]
-    parts += [f64_bytes(F.col(c)) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]
-    return table(spark, sf, "lineitem").select(F.concat(*parts).alias("data"))
+    kinds = {"l_orderkey": "<i8", "l_linenumber": "<u1", "l_partkey": "<i8", "l_suppkey": "<i8", "l_quantity": "<f8",
+             "l_extendedprice": "<f8", "l_discount": "<f8", "l_tax": "<f8"}
+    body = pack(*[(F.col(c), code) for c, code in kinds.items()])
+    return lines(spark, sf).select(F.concat(disc("fill"), body).alias("data"))
 
 
 CUT = one_layout("cut", _args(order="u64", line="u8", part="u32", supplier="i64"))
@@ -239,9 +249,10 @@ CUT = one_layout("cut", _args(order="u64", line="u8", part="u32", supplier="i64"
 
 def cut_payloads(spark: SparkSession, sf: str) -> DataFrame:
     """Line items as payloads that end early, right on time, or late, by line number."""
-    whole = F.concat(disc("cut"), le(F.col("l_orderkey"), 8), le(F.col("l_linenumber"), 1),
-                     le(F.col("l_partkey"), 4), le(F.col("l_suppkey"), 8), F.lit(b"\xff" * 14))
-    return table(spark, sf, "lineitem").select(
+    body = pack(*[(F.col(c), code) for c, code in (("l_orderkey", "<i8"), ("l_linenumber", "<u1"),
+                                                   ("l_partkey", "<u4"), ("l_suppkey", "<i8"))])
+    whole = F.concat(disc("cut"), body, F.lit(b"\xff" * 14))
+    return lines(spark, sf).select(
         F.substring(whole, F.lit(1), F.lit(8) + F.col("l_linenumber") * 5).alias("data"))
 
 
@@ -251,10 +262,10 @@ NUMBERS = one_layout("numbers", _args(
 
 def number_payloads(spark: SparkSession, sf: str) -> DataFrame:
     line, part, order = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_orderkey")
-    return table(spark, sf, "lineitem").select(F.concat(
-        disc("numbers"), F.when(F.col("l_linestatus") == "O", F.lit(b"\x02")).otherwise(F.lit(b"\x00")),
-        le(line + 200, 1), le(-line, 1), le(part % 65536, 2), le(-(part % 32768), 2), le(part + 3000000000, 4),
-        le(-part, 4), F.concat(F.substring(le(order, 8), 1, 7), F.lit(b"\x80")), le(-order, 8)).alias("data"))
+    first = pack((F.when(F.col("l_linestatus") == "O", 2).otherwise(0), "<u1"), (line + 200, "<u1"), (-line, "<i1"),
+                 (part % 65536, "<u2"), (-(part % 32768), "<i2"), (part + 3000000000, "<u4"), (-part, "<i4"))
+    large = F.concat(F.substring(le(order, 8), 1, 7), F.lit(b"\x80"))
+    return lines(spark, sf).select(F.concat(disc("numbers"), first, large, le(-order, 8)).alias("data"))
 
 
 WIDE = one_layout("wide", _args(order="u64", u="u128", i="i128"))
@@ -262,7 +273,7 @@ WIDE = one_layout("wide", _args(order="u64", u="u128", i="i128"))
 
 def wide_payloads(spark: SparkSession, sf: str) -> DataFrame:
     digest = F.unhex(F.md5(F.col("o_orderkey").cast("string")))
-    return table(spark, sf, "orders").select(
+    return spread(table(spark, sf, "orders"), "o_orderkey").select(
         F.concat(disc("wide"), le(F.col("o_orderkey"), 8), digest, digest).alias("data"))
 
 
@@ -271,9 +282,8 @@ FLOATS = one_layout("floats", _args(price="f64", negative="f64", small="f32", ra
 
 def float_payloads(spark: SparkSession, sf: str) -> DataFrame:
     price = F.col("l_extendedprice")
-    return table(spark, sf, "lineitem").select(F.concat(
-        disc("floats"), f64_bytes(price), f64_bytes(-price * F.col("l_discount")),
-        f32_bytes(price.cast("float")), f32_bytes(F.col("l_tax").cast("float"))).alias("data"))
+    body = pack((price, "<f8"), (-price * F.col("l_discount"), "<f8"), (price, "<f4"), (F.col("l_tax"), "<f4"))
+    return lines(spark, sf).select(F.concat(disc("floats"), body).alias("data"))
 
 
 TEXTS = one_layout("texts", _args(doc="u64", text="string", lang={"option": "string"}, raw="bytes", n="i64"))
@@ -281,7 +291,7 @@ TEXTS = one_layout("texts", _args(doc="u64", text="string", lang={"option": "str
 
 def text_payloads(spark: SparkSession, sf: str) -> DataFrame:
     lang = F.when(F.col("lang") != "en", F.col("lang"))
-    return table(spark, sf, "documents").select(F.concat(
+    return spread(table(spark, sf, "documents"), "doc_id").select(F.concat(
         disc("texts"), le(F.col("doc_id"), 8), text_bytes(F.col("text")), option_bytes(lang, text_bytes(lang)),
         text_bytes(F.col("source")), le(-F.col("n_chars"), 8)).alias("data"))
 
@@ -304,7 +314,7 @@ ARRAYS = one_layout("arrays", _args(id="u64", items={"array": ["f32", 64]}, labe
 def vector_payloads(spark: SparkSession, sf: str, counted: bool) -> DataFrame:
     items = f32_list_bytes(F.col("embedding"))
     count = [le(F.size("embedding"), 4)] if counted else []
-    return table(spark, sf, "embeddings").select(F.concat(
+    return spread(table(spark, sf, "embeddings"), "vec_id").select(F.concat(
         disc("vectors" if counted else "arrays"), le(F.col("vec_id"), 8), *count, items,
         le(F.col("label"), 4)).alias("data"))
 
@@ -341,7 +351,7 @@ def raw_accounts_of(events: DataFrame) -> DataFrame:
     """Events as account states: one account per user and kind."""
     k = F.get_json_object("props", "$.k").cast("int")
     kind = F.initcap("event_type")
-    data = F.concat(account_discriminator(kind), le(k, 4), f64_bytes(F.col("value")),
+    data = F.concat(account_discriminator(kind), pack((F.coalesce(k, F.lit(0)), "<u4"), (F.col("value"), "<f8")),
                     option_bytes(F.when(k > 50, kind), text_bytes(kind)))
     return events.select(
         F.col("user_id").cast("string").alias("pubkey"), F.lit("wallets").alias("owner"), data.alias("data"),
@@ -409,6 +419,6 @@ def shop_payloads(spark: SparkSession, sf: str) -> DataFrame:
     """Line items as payloads of their supplier's program; seventh lines are too short to match."""
     name = F.concat(F.lit("fill_"), F.lower("l_returnflag"), F.lower("l_linestatus"))
     data = F.concat(instruction_discriminator(name), le(F.col("l_orderkey"), 8))
-    return table(spark, sf, "lineitem").select(
+    return lines(spark, sf).select(
         F.col("l_suppkey").cast("string").alias("program_id"),
         F.when(F.col("l_linenumber") == 7, F.substring(data, 1, 7)).otherwise(data).alias("data"))

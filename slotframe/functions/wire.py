@@ -31,8 +31,9 @@ def word(data: Column, at: Column, size: int) -> Column:
 
 
 def _unsigned_decimal(bits: Column) -> Column:
-    wide = bits.cast("decimal(21,0)")
-    return F.when(bits < 0, wide + F.expr(TWO_64)).otherwise(wide)
+    """The 64 bits of a BIGINT as an unsigned number."""
+    plain = bits.cast("decimal(20,0)")
+    return F.when(bits < 0, (plain + F.expr(TWO_64)).cast("decimal(20,0)")).otherwise(plain)
 
 
 def _signed(bits: Column, size: int) -> Column:
@@ -118,7 +119,7 @@ NUMBERS = {
     "i16": ((2,), lambda w: _signed(w, 2).cast("smallint")),
     "u32": ((4,), lambda w: w),
     "i32": ((4,), lambda w: _signed(w, 4).cast("int")),
-    "u64": ((8,), lambda w: _unsigned_decimal(w).cast("decimal(20,0)")),
+    "u64": ((8,), _unsigned_decimal),
     "i64": ((8,), lambda w: w),
     "u128": ((8, 8), _u128),
     "i128": ((8, 8), _i128),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from slotframe.operators.tables import extreme_by
+
 BLOCK_SLOTS = 4096
 
 
@@ -32,10 +34,7 @@ def orphans(instructions: DataFrame, transactions: DataFrame) -> DataFrame:
 def latest_accounts(states: DataFrame, key: tuple[str, ...] = ("program", "account_type", "pubkey"),
                     order: tuple[str, ...] = ("observed_at", "slot")) -> DataFrame:
     """The current state of every account. Reduced before the shuffle; ties are settled by all columns."""
-    rest = [c for c in states.columns if c not in key]
-    ties = [c for c in rest if c not in order]
-    newest = F.max_by(F.struct(*rest), F.struct(*order, *ties))
-    return states.groupBy(*key).agg(newest.alias("s")).select(*key, "s.*").select(*states.columns)
+    return extreme_by(states, list(key), list(order), largest=True)
 
 
 def account_state_at(touched: DataFrame, states: DataFrame, mode: str = "asof") -> DataFrame:

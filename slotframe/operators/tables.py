@@ -17,15 +17,33 @@ def slot_bucket(slot: Column) -> Column:
     return F.floor(slot / BUCKET_SLOTS)
 
 
-def first_by(df: DataFrame, key: list[str], order: list[str | Column]) -> DataFrame:
-    """One row per key, the smallest by ``order``.
+def _sortable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _sortable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_sortable(f.dataType) for f in kind)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
+def extreme_by(df: DataFrame, key: list[str], order: list[str], largest: bool) -> DataFrame:
+    """One row per key, the smallest or largest by ``order``, ties settled by the other columns.
 
     An aggregate rather than a window: copies of a key are reduced before the shuffle,
     so a key that holds much of the table never meets in one task.
     """
-    rest = [c for c in df.columns if c not in key]
-    first = df.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r"))
-    return first.select(*key, "_r.*").select(*df.columns)
+    rest = [c for c in df.columns if c not in key and c not in order]
+    ties = [c for c in rest if _sortable(df.schema[c].dataType)]
+    pick, pick_by = (F.max, F.max_by) if largest else (F.min, F.min_by)
+    if len(ties) == len(rest):
+        one = pick(F.struct(*order, *rest))
+    else:
+        one = pick_by(F.struct(*order, *rest), F.struct(*order, *ties))
+    return df.groupBy(*key).agg(one.alias("_r")).select(*key, "_r.*").select(*df.columns)
+
+
+def first_by(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The first row of every key."""
+    return extreme_by(df, key, order, largest=False)
 
 
 def covered(target: DataFrame, batch: DataFrame, prune: str | None) -> DataFrame:
@@ -45,7 +63,7 @@ def new_only(batch: DataFrame, target: DataFrame, key: list[str], prune: str | N
     return batch.join(covered(target, batch, prune).select(*key), key, "left_anti")
 
 
-def insert_if_absent(batch: DataFrame, target: DataFrame, key: list[str], order: list[str | Column],
+def insert_if_absent(batch: DataFrame, target: DataFrame, key: list[str], order: list[str],
                      prune: str | None = None) -> DataFrame:
     """The rows to append: one per new key, the first by ``order``."""
     return new_only(first_by(batch, key, order), covered(target, batch, prune), key)
@@ -58,11 +76,9 @@ def upsert(target: DataFrame, batch: DataFrame, key: list[str], order: list[str]
     The largest by ``order`` wins. With ``monotonic=False`` any batch row beats the
     stored one (last write wins), and ``order`` decides within the batch.
     """
-    rest = [c for c in target.columns if c not in key]
     both = target.withColumn("_new", F.lit(0)).unionByName(batch.withColumn("_new", F.lit(1)))
     rank = [*order, "_new"] if monotonic else ["_new", *order]
-    merged = both.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*rank)).alias("_r"))
-    return merged.select(*key, "_r.*").select(*target.columns)
+    return extreme_by(both, key, rank, largest=True).select(*target.columns)
 
 
 # ---- stored tables ----------------------------------------------------------

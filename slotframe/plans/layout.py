@@ -273,10 +273,10 @@ def compile_layout(layout: Layout, compiler: Compiler, start: Pos) -> Outcome:
             break
         reads.append(compiler.read(node, pos))
         pos = reads[-1].after
-    fails = [r.fail for r in reads]
-    failed = F.coalesce(*fails) if fails else F.lit(None).cast("int")
-    failed_index = F.coalesce(*[F.when(f.isNotNull(), F.lit(i)) for i, f in enumerate(fails)]) \
-        if fails else F.lit(None).cast("int")
+    # Staged, since the outcome columns all use them.
+    index = [F.when(r.fail.isNotNull(), F.lit(i)) for i, r in enumerate(reads)]
+    failed = compiler.stages.put_word(F.coalesce(*[r.fail for r in reads], F.lit(None).cast("int")))
+    failed_index = compiler.stages.put_word(F.coalesce(*index, F.lit(None).cast("int")))
     values = []
     for i, (_, node) in enumerate(layout.fields):
         if i < len(reads):
