@@ -522,8 +522,7 @@ def populate(spark, sf):
 
 def desk_ledger(spark: SparkSession, sf: str) -> DataFrame:
     """Calls of the desk program, decoded to JSON arguments in one pass."""
-    rows = dispatched(spark, sf).where(F.col("program_id") == F.lit(fx.DESK))
-    return dc.decode_all(rows, desk())
+    return dc.decode_ledger(fx.raw_transactions(spark, sf), [desk()])
 
 
 @query(f"""WITH {SQL_FLAT} SELECT name, CASE WHEN name = 'unknown' THEN 'unknown' ELSE 'ok' END AS decode_status,
@@ -540,7 +539,23 @@ def decode_all(spark, sf):
     return desk_ledger(spark, sf).select("transaction_signature", "outer_index", minus("inner_index"), "name", "args")
 
 
-@query()
+@query(f"""WITH {SQL_FLAT} SELECT CAST(o_orderkey AS VARCHAR) AS transaction_signature, outer_index,
+coalesce(inner_index, -1) AS inner_index, name AS instruction_name, program, data AS raw_data,
+len(string_split(accounts, ',')) AS n_accounts, CASE WHEN name = 'unknown' THEN 'unknown' ELSE 'ok' END AS decode_status,
+CASE name WHEN 'placeOrder' THEN CAST(o_custkey AS VARCHAR) WHEN 'note' THEN o_orderpriority WHEN 'unknown' THEN 'null'
+  ELSE 'amount' END AS shown FROM flat WHERE program IS NOT NULL""")
+def instructions_table(spark, sf):
+    """The published instructions table of two programs, straight from raw transactions."""
+    faces = [desk(), parse_interface(fx.prices_document())]
+    rows = dc.publish_instructions(dc.decode_ledger(fx.raw_transactions(spark, sf), faces), json_null=True)
+    shown = F.coalesce(F.try_variant_get("args", "$.customer", "string"), F.try_variant_get("args", "$.text", "string"),
+                       F.when(F.is_variant_null("args"), "null").otherwise("amount"))
+    return rows.select("transaction_signature", "outer_index", minus("inner_index"), "instruction_name",
+                       hexed(unbase58(F.col("program_id"))).alias("program"), hexed(F.col("raw_data")).alias("raw_data"),
+                       F.size("accounts").cast("bigint").alias("n_accounts"), "decode_status", shown.alias("shown"))
+
+
+@query("""SELECT doc_id AS id, CAST(len(string_split("text", chr(10))) AS INTEGER) AS n_lines, "text" FROM documents""")
 def decode_nested_lists(spark, sf):
     """Lists of varying-size items: the layouts that are read by the row walker."""
     face = fx.one_layout("pages", [{"name": "id", "type": "u64"}, {"name": "lines", "type": {"vec": "string"}}])
@@ -553,10 +568,6 @@ def decode_nested_lists(spark, sf):
                        F.array_join("lines", "\n").alias("text"))
 
 
-ORACLES["decode_nested_lists"] = """SELECT doc_id AS id, CAST(len(string_split("text", chr(10))) AS INTEGER) AS n_lines, "text"
-FROM documents"""
-
-
 # ---- transactions and instructions ------------------------------------------
 
 @query(f"WITH {SQL_TX} SELECT * FROM tx")

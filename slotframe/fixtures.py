@@ -70,7 +70,7 @@ def pack(*pairs: tuple[Column, str]) -> Column:
         ends = np.arange(len(rows) + 1, dtype=np.int32) * layout.itemsize
         return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(rows.tobytes())])
 
-    return packed(*[column for column, _ in pairs])
+    return packed.asNondeterministic()(*[column for column, _ in pairs])
 
 
 @F.arrow_udf(T.BinaryType())
@@ -79,7 +79,7 @@ def _float_list_bytes(values: pa.Array) -> pa.Array:
 
 
 def f32_list_bytes(values: Column) -> Column:
-    return _float_list_bytes(values)
+    return _float_list_bytes.asNondeterministic()(values)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

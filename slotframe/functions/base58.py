@@ -129,9 +129,14 @@ def unbase58(text: Column) -> Column:
     return _decode(text)
 
 
-def key_literal(text: str) -> Column:
-    """A base58 key as a BINARY literal, so that a filter on it is pushed to the scan."""
+def key_bytes(text: str) -> bytes:
+    """The bytes of one base58 key, on the driver."""
     raw = decode_values([text])[0]
     if raw is None:
         raise ValueError(f"not base58: {text!r}")
-    return F.lit(raw)
+    return raw
+
+
+def key_literal(text: str) -> Column:
+    """A base58 key as a BINARY literal, so that a filter on it is pushed to the scan."""
+    return F.lit(key_bytes(text))

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slotframe.functions.base58 import base58, base58_list, key_literal
+from slotframe.functions.base58 import base58, base58_list, key_bytes, key_literal
 from slotframe.functions.names import DISCRIMINATOR_BYTES, sanitize_name
+from slotframe.operators.dispatch import dispatch
+from slotframe.operators.flatten import flatten_instructions
 from slotframe.plans.layout import (OK, UNKNOWN, Compiler, Outcome, Pos, Stages, compile_layout,
                                     layout_compiles)
 from slotframe.plans.schemas import column_names
@@ -93,14 +95,14 @@ def fields_json(layout: Layout, outcome: Outcome) -> Column:
 
 # ---- decode -----------------------------------------------------------------
 
-def _outcomes(df: DataFrame, interface: Interface, layouts: list[Layout], data: str,
+def _outcomes(df: DataFrame, chosen: list[tuple[Interface, Layout]], data: str,
               conditions: list[Column] | None, with_json: bool) -> tuple[DataFrame, list[Outcome], list[Column]]:
     """Stage what all layouts need together, so that several layouts cost one pass."""
     df = df.withColumn("_length", F.length(data))
     stages = Stages("_s")
     compiler = Compiler(F.col(data), F.col("_length"), stages)
     outcomes, texts = [], []
-    for k, layout in enumerate(layouts):
+    for k, (interface, layout) in enumerate(chosen):
         native = layout_compiles(layout) and not (
             with_json and any(not renders(t) for _, t in layout.fields if not has_node(t, Unknown)))
         if native:
@@ -136,7 +138,7 @@ def decode_table(df: DataFrame, interface: Interface, layout: Layout, data: str
     too short keeps the fields read before the failing one.
     """
     keep = df.columns if keep is None else keep
-    staged, (outcome,), (text,) = _outcomes(df, interface, [layout], data, None, json_column is not None)
+    staged, (outcome,), (text,) = _outcomes(df, [(interface, layout)], data, None, json_column is not None)
     names = column_names(layout)
     typed = [v.cast(spark_type(t)).alias(names[i])
              for i, (v, (_, t)) in enumerate(zip(outcome.values, layout.fields))]
@@ -144,24 +146,30 @@ def decode_table(df: DataFrame, interface: Interface, layout: Layout, data: str
     return staged.select(*keep, *typed, *shown, *_outcome_columns(outcome))
 
 
-def decode_all(df: DataFrame, interface: Interface, kind: str = "instruction", data: str = "data",
-               name: str = "name", json_column: str = "args") -> DataFrame:
-    """Every definition of one program in a single pass, fields as JSON text.
+def decode_all(df: DataFrame, interfaces: Interface | list[Interface], kind: str = "instruction",
+               data: str = "data", name: str = "name", json_column: str = "args") -> DataFrame:
+    """Every definition of the given programs in a single pass, fields as JSON text.
 
-    Expects dispatched rows (``name`` set). Rows named ``unknown`` get no JSON and
-    status ``unknown``. Other programs' rows must be filtered away before.
+    Expects dispatched rows (``program_id`` and ``name`` set). Rows without a
+    definition get no JSON and status ``unknown``.
     """
-    layouts = [x for i, x in enumerate(interface.layouts(kind))
-               if all(y.name != x.name for y in interface.layouts(kind)[:i])]
-    conditions = [F.col(name) == x.name for x in layouts]
+    faces = [interfaces] if isinstance(interfaces, Interface) else interfaces
+    chosen, conditions = [], []
+    for face in faces:
+        seen: set[str] = set()
+        for layout in face.layouts(kind):
+            if layout.name not in seen:
+                seen.add(layout.name)
+                chosen.append((face, layout))
+                conditions.append((F.col(name) == layout.name) & (F.col("program_id") == program_literal(df, face)))
     keep = df.columns
-    staged, outcomes, texts = _outcomes(df, interface, layouts, data, conditions, True)
+    staged, outcomes, texts = _outcomes(df, chosen, data, conditions, True)
 
-    def pick(values: list[Column], default: Column, kind_: str) -> Column:
+    def pick(values: list[Column], default: Column, as_type: str) -> Column:
         out = None
         for condition, value in zip(conditions, values):
             out = F.when(condition, value) if out is None else out.when(condition, value)
-        return (default if out is None else out.otherwise(default)).cast(kind_)
+        return (default if out is None else out.otherwise(default)).cast(as_type)
 
     nothing = F.lit(None)
     return staged.select(
@@ -173,6 +181,33 @@ def decode_all(df: DataFrame, interface: Interface, kind: str = "instruction", d
         pick([o.trailing for o in outcomes], nothing, "int").alias("trailing_bytes"))
 
 
+def args_variant(text: Column, json_null: bool = False) -> Column:
+    """Arguments as VARIANT. Unknown instructions have SQL NULL, or a JSON null where that is wanted."""
+    parsed = F.parse_json(text)
+    return F.coalesce(parsed, F.parse_json(F.lit("null"))) if json_null else parsed
+
+
+def publish_instructions(decoded: DataFrame, indexed_at: Column | None = None, json_null: bool = False) -> DataFrame:
+    """Decoded rows as the published instructions table: keys become text here, at the very end."""
+    stamp = F.current_timestamp() if indexed_at is None else indexed_at
+    return decoded.select(
+        "transaction_signature", "outer_index", "inner_index", "instruction_index",
+        F.col("name").alias("instruction_name"), base58(F.col("program_id")).alias("program_id"),
+        args_variant(F.col("args"), json_null).alias("args"), base58_list(F.col("accounts")).alias("accounts"),
+        F.col("data").alias("raw_data"), "decode_status", stamp.alias("indexed_at"))
+
+
+def decode_ledger(raw: DataFrame, interfaces: list[Interface]) -> DataFrame:
+    """Raw transactions to decoded instructions of the given programs, on tables and streams alike.
+
+    Other programs' instructions are dropped before anything is matched or decoded;
+    the whole chain is narrow.
+    """
+    flat = flatten_instructions(raw)
+    ours = flat.where(F.col("program_id").isin([key_bytes(face.program_id) for face in interfaces]))
+    return decode_all(dispatch(ours, interfaces), interfaces)
+
+
 def program_literal(df: DataFrame, interface: Interface) -> Column:
     """The program's id in the form the table holds it: key bytes or text."""
     if isinstance(df.schema["program_id"].dataType, T.BinaryType):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slotframe.functions.base58 import decode_values
+from slotframe.functions.base58 import key_bytes
 from slotframe.functions.names import DISCRIMINATOR_BYTES
 from slotframe.plans.types import Interface
 
@@ -30,18 +30,19 @@ def first_definitions(definitions: DataFrame) -> DataFrame:
 
 
 def attach_small(facts: DataFrame, small: DataFrame, on: list[str], rows_limit: int = BROADCAST_ROWS,
-                 salt_by: list[str] | None = None, known_rows: int | None = None) -> DataFrame:
+                 known_rows: int | None = None) -> DataFrame:
     """Left join with a lookup table that has one row per key.
 
     The lookup's rows are counted first, unless their number is known. Within the
     limit it is broadcast, so the facts are not shuffled. Beyond it the lookup is
-    copied ``SALTS`` times and the facts are spread over the copies, so no single
-    key fills one task.
+    copied ``SALTS`` times and the facts are spread over the copies by a hash of the
+    whole row, so no single key fills one task.
     """
     rows = small.limit(rows_limit + 1).count() if known_rows is None else known_rows
     if rows <= rows_limit:
         return facts.join(F.broadcast(small), on, "left")
-    spread = F.pmod(F.xxhash64(*(salt_by or facts.columns)), F.lit(SALTS)).cast("int")
+    hashed = [f.name for f in facts.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    spread = F.pmod(F.xxhash64(*hashed), F.lit(SALTS)).cast("int")
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return facts.withColumn("_salt", spread).join(copies, [*on, "_salt"], "left").drop("_salt")
 
@@ -51,7 +52,7 @@ def definition_rows(df: DataFrame, interfaces: list[Interface], kind: str) -> Da
     as_bytes = isinstance(df.schema["program_id"].dataType, T.BinaryType)
     first: dict[tuple, tuple] = {}
     for face in interfaces:
-        key = decode_values([face.program_id])[0] if as_bytes else face.program_id
+        key = key_bytes(face.program_id) if as_bytes else face.program_id
         for x in face.layouts(kind):
             if len(x.discriminator) == DISCRIMINATOR_BYTES:
                 first.setdefault((key, x.discriminator), (x.program, x.name, list(x.writable)))
@@ -77,7 +78,7 @@ def dispatch(df: DataFrame, definitions: DataFrame | list[Interface], kind: str
         count = sum(len(face.layouts(kind)) for face in definitions)
     known = known.withColumnRenamed("discriminator", "_prefix").withColumn("matched", F.lit(True))
     keyed = df.withColumn("_prefix", prefix(F.col(data)))
-    joined = attach_small(keyed, known, ["program_id", "_prefix"], rows_limit, salt_by=[data], known_rows=count)
+    joined = attach_small(keyed, known, ["program_id", "_prefix"], rows_limit, known_rows=count)
     return (joined.drop("_prefix")
             .withColumn("matched", F.coalesce("matched", F.lit(False)))
             .withColumn("name", F.coalesce("name", F.lit(UNKNOWN_NAME))))

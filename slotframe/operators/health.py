@@ -18,47 +18,53 @@ def _then(first: Column, second: Column) -> Column:
                     (second["gain"] * first["add"] + second["add"]).alias("add"))
 
 
-def ema(log: DataFrame, key: str = "source", order: str = "seq", value: str = "latency_ms", ok: str = "ok",
-        alpha: float = ALPHA, seed: float = SEED) -> DataFrame:
-    """Exponential moving average per key over the successful requests, in order.
+def _fold(log: DataFrame, key: str, order: str, value: str, ok: str, alpha: float, slot: str | None) -> DataFrame:
+    """Per key: the affine map of its whole history (gain, add), the counts, and the last slot.
 
-    One step is an affine map, and affine maps compose. Each block of 4096
-    sequence numbers is folded by itself, then blocks of 4096 blocks, and so on:
-    a key never gathers in one task, however much of the log it holds. ``order``
-    must not repeat within a key. A key without any success keeps the seed.
+    One step is an affine map, and affine maps compose. Each block of 4096 sequence
+    numbers is folded by itself, then blocks of 4096 blocks, and so on: a key never
+    gathers in one task, however much of the log it holds.
     """
-    seen = log.select(key, F.col(order).cast("bigint").alias("_at"),
-                      F.when(F.col(ok), F.col(value).cast("double")).alias("_v"))
-    top = seen.agg(F.max(F.abs("_at"))).first()[0] or 0
+    good = F.col(ok)
+    sample = F.col(value).cast("double")
     # A failed request is the identity map, so keys that only fail stay in the result.
-    step = F.struct(F.when(F.col("_v").isNull(), 1.0).otherwise(1.0 - alpha).alias("gain"),
-                    F.when(F.col("_v").isNull(), 0.0).otherwise(F.col("_v") * alpha).alias("add"))
-    maps = seen.select(key, "_at", step.alias("m"))
+    steps = log.select(
+        F.col(key).alias("key"), F.col(order).cast("bigint").alias("at"),
+        F.struct(F.when(good, 1.0 - alpha).otherwise(1.0).alias("gain"),
+                 F.when(good, sample * alpha).otherwise(0.0).alias("add")).alias("m"),
+        F.when(good, 1).otherwise(0).cast("bigint").alias("good"), F.lit(1).cast("bigint").alias("total"),
+        F.when(good, F.col(slot) if slot else F.lit(None).cast("bigint")).alias("last_slot"))
     identity = F.struct(F.lit(1.0).alias("gain"), F.lit(0.0).alias("add"))
-    while True:
-        block = F.floor(F.col("_at") / (1 << BLOCK_BITS)).alias("_at")
-        inside = F.sort_array(F.collect_list(F.struct(F.col("_at").alias("p"), F.col("m"))))
-        maps = (maps.groupBy(key, block).agg(inside.alias("items"))
-                .select(key, "_at", F.aggregate("items", identity, lambda a, x: _then(a, x["m"])).alias("m")))
+    in_order = F.sort_array(F.collect_list(F.struct(F.col("at").alias("p"), F.col("m"))))
+    folded = F.aggregate(in_order, identity, lambda a, x: _then(a, x["m"])).alias("m")
+    totals = [F.sum("good").alias("good"), F.sum("total").alias("total"), F.max("last_slot").alias("last_slot")]
+    top = steps.agg(F.max(F.abs("at"))).first()[0] or 0
+    while top > 0:
+        block = F.floor(F.col("at") / (1 << BLOCK_BITS)).alias("at")
+        steps = steps.groupBy("key", block).agg(folded, *totals)
         top >>= BLOCK_BITS
-        if top == 0:
-            break
-    # Blocks -1 and 0 are all that is left.
-    last = F.sort_array(F.collect_list(F.struct(F.col("_at").alias("p"), F.col("m"))))
-    whole = maps.groupBy(key).agg(F.aggregate(last, identity, lambda a, x: _then(a, x["m"])).alias("m"))
-    return whole.select(key, (F.col("m")["gain"] * seed + F.col("m")["add"]).alias("ema"))
+    return steps.groupBy("key").agg(folded, *totals)  # blocks -1 and 0 are all that is left
+
+
+def ema(log: DataFrame, key: str = "source", order: str = "seq", value: str = "latency_ms", ok: str = "ok",
+        alpha: float = ALPHA, seed: float = SEED) -> DataFrame:
+    """Exponential moving average per key over the successful requests, in order.
+
+    ``order`` must not repeat within a key. A key without any success keeps the seed.
+    """
+    return _fold(log, key, order, value, ok, alpha, None).select(
+        F.col("key").alias(key), (F.col("m")["gain"] * seed + F.col("m")["add"]).alias("ema"))
 
 
 def source_scores(log: DataFrame) -> DataFrame:
     """Success rate over latency, halved for sources far behind the best; best first."""
-    counts = log.groupBy("source").agg(
-        (F.count_if("ok") + START_COUNT).alias("success_count"),
-        (F.count("*") + START_COUNT).alias("total_count"),
-        F.coalesce(F.max(F.when(F.col("ok"), F.col("slot"))), F.lit(0)).alias("last_slot"))
-    best = counts.select(F.max("last_slot")).scalar()
+    best = log.where("ok").select(F.coalesce(F.max("slot"), F.lit(0))).scalar()
+    rows = _fold(log, "source", "seq", "latency_ms", "ok", ALPHA, "slot").select(
+        F.col("key").alias("source"), (F.col("good") + START_COUNT).alias("success_count"),
+        (F.col("total") + START_COUNT).alias("total_count"),
+        F.coalesce("last_slot", F.lit(0)).alias("last_slot"),
+        (F.col("m")["gain"] * SEED + F.col("m")["add"]).alias("ema"))
     lagging = best - F.col("last_slot") > LAG_LIMIT
     score = (F.col("success_count") / F.col("total_count")
              / F.greatest("ema", F.lit(1.0)) * F.when(lagging, LAG_PENALTY).otherwise(1.0))
-    return (counts.join(ema(log), "source")
-            .select("source", "success_count", "total_count", "last_slot", "ema", score.alias("score"))
-            .orderBy(F.col("score").desc(), "source"))
+    return rows.withColumn("score", score).orderBy(F.col("score").desc(), "source")

@@ -75,8 +75,11 @@ def page(df: DataFrame, order: tuple[str, ...], limit: int | None = None, offset
     return Page(df.orderBy(*_newest_first(*order)).offset(offset).limit(limit), envelope)
 
 
-def stats(transactions: DataFrame, instructions: DataFrame) -> DataFrame:
-    """Totals in one row: one pass over each table, joined as a union of two partial rows."""
+def stats(transactions: DataFrame, instructions: DataFrame, account_types: list[str] | None = None) -> DataFrame:
+    """Totals in one row: one pass over each table, put together as a union of two partial rows.
+
+    ``account_types`` adds the known account types as a column.
+    """
     nothing = F.lit(0).cast("bigint")
     tx = transactions.agg(F.count("*").alias("total_transactions"),
                           F.count_if("success").alias("successful_transactions"),
@@ -90,8 +93,9 @@ def stats(transactions: DataFrame, instructions: DataFrame) -> DataFrame:
         F.sum("total_instructions").alias("total_instructions"),
         F.max("latest_slot").alias("latest_slot"))
     failed = F.col("total_transactions") - F.col("successful_transactions")
+    types = [] if account_types is None else [F.array(*map(F.lit, account_types)).alias("account_types")]
     return both.select("total_transactions", "successful_transactions",
-                       failed.alias("failed_transactions"), "total_instructions", "latest_slot")
+                       failed.alias("failed_transactions"), "total_instructions", "latest_slot", *types)
 
 
 def instruction_breakdown(instructions: DataFrame) -> DataFrame:

@@ -84,7 +84,13 @@ def upsert(target: DataFrame, batch: DataFrame, key: list[str], order: list[str]
 # ---- stored tables ----------------------------------------------------------
 
 def write_batch(df: DataFrame, path: str, batch_id: int, partition_by: tuple[str, ...] = ()) -> None:
-    """Writes one batch as its own partition. Writing it again replaces it."""
+    """Writes one batch as its own partition. Writing it again replaces it.
+
+    With ``partition_by`` the rows are first rebalanced over those columns: few files
+    per folder, while a folder that holds much of the batch is still written by many tasks.
+    """
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -107,20 +113,18 @@ def read_batches(spark: SparkSession, path: str, schema: T.StructType, before: i
 
 def write_ledger(batch: DataFrame, path: str, batch_id: int, key: list[str], order: list[str],
                  prune: str | None = None, partition_by: tuple[str, ...] = ()) -> None:
-    """Stores the new rows of a micro-batch; safe to repeat with the same ``batch_id``."""
-    batch = batch.persist()
-    try:
-        stored = read_batches(batch.sparkSession, path, batch.schema, before=batch_id)
-        write_batch(insert_if_absent(batch, stored, key, order, prune), path, batch_id, partition_by)
-    finally:
-        batch.unpersist()
+    """Stores the new rows of a micro-batch; safe to repeat with the same ``batch_id``.
+
+    The batch is read twice when ``prune`` is given, so persist it where that is expensive.
+    """
+    stored = read_batches(batch.sparkSession, path, batch.schema, before=batch_id)
+    write_batch(insert_if_absent(batch, stored, key, order, prune), path, batch_id, partition_by)
 
 
 def write_dispatched(dispatched: DataFrame, path: str, batch_id: int) -> None:
     """Instruction rows of all definitions in one pass.
 
-    Partitioned by program and name, so that each typed table reads only its own
-    part. Nothing is shuffled by these columns, so one busy name stays spread out.
+    Partitioned by program and name, so that each typed table reads only its own part.
     """
     write_batch(dispatched, path, batch_id, ("program_id", "name"))
 
@@ -139,7 +143,6 @@ def upsert_partitions(spark: SparkSession, path: str, batch: DataFrame, key: lis
     ``partition`` must follow from the key. The merged rows are written aside
     first, since a query cannot overwrite what it reads; repeating it is harmless.
     """
-    batch = batch.persist()
     touched = [r[0] for r in batch.select(partition).distinct().collect()]  # partition values, not rows
     try:
         target = spark.read.schema(batch.schema).parquet(path)
@@ -150,7 +153,6 @@ def upsert_partitions(spark: SparkSession, path: str, batch: DataFrame, key: lis
     merged.write.parquet(aside)
     (spark.read.schema(batch.schema).parquet(aside).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path))
-    batch.unpersist()
 
 
 def progress(batch: DataFrame, updated_at: Column | None = None) -> DataFrame:

@@ -18,6 +18,8 @@ SETTINGS = {
     # Wide decode projections exceed the 8000 bytes of bytecode that the JVM compiles
     # in one method; below this limit Spark splits them instead of fusing the stage.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Deep offset pages sort on the executors instead of gathering offset + limit rows on the driver.
+    "spark.sql.execution.topKSortFallbackThreshold": "100000",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }

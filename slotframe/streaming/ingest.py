@@ -45,9 +45,13 @@ def run_ingest(history: DataFrame, live: DataFrame, sink: Sink, track_progress:
     removed against the table, which keeps records of any age.
     """
     def store(batch: DataFrame, batch_id: int) -> None:
-        write_ledger(batch, sink.rows, batch_id, list(sink.key), list(sink.order), sink.prune, sink.partition_by)
-        if track_progress:
-            write_batch(progress(batch), sink.states, batch_id)
+        batch.persist()
+        try:
+            write_ledger(batch, sink.rows, batch_id, list(sink.key), list(sink.order), sink.prune, sink.partition_by)
+            if track_progress:
+                write_batch(progress(batch), sink.states, batch_id)
+        finally:
+            batch.unpersist()
 
     writer = (history.unionByName(live).writeStream.foreachBatch(store)
               .option("checkpointLocation", sink.checkpoint))

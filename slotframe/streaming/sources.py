@@ -40,9 +40,13 @@ def stream_filter(raw: DataFrame, vote: bool | None = False, failed: bool | None
     return rows if include is None else stream_program(rows, include, keys)
 
 
-def enrich_notifications(notifications: DataFrame, raw: DataFrame) -> DataFrame:
-    """Full records for notified signatures: a stream-static join, read afresh per micro-batch."""
-    return notifications.select("signature").join(raw, "signature")
+def enrich_notifications(notifications: DataFrame, raw: DataFrame, on: tuple[str, ...] = ("signature",)) -> DataFrame:
+    """Full records for notified signatures: a stream-static join, read afresh per micro-batch.
+
+    Where notifications carry a slot, put ``slot_bucket`` into ``on`` as well: the
+    record table is then pruned to the buckets of the micro-batch.
+    """
+    return notifications.select(*on).join(raw, list(on))
 
 
 def missing_notifications(batch: DataFrame, raw: DataFrame) -> DataFrame:
