@@ -531,10 +531,13 @@ def decode_report(spark, sf):
     return dc.decode_report(desk_ledger(spark, sf), by=("name",))
 
 
-@query(f"""WITH {SQL_FLAT} SELECT CAST(o_orderkey AS VARCHAR) AS transaction_signature, outer_index, coalesce(inner_index, -1) AS inner_index, name,
+SQL_DECODED = f"""WITH {SQL_FLAT} SELECT CAST(o_orderkey AS VARCHAR) AS transaction_signature, outer_index, coalesce(inner_index, -1) AS inner_index, name,
 CASE name WHEN 'placeOrder' THEN '{{"order":' || o_orderkey || ',"customer":' || o_custkey || '}}'
   WHEN 'note' THEN '{{"text":"' || o_orderpriority || '","order":' || o_orderkey || '}}' END AS args
-FROM flat WHERE program = '{DESK_HEX}'""")
+FROM flat WHERE program = '{DESK_HEX}'"""
+
+
+@query(SQL_DECODED)
 def decode_all(spark, sf):
     return desk_ledger(spark, sf).select("transaction_signature", "outer_index", minus("inner_index"), "name", "args")
 
@@ -897,6 +900,13 @@ def typed_table_scan(spark, sf):
 
 # ---- streams ----------------------------------------------------------------
 
+@query(SQL_DECODED)
+def stream_decode(spark, sf):
+    """The same decode chain on a stream of raw transactions."""
+    rows = dc.decode_ledger(fx.raw_transactions_of(fx.table_stream(spark, sf, "orders")), [desk()])
+    return fx.drain(rows.select("transaction_signature", "outer_index", minus("inner_index"), "name", "args"), "decoded")
+
+
 @query("SELECT DISTINCT event_type, user_id FROM events")
 def stream_dedup(spark, sf):
     rows = fx.table_stream(spark, sf, "events").select("event_type", "user_id", F.col("ts").cast("timestamp").alias("ts"))

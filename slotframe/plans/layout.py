@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotframe.functions import wire
+from slotframe.functions.numbers import CODES, number_list
 from slotframe.plans.types import (Layout, Opt, Prim, Rec, Ref, Seq, Sum, Unknown, fixed_size,
                                    has_node, spark_type)
 
@@ -41,14 +42,23 @@ def layout_compiles(layout: Layout) -> bool:
     return all(compiles(t) or has_node(t, Unknown) for _, t in layout.fields)
 
 
+def fence(df: DataFrame, *names: str) -> DataFrame:
+    """The same rows, with the named columns passed through a one-row ``inline``.
+
+    A filter on them is then evaluated above it. Without it the filter would be pushed
+    below, with the expressions behind the columns spelled out and evaluated once
+    more per use. Filters on other columns pass through and still reach the scan.
+    """
+    others = [c for c in df.columns if c not in names]
+    row = F.struct(*[F.col(n) for n in names])
+    return df.select(*others, F.inline(F.array(row)).alias(*names))
+
+
 class Stages:
     """Intermediate columns: positions grouped by depth, each depth one select, then number words.
 
-    Between the two stands a one-row ``inline``. A filter on a decoded column would
-    otherwise be pushed below the positions and spelled out in terms of the bytes,
-    which doubles it at every depth. Filters on the other columns pass through the
-    generator and still reach the scan; layouts of fixed size have no positions and
-    no generator.
+    Between the two stands a fence: a filter spelled out in terms of the bytes would
+    double at every depth. Layouts of fixed size have no positions and no fence.
     """
 
     def __init__(self, prefix: str):
@@ -73,12 +83,10 @@ class Stages:
         return F.col(name)
 
     def apply(self, df: DataFrame) -> DataFrame:
-        given = df.columns
         for level in self.levels:
             df = df.select("*", *level)
         if self.names:
-            row = F.struct(*[F.col(n) for n in self.names])
-            df = df.select(*given, F.inline(F.array(row)).alias(*self.names))
+            df = fence(df, *self.names)
         return df.select("*", *self.words) if self.words else df
 
 
@@ -104,6 +112,10 @@ class Read:
     after: Pos
 
 
+def _number_list(node: object) -> bool:
+    return isinstance(node, Seq) and isinstance(node.item, Prim) and node.item.name in CODES
+
+
 class Compiler:
     def __init__(self, data: Column, length: Column, stages: Stages):
         self.data, self.length, self.stages = data, length, stages
@@ -136,10 +148,15 @@ class Compiler:
         return F.transform(steps, lambda i: self.fixed_value(node.item, at + i * size))
 
     def staged_value(self, node: object, pos: Pos) -> Column:
-        """:meth:`fixed_value`, with the words of a number staged since its formula uses them repeatedly."""
+        """:meth:`fixed_value` outside of lambdas: the words of a number are staged since its formula
+        uses them repeatedly, and a list of numbers is converted as a whole."""
         if isinstance(node, Prim) and node.name in wire.NUMBERS:
             staged = [self.stages.put_word(w) for w in wire.words(self.data, pos.at(), node.name)]
             return wire.NUMBERS[node.name][1](*staged)
+        if _number_list(node) and node.count:
+            size = fixed_size(node)
+            fits = self.length >= pos.at() + size
+            return number_list(F.when(fits, wire.piece(self.data, pos.at(), size)), node.item.name)
         return self.fixed_value(node, pos.at())
 
     def unit_variant(self, node: Sum, index: Column) -> Column:
@@ -202,7 +219,8 @@ class Compiler:
             value = wire.piece(self.data, start, end - start)
         else:
             item_fail = self.item_fail(node.item, start, size)
-            value = self.items(node, start, count)
+            value = number_list(wire.piece(self.data, start, end - start), node.item.name) \
+                if _number_list(node) else self.items(node, start, count)
         fail = F.when(~has_count, pos.at()).when(end.isNull() & count.isNotNull(), item_fail)
         return Read(F.when(end.isNotNull(), value), fail, Pos(end, 0, depth))
 

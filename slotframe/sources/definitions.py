@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from slotframe.functions.base58 import unbase58
 from slotframe.functions.names import account_discriminator, instruction_discriminator
+from slotframe.plans.layout import fence
 from slotframe.plans.types import Interface, parse_interface
 
 # Header, authority and length in front of a compressed definition.
@@ -74,8 +75,7 @@ def _inflate_blobs(blobs: pa.Array) -> pa.Array:
 
 def inflate_definitions(blobs: DataFrame) -> DataFrame:
     """(program_id, json, error) from account blobs. ``error`` is set where the blob is no good."""
-    return (blobs.select("program_id", _inflate_blobs.asNondeterministic()("data").alias("r")  # inflated once, whatever is filtered
-           )
+    return (fence(blobs.select("program_id", _inflate_blobs("data").alias("r")), "r")
             .select("program_id", "r.json", "r.error"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slotframe.functions.wire import base64_bytes
+from slotframe.plans.layout import fence
 
 # Sizes in the wire format.
 SIGNATURE_BYTES, KEY_BYTES, HEADER_BYTES, VERSION_BIT = 64, 32, 3, 0x80
@@ -93,7 +94,7 @@ def unpack_messages(raw: DataFrame, column: str = "wire_base64") -> DataFrame:
     """
     kept = [c for c in raw.columns if c != column]
     wire = raw.withColumn("_wire", base64_bytes(F.col(column)))
-    parsed = wire.withColumn("message", _parse_messages.asNondeterministic()("_wire"))  # parsed once, whatever is filtered
+    parsed = fence(wire.withColumn("message", _parse_messages("_wire")), "_wire", "message")
     status = (F.when(F.col(column).isNull(), "missing").when(F.col("_wire").isNull(), "bad_base64")
               .when(F.col("message").isNull(), "bad_message").otherwise("ok"))
     return parsed.select(*kept, "message", status.alias("unpack_status"))

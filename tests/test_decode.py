@@ -201,7 +201,7 @@ def test_one_pass_over_several_definitions(spark):
         {"name": "d", "discriminator": [4] * 8, "args": [{"name": "l", "type": {"vec": "string"}}]}]})
     rows = [("a", b"\x01" * 8 + b"\x09"), ("b", b"\x02" * 8 + b"\x01\x00\x00\x00x" + bytes(32)), ("c", b"\x03" * 8),
             ("d", b"\x04" * 8 + b"\x01\x00\x00\x00\x01\x00\x00\x00y"), ("a", b"\x01" * 8), ("unknown", b"\x05")]
-    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, name string, data binary")
+    df = spark.createDataFrame([(i, "P", *r) for i, r in enumerate(rows)], "i int, program_id string, name string, data binary")
     out = decode_all(df, face).orderBy("i").collect()
     assert [r.args and json.loads(r.args) for r in out] == [
         {"n": 9}, {"s": "x", "k": "1" * 32}, {}, {"l": ["y"]}, {"n": None}, None]
