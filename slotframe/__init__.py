@@ -1 +1,9 @@
 """Ledger analytics on Spark: decode, flatten, maintain and query ledger records."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors with their code, so that the
+# package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slotframe.functions.names import sanitize_name
-from slotframe.plans.types import Interface, Layout, parse_interface, spark_type
+from slotframe.plans.types import Interface, Layout, describe, parse_interface, spark_type
 
 
 TYPES = {
@@ -113,13 +114,9 @@ def schema_table(documents: DataFrame) -> DataFrame:
 
 @F.pandas_udf(T.StringType())
 def _type_name(described: pd.Series) -> pd.Series:
-    import json
-
-    from slotframe.plans.types import _Resolver
-
     def name(text: str) -> str:
         value = json.loads(text) if text[:1] in "{[\"" else text
-        return spark_type(_Resolver({}).node(value)).simpleString()
+        return spark_type(describe(value)).simpleString()
 
     return described.map(name, na_action="ignore")
 

@@ -136,6 +136,11 @@ class _Resolver:
         return tuple((name, self.node(t, open_names)) for name, t in _named_fields(fields))
 
 
+def describe(described: object) -> object:
+    """The node of a type that has no definition behind it."""
+    return _Resolver({}).node(described)
+
+
 def parse_interface(document: str | dict, program_id: str | None = None) -> Interface:
     """One JSON definition. Older shapes (name on top, types as text, isMut) are read too."""
     doc = json.loads(document) if isinstance(document, str) else document

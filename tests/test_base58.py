@@ -36,3 +36,17 @@ def test_columns(spark):
     assert df.where(F.col("b") == key_literal(plain(b"\0ab"))).count() == 1
     with pytest.raises(ValueError):
         key_literal("0OIl")
+
+
+def test_functions_travel_without_the_package(tmp_path):
+    """Executors may not have the package; its functions must load from their pickle alone."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from slotframe.sources.messages import parse_message
+    code = "import pickle, sys; f, g = pickle.loads(sys.stdin.buffer.read()); print(f([b'a']), g(b''))"
+    done = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps((encode_values, parse_message)),
+                          cwd=tmp_path, capture_output=True, timeout=60)
+    assert done.stdout.decode().strip() == "['2g'] None", done.stderr.decode()
