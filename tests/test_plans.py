@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from slotframe import fixtures as fx
-from slotframe.catalog import desk
+from slotframe.catalog import QUERIES, desk
 from slotframe.operators.decode import decode_ledger, decode_table
 
 SF = "/root/testdata/sf0.001"
@@ -15,7 +15,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if not n.startswith(STREAMS)])
+@pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith(STREAMS)])
 def test_no_cross_joins(spark, name):
     text = plan(entry.queries()[name](spark, SF))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
