@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotframe.llm import decontam, langid, minhash, mixing, quality, sharding, urlfilter
+from slotframe.llm import ann, decontam, langid, minhash, mixing, quality, sharding, urlfilter, warc
 from slotframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,21 @@ def op9_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(docs.where(~out).select("doc_id", "text"), labels)
     scored = quality.score_quality(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "signal")
+
+
+@query()
+def op1_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("""WITH p AS (SELECT page_id, coalesce(strlen(html), 0) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+        url FROM pages),
+    m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN first <> page_id THEN first END AS refers_to FROM m""")
+def op2_archive_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages have no capture time; a second for each page_id stands in for it."""
+    pages = table(spark, sf_dir, "pages")
+    path = warc.write_archives(pages, captured=F.timestamp_seconds(F.col("page_id") + 1_577_836_800))
+    index = warc.capture_index(warc.read_archives(spark, path))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
