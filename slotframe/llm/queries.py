@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotframe.llm import ann, decontam, langid, minhash, mixing, quality, sharding, urlfilter, warc
+from slotframe.llm import ann, decontam, langid, linededup, minhash, mixing, quality, sharding, urlfilter, warc
 from slotframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,26 @@ def op2_archive_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.write_archives(pages, captured=F.timestamp_seconds(F.col("page_id") + 1_577_836_800))
     index = warc.capture_index(warc.read_archives(spark, path))
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query(rf"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+    l AS (SELECT doc_id, i - 1 AS line, ls[i] AS text FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+    s AS (SELECT doc_id, line, list_sort(list_distinct({SQL_WORDS})) AS w FROM l),
+    f AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY doc_id, line) AS turn FROM s WHERE len(w) > 0),
+    c AS (SELECT row_number() OVER (ORDER BY doc_id, line) AS id, w, len(w) AS n FROM f WHERE turn = 1),
+    t AS (SELECT id, n, unnest(w) AS t FROM c),
+    df AS (SELECT t, count(*) AS df FROM t GROUP BY t),
+    o AS (SELECT id, n, t.t, row_number() OVER (PARTITION BY id ORDER BY df, t.t) AS place FROM t JOIN df USING (t)),
+    p AS (SELECT * FROM o WHERE place <= n - (n * 80 + 99) // 100 + 1),
+    m AS (SELECT DISTINCT a.id AS a, b.id AS b FROM p a JOIN p b ON a.t = b.t AND a.id < b.id
+        AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+    g AS (SELECT DISTINCT m.b AS id FROM m JOIN c x ON m.a = x.id JOIN c y ON m.b = y.id
+        WHERE 100 * len(list_intersect(x.w, y.w)) >= 80 * (x.n + y.n - len(list_intersect(x.w, y.w)))),
+    r AS (SELECT f.doc_id, f.line FROM f JOIN c USING (w) LEFT JOIN g ON c.id = g.id WHERE g.id IS NOT NULL OR f.turn > 1)
+    SELECT d.doc_id, CAST(len(d.ls) AS BIGINT) AS n_lines, CAST(count(r.line) AS BIGINT) AS n_removed,
+        coalesce(string_agg(CAST(r.line AS VARCHAR), ',' ORDER BY r.line), '') AS removed
+    FROM d LEFT JOIN r USING (doc_id) GROUP BY d.doc_id, len(d.ls)""")
+def op10_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.line_matches(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"),
+                        F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
