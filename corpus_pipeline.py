@@ -19,26 +19,35 @@ ORACLE_SQL = None
 """Language, mixing and differencing have no SQL; tests hold the stages against plain versions."""
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The columns under names of our own, so that no name of theirs meets one of a result; and the new name of each."""
+    names = {name: f"c{i}" for i, name in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def renamed(docs: DataFrame, names: dict[str, str]) -> DataFrame:
+    return docs.select(*[F.col(c).alias(name) for name, c in names.items()])
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter and those in no language mainly."""
     model = langid.fit(docs, order_by=F.col("doc_id"))
-    names = docs.columns
-    text = f"c{names.index('text')}"
-    numbered = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    found = langid.identify(numbered, model, text, keep=tuple(numbered.columns))
-    found = found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SHARE))
-    return found.select(*[F.col(f"c{i}").alias(name) for i, name in enumerate(names)])
+    rows, names = numbered(docs)
+    found = langid.identify(rows, model, names["text"], keep=tuple(names.values()))
+    return renamed(found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SHARE)), names)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the smallest id. Of rows that share an id one
     stays; rows without an id stay."""
     found = minhash.near_duplicates(docs.select("doc_id", "text"))
-    kept = found.where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    named = named.withColumn("_turn", F.row_number().over(first)).where("_turn = 1")
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    rows, names = numbered(docs)
+    own = names["doc_id"]
+    kept = found.where("kept and doc_id is not null").select(F.col("doc_id").alias(own)).distinct()
+    named = rows.where(F.col(own).isNotNull()).join(kept, own, "left_semi")
+    first = Window.partitionBy(own).orderBy(F.xxhash64(*names.values()))
+    named = named.withColumn("turn", F.row_number().over(first)).where("turn = 1").select(*names.values())
+    return renamed(named.unionByName(rows.where(F.col(own).isNull())), names)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +57,11 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats and leaves out documents until each source has its share; copies follow their shards' orders."""
-    key = F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit(5))
-    drawn = mixing.mix(docs.select("doc_id", "text", "source", key.alias("_join")), keep=("_join",))
-    drawn = drawn.where(F.size("draws") > 0).groupBy("_join").agg(F.max("draws").alias("draws"))
-    return mixing.mixture(docs.withColumn("_join", key).join(drawn, "_join")).select(*docs.columns)
+    rows, names = numbered(docs)
+    rows = rows.withColumn("key", F.xxhash64(F.col(names["doc_id"]).cast("string"), names["text"], F.lit(5)))
+    drawn = mixing.mix(rows, id_col=names["doc_id"], text_col=names["text"], source_col=names["source"], keep=("key",))
+    drawn = drawn.where(F.size("draws") > 0).groupBy("key").agg(F.max("draws").alias("draws"))
+    return renamed(mixing.mixture(rows.join(drawn, "key")), names)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

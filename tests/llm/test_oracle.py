@@ -1,0 +1,40 @@
+"""The registered queries against their SQL, and those without SQL for their contracts."""
+
+import os
+import sys
+
+import duckdb
+import pytest
+
+sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), "tools"))
+
+from check import TABLES, rows_of  # noqa: E402
+
+import __spark_entry__ as entry  # noqa: E402
+from slotframe.llm.queries import ORACLES, QUERIES  # noqa: E402
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return con
+
+
+def test_all_ten_are_registered():
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert set(QUERIES) | {"pipeline"} <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
+
+
+@pytest.mark.parametrize("name", list(ORACLES))
+def test_against_sql(spark, duck, name):
+    got, want = QUERIES[name](spark, SF).toPandas(), duck.sql(ORACLES[name]).df()
+    assert sorted(got.columns) == sorted(want.columns) and rows_of(got.astype(object)) == rows_of(want.astype(object))
+
+
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ORACLES])
+def test_runs(spark, name):
+    assert QUERIES[name](spark, SF).count() > 0
