@@ -104,6 +104,36 @@ def bounds(head: np.ndarray, tail: np.ndarray) -> np.ndarray:
     return np.sort(np.concatenate([begin, *[b + np.arange(REGION, s, REGION) for b, s in zip(begin, size) if s > REGION]]))
 
 
+def parity(shingles: np.ndarray) -> bytes:
+    """For each of a power of two of cells, 2 to 4 for each shingle, whether an odd number of shingles falls into it."""
+    bits = max(6, 1 + int(2 * len(shingles) - 1).bit_length())
+    odd = np.bincount((shingles.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def pictures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.asarray(v) for v in batch.column(1).to_numpy(zero_copy_only=False)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([parity(s) for s in sets], pa.binary())], ["id", "picture"])
+
+
+def may_link(a: bytes | None, b: bytes | None, n: int, percent: int) -> bool:
+    """Whether two sets with ``n`` elements in all can be similar enough. The pictures of two sets differ in no more cells
+    than the sets in elements, so a pair that is similar enough always passes. Neighbouring cells of the finer picture
+    are put together until both have the same cells. Without a picture everything passes."""
+    if a is None or b is None:
+        return True
+    x, y = int.from_bytes(a), int.from_bytes(b)
+    while len(a) != len(b):
+        if len(a) < len(b):
+            a, b, x, y = b, a, y, x
+        odd = np.unpackbits(np.frombuffer(a, np.uint8)).reshape(-1, 2)
+        a = np.packbits(odd[:, 0] ^ odd[:, 1]).tobytes()
+        x = int.from_bytes(a)
+    # intersection >= percent * (n - intersection) / 100, and differing = n - 2 * intersection
+    return (x ^ y).bit_count() <= n - 2 * -(-percent * n // (100 + percent))
+
+
 def close_pairs(begin: np.ndarray, tail: np.ndarray, ids: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Positions i < j of one region whose tails agree and whose sizes allow a link, and how many values agree."""
     end = np.repeat(np.append(begin[1:], len(ids)), np.diff(np.append(begin, len(ids))))
@@ -154,17 +184,21 @@ def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (region, root, tail, id, n), sorted by region: pairs of different roots that tails and sizes allow."""
-    def found(region: np.ndarray, root: np.ndarray, tail: np.ndarray, ids: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (region, root, tail, id, n, picture, percent), sorted by region: pairs of different roots that tails, sizes and pictures
+    allow."""
+    def found(region: np.ndarray, root: np.ndarray, tail: np.ndarray, ids: np.ndarray, n: np.ndarray, picture: np.ndarray,
+              percent: np.ndarray) -> Iterator[pa.RecordBatch]:
         begin = np.flatnonzero(np.append(True, region[1:] != region[:-1]))
         for i, j, agree in close_pairs(begin, tail, ids, n):
             ok = root[i] != root[j]
-            i, j = i[ok], j[ok]
+            i, j, agree = i[ok], j[ok], agree[ok]
+            ok = np.array([may_link(picture[x], picture[y], int(n[x] + n[y]), int(percent[x])) for x, y in zip(i, j)], bool)
+            i, j, agree = i[ok], j[ok], agree[ok]
             if len(i):
                 less = ids[i] < ids[j]
                 a, b = np.where(less, i, j), np.where(less, j, i)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (ids[a], ids[b], root[a], root[b], agree[ok])], ["a", "b", "ra", "rb", "agree"])
+                    [pa.array(x) for x in (ids[a], ids[b], root[a], root[b], agree)], ["a", "b", "ra", "rb", "agree"])
 
     held = None
     for batch in batches:
@@ -172,7 +206,7 @@ def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         own = [batch.column(0).to_numpy(), batch.column(1).to_numpy(),
                np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, TAIL),
-               batch.column(3).to_numpy(), batch.column(4).to_numpy()]
+               *[batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 4, 5, 6)]]
         held = own if held is None else [np.concatenate(x) for x in zip(held, own)]
         last = int(np.flatnonzero(np.append(True, held[0][1:] != held[0][:-1]))[-1])
         if last:
@@ -227,7 +261,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # What still lies in one region but not in one component: first the likeliest pair of any two components, then,
     # of what that leaves apart, all pairs.
     for every in (False, True):
-        pairs = apart(members, roots, percent)
+        pairs = apart(members, roots, sets, percent)
         if not every:
             pairs = pairs.groupBy("ra", "rb").agg(F.max_by(F.struct("a", "b"), F.struct("score", "a", "b")).alias("p")).select("p.a", "p.b")
         links = links.unionByName(stored(confirmed(pairs, sets, percent), "confirmed"))
@@ -235,12 +269,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return labelled(signed, classes, roots, id_col)
 
 
-def apart(members: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one region and of different components (ra, rb) that tails and sizes allow."""
+def apart(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one region and of different components (ra, rb) that may be similar enough. A picture of each whole set
+    bounds how much two of them differ, so a text that is just too different from a large group drops out before it is
+    joined with all the group's members."""
     rooted = members.select("region", "tail", "id", "n").join(roots.withColumnRenamed("node", "id"), "id", "left")
     rooted = stored(rooted.select("region", F.coalesce("root", "id").alias("root"), "tail", "id", "n"), "rooted")
     split = rooted.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("region")
-    open_ = rooted.join(split, "region", "left_semi").repartition("region").sortWithinPartitions("region", "id")
+    open_ = stored(rooted.join(split, "region", "left_semi"), "open")
+    seen = sets.join(open_.select("id").distinct(), "id", "left_semi").mapInArrow(pictures, "id long, picture binary").groupBy("id").agg(
+        F.when(F.min("picture") == F.max("picture"), F.max("picture")).alias("picture"))  # none where an id has several texts
+    open_ = open_.join(seen, "id").select("region", "root", "tail", "id", "n", "picture", F.lit(percent).cast("long").alias("percent"))
+    open_ = open_.repartition("region").sortWithinPartitions("region", "id")
     pairs = open_.mapInArrow(across, "a long, b long, ra long, rb long, agree long").groupBy("a", "b").agg(
         F.min("ra").alias("ra"), F.min("rb").alias("rb"), F.count("*").alias("trees"), F.sum("agree").alias("agree"))
     pairs = pairs.where(likely(F.col("trees"), F.col("agree"), percent))
