@@ -29,7 +29,7 @@ PIECE = 4096
 SIEVE_BITS = 1 << 24
 LAST = 9223372036854775807
 """Rows without an id come after all others."""
-POSTING = "token long, doc long, line int, size long, bits long"
+POSTING = "token int, doc long, line int, size long, bits long"
 
 
 def cut_lines(texts: list[str | None]) -> tuple[np.ndarray, list[bytes]]:
@@ -90,7 +90,8 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def describe(counts: np.ndarray, percent: int) -> Callable:
-    """Rows (id, text) to lines: digest of the set, its size, its prefix and its picture."""
+    """Rows (id, text) to lines: digest of the set, its size, its prefix and its picture. A prefix has half of each word's hash: where
+    halves agree by chance, classes meet that need not, and whole sets are verified in any case."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, 2_000_000):
             per, lines = cut_lines(batch.column(1).to_pylist())
@@ -114,7 +115,7 @@ def describe(counts: np.ndarray, percent: int) -> Callable:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(doc)), pa.array(number.astype(np.int32)),
                  pa.array([d.tobytes() for d in digest], pa.binary()), pa.array(n[full].astype(np.int32)), pa.array(bits.view(np.int64)),
-                 pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens[kept].view(np.int64)))],
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array((tokens[kept] >> np.uint64(32)).astype(np.uint32).view(np.int32)))],
                 ["doc", "line", "digest", "n", "bits", "prefix"])
     return run
 
@@ -253,7 +254,7 @@ def line_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
     own = docs.select(key.alias("doc"), F.col(text_col).alias("text"))
     counts = rarity(docs, text_col)
-    lines = stored(own.mapInArrow(describe(counts, percent), "doc long, line int, digest binary, n int, bits long, prefix array<long>"), "lines")
+    lines = stored(own.mapInArrow(describe(counts, percent), "doc long, line int, digest binary, n int, bits long, prefix array<int>"), "lines")
     classes = lines.groupBy("digest").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("rows"),
                                           F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
     classes = stored(classes.select("digest", "first.doc", "first.line", "rows", "n", "bits", "prefix"), "line-classes")
