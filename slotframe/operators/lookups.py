@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from slotframe.operators.skew import join_counted
 from slotframe.operators.tables import extreme_by
 
 BLOCK_SLOTS = 4096
@@ -12,16 +13,18 @@ BLOCK_SLOTS = 4096
 
 def with_transaction(instructions: DataFrame, transactions: DataFrame, slot_from: int | None = None,
                      slot_to: int | None = None) -> DataFrame:
-    """Instructions with the columns of their transaction; the slot range reaches the transaction scan.
+    """Instructions with the columns of their transaction; the slot range reaches both scans.
 
-    A transaction is one row, so a transaction with very many instructions can be
-    split over tasks by the adaptive skew join.
+    An instruction has its transaction's slot, which is the one that is returned. A transaction is one
+    row, so a transaction with very many instructions can be split over tasks by the adaptive skew join.
     """
-    tx = transactions
-    if slot_from is not None:
-        tx = tx.where(F.col("slot") >= slot_from)
-    if slot_to is not None:
-        tx = tx.where(F.col("slot") <= slot_to)
+    def in_range(df: DataFrame) -> DataFrame:
+        df = df if slot_from is None else df.where(F.col("slot") >= slot_from)
+        return df if slot_to is None else df.where(F.col("slot") <= slot_to)
+
+    tx = in_range(transactions)
+    if "slot" in instructions.columns:
+        instructions = in_range(instructions).drop("slot")
     return instructions.join(tx.withColumnRenamed("signature", "transaction_signature"), "transaction_signature")
 
 
@@ -45,7 +48,11 @@ def account_state_at(touched: DataFrame, states: DataFrame, mode: str = "asof")
     """
     if mode == "latest":
         now = latest_accounts(states, ("pubkey",), ("slot",)).withColumnRenamed("slot", "state_slot")
-        return touched.join(now, "pubkey")
+        touches = touched.groupBy("pubkey").agg(F.count("*").alias("_touches"))
+        known = now.withColumn("_found", F.lit(True)).join(touches, "pubkey")
+        # An account of which there are very many touches is dealt out; each side is reduced before it is joined.
+        rows = join_counted(touched, known, "pubkey", "_touches", touched.count(), F.col("slot"))
+        return rows.where("_found").drop("_found")
     if mode != "asof":
         raise ValueError("mode must be 'asof' or 'latest'")
     versions = latest_accounts(states, ("pubkey", "slot"), ())

@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from slotframe.operators import lookups
 from slotframe.sources import ledger
 
@@ -76,3 +78,20 @@ def test_slot_range_prunes_partitions_and_reaches_the_scan(spark, tmp_path):
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(slot,500000)" in plan and "slot_bucket" in plan.split("PartitionFilters")[1][:120]
     assert len(rows.inputFiles()) > 0 and rows.count() == 101
+
+
+def test_latest_state_of_a_busy_account(spark):
+    """Nine tenths of all touches are of one account; they are not gathered in one task."""
+    touched = spark.range(60_000).select(F.when(F.col("id") % 10 > 0, "busy").otherwise(F.concat(F.lit("a"), F.col("id") % 700)).alias("pubkey"),
+                                         F.col("id").alias("slot"))
+    states = touched.select("pubkey").distinct().select("pubkey", F.lit(5).cast("bigint").alias("slot"), F.concat("pubkey", F.lit("!")).alias("data"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = lookups.account_state_at(touched, states, mode="latest").withColumn("task", F.spark_partition_id()).persist()
+        largest = max(r["count"] for r in rows.groupBy("task").count().collect())
+        assert rows.count() == 60_000 and rows.where("data <> concat(pubkey, '!') or state_slot <> 5").count() == 0
+        assert largest < 2 * 60_000 / 8
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
