@@ -47,15 +47,15 @@ def first_by(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
 
 def covered(target: DataFrame, batch: DataFrame, prune: str | None) -> DataFrame:
-    """The part of the target in the range of ``prune`` that the batch covers.
+    """The part of the target that lies in the batch's own values of ``prune``.
 
-    ``prune`` names a column that a key determines (a slot bucket), so that the rest
-    of the target is not even listed.
+    ``prune`` names a column that a key determines (a slot bucket). The batch's buckets are few
+    numbers and are broadcast; where the target is partitioned by the column, its other partitions
+    are not read, however far apart the batch's buckets lie.
     """
     if prune is None:
         return target
-    low, high = batch.agg(F.min(prune), F.max(prune)).first()
-    return target.limit(0) if low is None else target.where(F.col(prune).between(low, high))
+    return target.join(F.broadcast(batch.select(prune).distinct()), prune, "left_semi").select(*target.columns)
 
 
 def new_only(batch: DataFrame, target: DataFrame, key: list[str], prune: str | None = None) -> DataFrame:
@@ -97,6 +97,16 @@ def write_batch(df: DataFrame, path: str, batch_id: int, partition_by: tuple[str
     writer.parquet(f"{path}/batch_id={batch_id}")
 
 
+def read_or_empty(spark: SparkSession, path: str, schema: T.StructType, **options: str) -> DataFrame:
+    """The table at a path; without rows if nothing was written there yet. Any other error is raised."""
+    try:
+        return spark.read.schema(schema).options(**options).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def read_batches(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None) -> DataFrame:
     """The stored table; with ``before`` only batches older than that one.
 
@@ -104,10 +114,7 @@ def read_batches(spark: SparkSession, path: str, schema: T.StructType, before: i
     find nothing new and replace them with nothing.
     """
     full = T.StructType([*schema, T.StructField("batch_id", T.LongType())])
-    try:
-        stored = spark.read.schema(full).option("basePath", path).parquet(path)
-    except AnalysisException:  # nothing written yet
-        stored = spark.createDataFrame([], full)
+    stored = read_or_empty(spark, path, full, basePath=path)
     return stored if before is None else stored.where(F.col("batch_id") < before)
 
 
@@ -115,8 +122,11 @@ def write_ledger(batch: DataFrame, path: str, batch_id: int, key: list[str], ord
                  prune: str | None = None, partition_by: tuple[str, ...] = ()) -> None:
     """Stores the new rows of a micro-batch; safe to repeat with the same ``batch_id``.
 
-    The batch is read twice when ``prune`` is given, so persist it where that is expensive.
+    With ``prune`` the table is partitioned by that column, so a batch is compared only with the buckets
+    it has itself. The batch is then read twice, so persist it where that is expensive.
     """
+    if prune is not None and prune not in partition_by:
+        partition_by = (prune, *partition_by)
     stored = read_batches(batch.sparkSession, path, batch.schema, before=batch_id)
     write_batch(insert_if_absent(batch, stored, key, order, prune), path, batch_id, partition_by)
 
@@ -144,10 +154,7 @@ def upsert_partitions(spark: SparkSession, path: str, batch: DataFrame, key: lis
     first, since a query cannot overwrite what it reads; repeating it is harmless.
     """
     touched = [r[0] for r in batch.select(partition).distinct().collect()]  # partition values, not rows
-    try:
-        target = spark.read.schema(batch.schema).parquet(path)
-    except AnalysisException:
-        target = spark.createDataFrame([], batch.schema)
+    target = read_or_empty(spark, path, batch.schema)
     aside = new_path(spark, "upsert")
     merged = upsert(target.where(F.col(partition).isin(touched)), batch, key, order, monotonic)
     merged.write.parquet(aside)

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from slotframe.operators.tables import progress, read_batches, write_batch, write_ledger
+from slotframe.operators.tables import progress, read_batches, read_or_empty, write_batch, write_ledger
 from slotframe.plans.schemas import SYNC_STATE
 
+STAMP = T.StructType([T.StructField("stamp", T.TimestampType())])
+
 
 @dataclass(frozen=True)
 class Sink:
@@ -45,11 +48,12 @@ def run_ingest(history: DataFrame, live: DataFrame, sink: Sink, track_progress:
     removed against the table, which keeps records of any age.
     """
     def store(batch: DataFrame, batch_id: int) -> None:
+        stamp = F.lit(batch_stamp(batch.sparkSession, sink, batch_id))
         batch.persist()
         try:
             write_ledger(batch, sink.rows, batch_id, list(sink.key), list(sink.order), sink.prune, sink.partition_by)
             if track_progress:
-                write_batch(progress(batch), sink.states, batch_id)
+                write_batch(progress(batch, stamp), sink.states, batch_id)
         finally:
             batch.unpersist()
 
@@ -59,6 +63,16 @@ def run_ingest(history: DataFrame, live: DataFrame, sink: Sink, track_progress:
     return writer.trigger(**trigger).start()
 
 
+def batch_stamp(spark: SparkSession, sink: Sink, batch_id: int) -> datetime:
+    """The time a batch was first seen. It is written before anything else of the batch, so a replay has the same."""
+    path = f"{sink.path}/stamps/batch_id={batch_id}"
+    known = read_or_empty(spark, path, STAMP).first()
+    if known is None:
+        spark.range(1).select(F.current_timestamp().alias("stamp")).write.mode("overwrite").parquet(path)
+        known = read_or_empty(spark, path, STAMP).first()
+    return known["stamp"]
+
+
 def ingested(spark: SparkSession, sink: Sink, schema: T.StructType) -> DataFrame:
     """The stored rows."""
     return read_batches(spark, sink.rows, schema).select(*schema.names)

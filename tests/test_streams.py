@@ -105,3 +105,9 @@ def test_snapshot_stores_changes_only(spark):
     assert sorted((r.pubkey, bytes(r.data[8:])) for r in changed.collect()) == [("b", b"2"), ("c", b"1")]
     assert snapshot.snapshot_job(first, [face], stored).count() == 0
     assert snapshot.snapshot_job(now, [face], stored, program_ids=["other"]).count() == 0
+
+
+def test_a_batch_keeps_its_stamp(spark, tmp_path):
+    sink = ingest.Sink(str(tmp_path / "sink"), ("signature",), ("slot",))
+    first = ingest.batch_stamp(spark, sink, 3)
+    assert ingest.batch_stamp(spark, sink, 3) == first < ingest.batch_stamp(spark, sink, 4)

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from slotframe.operators import tables
 from slotframe.operators.tables import (append_states, bridge, first_by, insert_if_absent, last_processed, progress,
                                         read_batches, slot_bucket, upsert, upsert_partitions, write_batch,
                                         write_ledger)
@@ -76,3 +77,26 @@ def test_bridge_and_states(spark, tmp_path):
         append_states(a, str(tmp_path / "s"), 0, "else", F.lit(None))
     write_batch(a, str(tmp_path / "w"), 3)
     assert read_batches(spark, str(tmp_path / "none"), a.schema).count() == 0
+
+
+def test_a_batch_reads_only_its_own_buckets(spark, tmp_path):
+    """Buckets at both ends of the table: what lies between is not read, which a min..max range would do."""
+    path = str(tmp_path / "ledger")
+    rows = spark.range(1000).select(F.col("id").cast("string").alias("signature"), F.col("id").alias("slot"),
+                                    (F.col("id") / 100).cast("int").alias("bucket"))
+    tables.write_ledger(rows, path, 0, ["signature"], ["slot"], prune="bucket")
+    batch = rows.where("slot < 50 or slot >= 950").unionByName(spark.createDataFrame([("new", 960, 9)], rows.schema))
+    tables.write_ledger(batch, path, 1, ["signature"], ["slot"], prune="bucket")
+    stored = tables.read_batches(spark, path, rows.schema)
+    assert stored.count() == 1001 and stored.where("batch_id = 1").count() == 1
+    part = tables.covered(tables.read_batches(spark, path, rows.schema, before=1), batch, "bucket")
+    assert part.count() == 200
+    assert "dynamicpruning" in part._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_a_missing_path_counts_as_empty(spark, tmp_path):
+    schema = spark.range(0).schema
+    assert tables.read_or_empty(spark, str(tmp_path / "nothing"), schema).count() == 0
+    (tmp_path / "text").write_text("no table")
+    with pytest.raises(Exception):
+        tables.read_or_empty(spark, str(tmp_path / "text"), schema).count()
