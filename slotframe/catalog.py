@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from slotframe import fixtures as fx
 from slotframe.functions import names
 from slotframe.functions.base58 import base58 as to_base58
+from slotframe.functions.base58 import encode_values
 from slotframe.functions.base58 import unbase58
 from slotframe.functions.times import rfc3339
 from slotframe.functions.wire import base64_bytes
@@ -26,6 +27,7 @@ from slotframe.sources import ledger
 from slotframe.sources.messages import unpack_messages
 from slotframe.streaming import buckets, ingest, snapshot
 from slotframe.streaming import sources as ss
+from slotframe.streaming.sources import file_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -267,12 +269,12 @@ c(t, ordinal, column_name, column_type) AS (VALUES
  ('transactions', 2, 'block_time', 'timestamp'), ('transactions', 3, 'success', 'boolean'),
  ('transactions', 4, 'fee', 'bigint'), ('transactions', 5, 'err_msg', 'string'),
  ('transactions', 6, 'indexed_at', 'timestamp'),
- ('instructions', 0, 'transaction_signature', 'string'), ('instructions', 1, 'outer_index', 'int'),
- ('instructions', 2, 'inner_index', 'int'), ('instructions', 3, 'instruction_index', 'int'),
- ('instructions', 4, 'instruction_name', 'string'), ('instructions', 5, 'program_id', 'string'),
- ('instructions', 6, 'args', 'variant'), ('instructions', 7, 'accounts', 'array<string>'),
- ('instructions', 8, 'raw_data', 'binary'), ('instructions', 9, 'decode_status', 'string'),
- ('instructions', 10, 'indexed_at', 'timestamp'),
+ ('instructions', 0, 'transaction_signature', 'string'), ('instructions', 1, 'slot', 'bigint'), ('instructions', 2, 'outer_index', 'int'),
+ ('instructions', 3, 'inner_index', 'int'), ('instructions', 4, 'instruction_index', 'int'),
+ ('instructions', 5, 'instruction_name', 'string'), ('instructions', 6, 'program_id', 'string'),
+ ('instructions', 7, 'args', 'variant'), ('instructions', 8, 'accounts', 'array<string>'),
+ ('instructions', 9, 'raw_data', 'binary'), ('instructions', 10, 'decode_status', 'string'),
+ ('instructions', 11, 'indexed_at', 'timestamp'),
  ('A', 0, 'transaction_signature', 'string'), ('A', 1, 'outer_index', 'int'), ('A', 2, 'inner_index', 'int'),
  ('A', 3, 'instruction_index', 'int'), ('A', 4, 'slot', 'int'), ('A', 5, 'indexed_at', 'timestamp'),
  ('B', 0, 'transaction_signature', 'string'), ('B', 1, 'outer_index', 'int'), ('B', 2, 'inner_index', 'int'),
@@ -619,11 +621,10 @@ def flatten_inner(spark, sf):
 replace(accounts, ',-', '') AS compact FROM flat""")
 def resolve_accounts(spark, sf):
     compact = fl.flatten_instructions(fx.raw_transactions(spark, sf), compact=True)
-    key = ["transaction_signature", "outer_index", "inner_index"]
-    both = flat(spark, sf).select(*key, "accounts").withColumn(
-        "compact", F.filter("accounts", lambda a: a.isNotNull()))
-    assert both.select("compact").schema == compact.select(F.col("accounts").alias("compact")).schema
-    return both.select("transaction_signature", "outer_index", minus("inner_index"), key_text(F.col("accounts")).alias("accounts"), key_text(F.col("compact")).alias("compact"))
+    key = ["transaction_signature", "outer_index"]
+    short = compact.select(*key, minus("inner_index"), F.col("accounts").alias("compact"))
+    both = flat(spark, sf).select(*key, minus("inner_index"), "accounts").join(short, [*key, "inner_index"])
+    return both.select("transaction_signature", "outer_index", "inner_index", key_text(F.col("accounts")).alias("accounts"), key_text(F.col("compact")).alias("compact"))
 
 
 @query(f"""WITH {SQL_FLAT} SELECT CAST(o_orderkey AS VARCHAR) AS transaction_signature, outer_index, coalesce(inner_index, -1) AS inner_index
@@ -661,7 +662,7 @@ def list_instructions(spark, sf):
 
 
 @query("""SELECT CAST(user_id AS VARCHAR) AS pubkey, event_id AS slot, ts AS observed_at, props AS data FROM events
-WHERE event_type = 'purchase' AND user_id = 8 AND event_id >= 3 ORDER BY event_id DESC LIMIT 500""")
+WHERE event_type = 'purchase' AND user_id = 8 AND event_id >= 3 ORDER BY event_id DESC LIMIT 9999""")
 def list_accounts(spark, sf):
     states = fx.account_states(spark, sf)
     by_type = {t: states.where(F.col("account_type") == t) for t in ("purchase", "view")}
@@ -669,14 +670,30 @@ def list_accounts(spark, sf):
     return queries.page(rows, queries.ACCOUNT_ORDER, limit=9999).data.select("pubkey", "slot", "observed_at", "data")
 
 
+@query("""SELECT CAST(user_id AS VARCHAR) AS account, event_id AS slot, props AS data FROM events
+WHERE event_type = 'view' AND user_id = 8""")
+def list_accounts_key(spark, sf):
+    """Keys stored as bytes, found by their base58 text."""
+    states = fx.account_states(spark, sf).where(F.col("account_type") == "view")
+    states = states.withColumn("account", F.col("pubkey")).withColumn("pubkey", fx.key32(F.col("pubkey")))
+    rows = queries.filter_accounts({"view": states}, "view", pubkey=encode_values([fx.key32_of("8")])[0])
+    return rows.select("account", "slot", "data")
+
+
+@query(f"""WITH {SQL_TX} SELECT * FROM tx WHERE success ORDER BY slot DESC, signature DESC LIMIT 700 OFFSET 5""")
+def page_large(spark, sf):
+    rows = queries.filter_transactions(fx.transactions(spark, sf), success=True)
+    return queries.page(rows, queries.TRANSACTION_ORDER, limit=700, offset=5).data
+
+
 @query(f"""WITH {SQL_IX} SELECT count(*) AS total FROM ix WHERE instruction_name = 'A_F'""")
 def page_total(spark, sf):
     rows = queries.filter_instructions(fx.instructions(spark, sf), name="A_F")
     return queries.page(rows, queries.INSTRUCTION_ORDER).envelope.select("total")
 
 
-@query(f"""WITH {SQL_TX} SELECT count(*) AS total, CAST(500 AS BIGINT) AS "limit", CAST(1200 AS BIGINT) AS "offset",
-1700 < count(*) AS has_next FROM tx WHERE success""")
+@query(f"""WITH {SQL_TX} SELECT count(*) AS total, CAST(700 AS BIGINT) AS "limit", CAST(1200 AS BIGINT) AS "offset",
+1900 < count(*) AS has_next FROM tx WHERE success""")
 def page_envelope(spark, sf):
     rows = queries.filter_transactions(fx.transactions(spark, sf), success=True)
     return queries.page(rows, queries.TRANSACTION_ORDER, limit=700, offset=1200).envelope
@@ -745,7 +762,7 @@ def state_asof(spark, sf):
 l_extendedprice AS price, o_orderkey AS tx_slot, o_orderdate AS block_time, o_orderstatus <> 'F' AS success
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey BETWEEN 100 AND 4000000000""")
 def ix_with_tx(spark, sf):
-    rows = lookups.with_transaction(fx.instructions(spark, sf).drop("slot"), fx.transactions(spark, sf), 100, 4000000000)
+    rows = lookups.with_transaction(fx.instructions(spark, sf), fx.transactions(spark, sf), 100, 4000000000)
     return rows.select("transaction_signature", "outer_index", "price", F.col("slot").alias("tx_slot"),
                        "block_time", "success")
 
@@ -771,9 +788,9 @@ def breakdown(spark, sf):
     return queries.instruction_breakdown(fx.instructions(spark, sf))
 
 
-def bucket_sql(period: str, where: str = "TRUE", shown: str = "period") -> str:
+def bucket_sql(period: str, where: str = "TRUE", shown: str = "period", newest: str = "") -> str:
     return f"""WITH {SQL_IX}, b AS (SELECT CAST(date_trunc('{period}', indexed_at) AS TIMESTAMP) AS period, instruction_name,
-  count(*) AS count FROM ix WHERE {where} GROUP BY 1, 2 ORDER BY period DESC, instruction_name LIMIT 1000)
+  count(*) AS count FROM ix WHERE {where} GROUP BY 1, 2 {newest})
 SELECT {shown} AS period, instruction_name, count FROM b"""
 
 
@@ -794,6 +811,13 @@ def buckets_range(spark, sf):
     return rows.withColumn("period", ntz(F.col("period")))
 
 
+@query(bucket_sql("hour", newest="ORDER BY period DESC, instruction_name LIMIT 1000"))
+def buckets_top(spark, sf):
+    """The newest thousand buckets, as a caller may ask for."""
+    rows = queries.instruction_buckets(fx.instructions(spark, sf), "hour", limit=queries.SERVICE_BUCKETS)
+    return rows.withColumn("period", ntz(F.col("period")))
+
+
 @query(bucket_sql("hour", shown="strftime(period, '%Y-%m-%dT%H:%M:%S') || '+00:00'"))
 def buckets_rfc3339(spark, sf):
     rows = queries.instruction_buckets(fx.instructions(spark, sf), "anything")
@@ -825,11 +849,12 @@ def ingest_report(spark, sf):
 
 # ---- tables -----------------------------------------------------------------
 
-@query(f"""WITH {SQL_TX} SELECT * FROM tx""")
+@query(f"""WITH {SQL_TX} SELECT * REPLACE (fee - CASE WHEN success AND slot % 2 = 0 THEN 1 ELSE 0 END AS fee) FROM tx""")
 def bridge(spark, sf):
+    """Live records come again in history, half of them with a smaller fee, which settles the tie."""
     tx = fx.transactions(spark, sf)
-    history, live = tx.where(F.col("success")), tx
-    return tables.bridge(history, live)
+    live = tx.where(F.col("success")).withColumn("fee", F.col("fee") - (F.col("slot") % 2 == 0).cast("int"))
+    return tables.bridge(tx, live)
 
 
 @query("""SELECT CAST(user_id AS VARCHAR) AS program_id, max(event_id) AS last_slot, arg_max(event_type, event_id) AS last_signature
@@ -846,17 +871,27 @@ def upsert(spark, sf):
     return spark.read.parquet(path).select("program_id", "last_slot", "last_signature")
 
 
-def tx_stream(spark: SparkSession, sf: str) -> DataFrame:
-    raw = raw_stream(spark, sf)
+def order_files(spark: SparkSession, sf: str, turns: tuple[int, ...]) -> DataFrame:
+    """Orders as a stream of one file after another, by a third of the keys each."""
+    path, orders = new_path(spark, "orders"), fx.table(spark, sf, "orders")
+    for turn in turns:
+        orders.where(F.col("o_orderkey") % 3 == turn).coalesce(1).write.mode("append").parquet(path)
+    return fx.raw_transactions_of(file_stream(spark, path, orders.schema, files_per_trigger=1))
+
+
+def tx_stream(spark: SparkSession, sf: str, turns: tuple[int, ...], more_fee: int) -> DataFrame:
+    """Each record twice in a batch, once with a higher fee."""
+    raw = order_files(spark, sf, turns)
+    raw = raw.withColumn("fee", F.explode(F.array("fee", F.col("fee") + more_fee)))
     return raw.select("signature", "slot", F.lit("desk").alias("program_id"), F.col("err").isNull().alias("success"),
                       F.col("fee").cast("bigint").alias("fee"),
                       tables.slot_bucket(F.col("slot")).alias("slot_bucket"))
 
 
 def ingested(spark: SparkSession, sf: str) -> tuple[ingest.Sink, DataFrame]:
-    """History and live stream both bring every order."""
+    """History and live stream both bring every order, in different batches, and with conflicts inside each batch."""
     sink = ingest.Sink(new_path(spark, "ingest"), ("signature",), ("slot", "fee"), prune="slot_bucket")
-    history, live = tx_stream(spark, sf), tx_stream(spark, sf)
+    history, live = tx_stream(spark, sf, (0, 1, 2), 7), tx_stream(spark, sf, (2, 0, 1), 5)
     ingest.run_ingest(history, live, sink).awaitTermination()
     return sink, ingest.ingested(spark, sink, history.schema)
 
@@ -873,6 +908,53 @@ def sync_state(spark, sf):
     return state.select("program_id", "last_slot", "last_signature")
 
 
+@query("SELECT max(o_orderkey) AS last_slot, CAST(max(o_orderkey) AS VARCHAR) AS last_signature FROM orders")
+def last_processed(spark, sf):
+    return tables.last_processed(ingest.sync_state(spark, ingested(spark, sf)[0]), "desk")
+
+
+@query("""SELECT 'snapshot' AS source, CAST(user_id AS VARCHAR) AS pubkey, event_id AS slot, TIMESTAMP '2024-02-01' AS observed_at FROM events
+WHERE event_type = 'view' UNION ALL SELECT 'tx', CAST(user_id AS VARCHAR), event_id, TIMESTAMP '2024-02-02' FROM events WHERE event_type = 'click'""")
+def append_states(spark, sf):
+    """Two observations appended; one of them is written twice under its number."""
+    path, states = new_path(spark, "states"), fx.account_states(spark, sf).select("account_type", "pubkey", "slot")
+    times = {"snapshot": "2024-02-01", "tx": "2024-02-02"}
+    for number, kind, source in ((0, "view", "snapshot"), (1, "click", "tx"), (1, "click", "tx")):
+        rows = states.where(F.col("account_type") == kind).drop("account_type")
+        tables.append_states(rows, path, number, source, F.lit(times[source]).cast("timestamp"))
+    kinds = T.StructType([T.StructField("pubkey", T.StringType()), T.StructField("slot", T.LongType()),
+                          T.StructField("source", T.StringType()), T.StructField("observed_at", T.TimestampType())])
+    return tables.read_batches(spark, path, kinds).select("source", "pubkey", "slot", ntz(F.col("observed_at")).alias("observed_at"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '{"a":' || p_size || '}' END AS args,
+CASE WHEN p_partkey % 2 = 0 THEN 'ok' ELSE 'unknown' END AS decode_status FROM part""")
+def decode_named_unknown(spark, sf):
+    """A definition that is called like rows without one."""
+    face = parse_interface({"address": "fixture", "metadata": {"name": "fixture"}, "instructions": [
+        {"name": "unknown", "discriminator": [9] * 8, "args": [{"name": "a", "type": "u8"}]}]})
+    head = F.when(F.col("p_partkey") % 2 == 0, F.lit(b"\x09" * 8)).otherwise(F.lit(b"\x08" * 8))
+    rows = fx.table(spark, sf, "part").select("p_partkey", F.lit("fixture").alias("program_id"),
+                                              F.concat(head, fx.le(F.col("p_size"), 1)).alias("data"))
+    return dc.decode_all(dispatch(rows, [face]), [face]).select("p_partkey", "args", "decode_status")
+
+
+@query("""SELECT p_partkey, true AS same, CAST(CAST(p_retailprice AS FLOAT) AS DOUBLE) AS shown FROM part""")
+def decode_json_paths(spark, sf):
+    """An f32 in JSON is the same number whether its layout is compiled or, for a list of texts beside it, walked."""
+    fields = [{"name": "rate", "type": "f32"}]
+    plain, mixed = [fx.one_layout("rates", more) for more in (fields, [*fields, {"name": "names", "type": {"vec": "string"}}])]
+    single = F.col("p_retailprice").cast("float")
+    rows = fx.table(spark, sf, "part").select("p_partkey", F.concat(
+        fx.disc("rates"), fx.pack((single, "<f4")), F.lit(b"\x01\x00\x00\x00\x01\x00\x00\x00x")).alias("data"))
+    shown = []
+    for at, face in enumerate((plain, mixed)):
+        decoded = dc.decode_table(rows, face, face.instructions[0], keep=["p_partkey"], json_column="j")
+        shown.append(decoded.select("p_partkey", F.get_json_object("j", "$.rate").cast("double").alias(f"rate{at}")))
+    both = shown[0].join(shown[1], "p_partkey")
+    return both.select("p_partkey", (F.col("rate0") == F.col("rate1")).alias("same"), F.col("rate1").alias("shown"))
+
+
 @query(f"WITH {SQL_FLAT} SELECT {SQL_FLAT_COLUMNS} FROM flat")
 def nested_roundtrip(spark, sf):
     raw = fx.raw_transactions(spark, sf)
@@ -889,10 +971,10 @@ def typed_table_scan(spark, sf):
     path = new_path(spark, "dispatched")
     rows = dispatched(spark, sf).where(F.col("program_id").isNotNull())
     stored = rows.withColumn("program_id", hexed(F.col("program_id"))) \
-        .select("transaction_signature", "outer_index", "inner_index", "instruction_index", "data", "program_id", "name")
+        .select("transaction_signature", "outer_index", "inner_index", "instruction_index", "data", "program_id", "name", "matched")
     tables.write_dispatched(stored, path, 0)
     part = tables.read_batches(spark, path, stored.schema).where(
-        (F.col("program_id") == fx.DESK.hex()) & (F.col("name") == "note"))
+        (F.col("program_id") == fx.DESK.hex()) & (F.col("name") == "note") & F.col("matched"))
     face = desk()
     rows = dc.decode_table(part, face, face.find("instruction", "note"), keep=["transaction_signature"])
     return rows.select("transaction_signature", F.col("text").alias("note"), F.col("order").cast("bigint").alias("order"))

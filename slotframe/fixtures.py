@@ -82,12 +82,6 @@ def f32_list_bytes(values: Column) -> Column:
     return _float_list_bytes.asNondeterministic()(values)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """The rows over all cores, where the table is too few files for that."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores, *keys)
-
-
 def text_bytes(text: Column) -> Column:
     raw = text.cast("binary")
     return F.concat(le(F.length(raw), 4), raw)
@@ -198,7 +192,7 @@ def raw_transactions_of(orders: DataFrame) -> DataFrame:
 
 
 def raw_transactions(spark: SparkSession, sf: str) -> DataFrame:
-    return raw_transactions_of(spread(table(spark, sf, "orders"), "o_orderkey"))
+    return raw_transactions_of(table(spark, sf, "orders"))
 
 
 def wire_transactions(spark: SparkSession, sf: str) -> DataFrame:
@@ -233,7 +227,7 @@ FILL = one_layout("fill", _args(order="u64", line="u8", part="u64", supplier="u6
 
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber")
+    return table(spark, sf, "lineitem")
 
 
 def fill_payloads(spark: SparkSession, sf: str) -> DataFrame:
@@ -273,7 +267,7 @@ WIDE = one_layout("wide", _args(order="u64", u="u128", i="i128"))
 
 def wide_payloads(spark: SparkSession, sf: str) -> DataFrame:
     digest = F.unhex(F.md5(F.col("o_orderkey").cast("string")))
-    return spread(table(spark, sf, "orders"), "o_orderkey").select(
+    return table(spark, sf, "orders").select(
         F.concat(disc("wide"), le(F.col("o_orderkey"), 8), digest, digest).alias("data"))
 
 
@@ -291,7 +285,7 @@ TEXTS = one_layout("texts", _args(doc="u64", text="string", lang={"option": "str
 
 def text_payloads(spark: SparkSession, sf: str) -> DataFrame:
     lang = F.when(F.col("lang") != "en", F.col("lang"))
-    return spread(table(spark, sf, "documents"), "doc_id").select(F.concat(
+    return table(spark, sf, "documents").select(F.concat(
         disc("texts"), le(F.col("doc_id"), 8), text_bytes(F.col("text")), option_bytes(lang, text_bytes(lang)),
         text_bytes(F.col("source")), le(-F.col("n_chars"), 8)).alias("data"))
 
@@ -314,7 +308,7 @@ ARRAYS = one_layout("arrays", _args(id="u64", items={"array": ["f32", 64]}, labe
 def vector_payloads(spark: SparkSession, sf: str, counted: bool) -> DataFrame:
     items = f32_list_bytes(F.col("embedding"))
     count = [le(F.size("embedding"), 4)] if counted else []
-    return spread(table(spark, sf, "embeddings"), "vec_id").select(F.concat(
+    return table(spark, sf, "embeddings").select(F.concat(
         disc("vectors" if counted else "arrays"), le(F.col("vec_id"), 8), *count, items,
         le(F.col("label"), 4)).alias("data"))
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import string
 
-import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,7 +26,7 @@ def sanitize(c: Column) -> Column:
 def sanitize_name(name: str) -> str:
     """:func:`sanitize` for one name on the driver."""
     lowered = name.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase))
-    return regex.sub(r"[^\p{Alphabetic}\p{N}_]", "_", lowered)
+    return "".join(c if c.isalnum() or c == "_" else "_" for c in lowered)
 
 
 def snake_case(c: Column) -> Column:
@@ -48,7 +47,7 @@ def account_discriminator(name: Column) -> Column:
 
 
 def _snake_name(name: str) -> str:
-    spaced = regex.sub(r"(?<!^)(\p{Uppercase})", r"_\1", name)
+    spaced = "".join("_" + c if i and c.isupper() else c for i, c in enumerate(name))
     return spaced.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase))
 
 

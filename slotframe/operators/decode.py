@@ -53,8 +53,9 @@ def json_ready(node: object, value: Column) -> Column:
     if isinstance(node, Prim):
         if node.name in BINARY_PRIMS:
             return base58(value)
-        finite = ~(F.isnan(value) | (F.abs(value) == float("inf")))
-        return F.when(finite, value)
+        wide = value.cast("double")  # as every other reader of the bytes shows an f32
+        finite = ~(F.isnan(wide) | (F.abs(wide) == float("inf")))
+        return F.when(finite, wide)
     if isinstance(node, Opt):
         return json_ready(node.item, value)
     if isinstance(node, Seq):
@@ -161,7 +162,7 @@ def decode_all(df: DataFrame, interfaces: Interface | list[Interface], kind: str
             if layout.name not in seen:
                 seen.add(layout.name)
                 chosen.append((face, layout))
-                conditions.append((F.col(name) == layout.name) & (F.col("program_id") == program_literal(df, face)))
+                conditions.append(_matches(df, face, layout.name, name))
     keep = df.columns
     staged, outcomes, texts = _outcomes(df, chosen, data, conditions, True)
 
@@ -191,7 +192,7 @@ def publish_instructions(decoded: DataFrame, indexed_at: Column | None = None, j
     """Decoded rows as the published instructions table: keys become text here, at the very end."""
     stamp = F.current_timestamp() if indexed_at is None else indexed_at
     return decoded.select(
-        "transaction_signature", "outer_index", "inner_index", "instruction_index",
+        "transaction_signature", "slot", "outer_index", "inner_index", "instruction_index",
         F.col("name").alias("instruction_name"), base58(F.col("program_id")).alias("program_id"),
         args_variant(F.col("args"), json_null).alias("args"), base58_list(F.col("accounts")).alias("accounts"),
         F.col("data").alias("raw_data"), "decode_status", stamp.alias("indexed_at"))
@@ -215,12 +216,19 @@ def program_literal(df: DataFrame, interface: Interface) -> Column:
     return F.lit(interface.program_id)
 
 
+def _matches(df: DataFrame, interface: Interface, layout: str, name: str = "name") -> Column:
+    """Rows of one definition. Rows without a match are named ``unknown``, which a definition may be called too, so
+    ``matched`` decides where the table has it."""
+    same = (F.col(name) == layout) & (F.col("program_id") == program_literal(df, interface))
+    return same & F.col("matched") if "matched" in df.columns else same
+
+
 def typed_instructions(dispatched: DataFrame, interface: Interface, name: str, data: str = "data",
                        indexed_at: Column | None = None) -> DataFrame:
     """Rows of one ``{program}_ix_{name}`` table; an instruction without arguments still gives its row."""
     layout = interface.find("instruction", name)
     key = ["transaction_signature", "outer_index", "inner_index", "instruction_index"]
-    rows = dispatched.where((F.col("program_id") == program_literal(dispatched, interface)) & (F.col("name") == name))
+    rows = dispatched.where(_matches(dispatched, interface, name))
     decoded = decode_table(rows.select(*key, data), interface, layout, data, keep=key)
     return decoded.withColumn("indexed_at", F.current_timestamp() if indexed_at is None else indexed_at)
 
@@ -230,7 +238,7 @@ def typed_accounts(dispatched: DataFrame, interface: Interface, name: str, data:
     """Rows of one account table: typed fields and the whole object as JSON in ``data_json``."""
     layout = interface.find("account", name)
     keep = keep or [c for c in dispatched.columns if c not in (data, "name", "matched", "fields")]
-    rows = dispatched.where((F.col("program_id") == program_literal(dispatched, interface)) & (F.col("name") == name))
+    rows = dispatched.where(_matches(dispatched, interface, name))
     return decode_table(rows, interface, layout, data, keep=keep, json_column="data_json")
 
 

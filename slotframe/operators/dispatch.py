@@ -11,7 +11,7 @@ from slotframe.functions.names import DISCRIMINATOR_BYTES
 from slotframe.plans.types import Interface
 
 UNKNOWN_NAME = "unknown"
-BROADCAST_ROWS = 200_000   # about 20 MB of definitions
+BROADCAST_BYTES = 32 << 20
 SALTS = 32
 
 
@@ -29,17 +29,19 @@ def first_definitions(definitions: DataFrame) -> DataFrame:
             .select("program_id", "discriminator", "d.*"))
 
 
-def attach_small(facts: DataFrame, small: DataFrame, on: list[str], rows_limit: int = BROADCAST_ROWS,
-                 known_rows: int | None = None) -> DataFrame:
+def attach_small(facts: DataFrame, small: DataFrame, on: list[str], bytes_limit: int = BROADCAST_BYTES,
+                 known_bytes: int | None = None) -> DataFrame:
     """Left join with a lookup table that has one row per key.
 
-    The lookup's rows are counted first, unless their number is known. Within the
+    The lookup's size in bytes is added up first, unless it is known. Within the
     limit it is broadcast, so the facts are not shuffled. Beyond it the lookup is
     copied ``SALTS`` times and the facts are spread over the copies by a hash of the
     whole row, so no single key fills one task.
     """
-    rows = small.limit(rows_limit + 1).count() if known_rows is None else known_rows
-    if rows <= rows_limit:
+    size = known_bytes
+    if size is None:
+        size = small.agg(F.sum(F.octet_length(F.to_json(F.struct(*small.columns)))).alias("n")).first()["n"] or 0
+    if size <= bytes_limit:
         return facts.join(F.broadcast(small), on, "left")
     hashed = [f.name for f in facts.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     spread = F.pmod(F.xxhash64(*hashed), F.lit(SALTS)).cast("int")
@@ -64,21 +66,23 @@ def definition_rows(df: DataFrame, interfaces: list[Interface], kind: str) -> Da
 
 
 def dispatch(df: DataFrame, definitions: DataFrame | list[Interface], kind: str = "instruction",
-             data: str = "data", rows_limit: int = BROADCAST_ROWS) -> DataFrame:
+             data: str = "data", bytes_limit: int = BROADCAST_BYTES) -> DataFrame:
     """Adds the columns of the matching definition and ``matched``; nothing matches a short payload.
 
     ``definitions`` is the instruction or account table of a registry, or a list of
     interfaces (then ``kind`` says which of the two). Rows without a match keep their
-    bytes and are named ``unknown``.
+    bytes and are named ``unknown``. The fields of a definition may be of any length and
+    are not joined.
     """
     if isinstance(definitions, DataFrame):
-        known, count = first_definitions(definitions), None
+        known, size = first_definitions(definitions.drop("fields")), None
     else:
         known = definition_rows(df, definitions, kind)
-        count = sum(len(face.layouts(kind)) for face in definitions)
+        size = sum(200 + 4 * len(x.name) + 4 * len(x.program) + 4 * len(x.writable)
+                   for face in definitions for x in face.layouts(kind))
     known = known.withColumnRenamed("discriminator", "_prefix").withColumn("matched", F.lit(True))
     keyed = df.withColumn("_prefix", prefix(F.col(data)))
-    joined = attach_small(keyed, known, ["program_id", "_prefix"], rows_limit, known_rows=count)
+    joined = attach_small(keyed, known, ["program_id", "_prefix"], bytes_limit, known_bytes=size)
     return (joined.drop("_prefix")
             .withColumn("matched", F.coalesce("matched", F.lit(False)))
             .withColumn("name", F.coalesce("name", F.lit(UNKNOWN_NAME))))

@@ -6,11 +6,18 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from slotframe.functions.base58 import key_bytes
 from slotframe.functions.times import period_start, time_bound
 
-# Page and bucket limits.
-DEFAULT_LIMIT, MAX_LIMIT, MAX_BUCKETS = 50, 500, 1000
+# The page size where none is asked for, and the limits that a service over these tables keeps.
+DEFAULT_LIMIT, SERVICE_LIMIT, SERVICE_BUCKETS = 50, 500, 1000
+
+
+def service_limit(limit: int | None) -> int:
+    """The page size that the service gives for a request: never above SERVICE_LIMIT. ``page`` itself gives what is asked."""
+    return min(DEFAULT_LIMIT if limit is None else limit, SERVICE_LIMIT)
 
 
 def _newest_first(*names: str) -> list[Column]:
@@ -48,10 +55,13 @@ def filter_instructions(df: DataFrame, name: str | None = None, transaction_sign
 
 def filter_accounts(tables: dict[str, DataFrame], account_type: str, pubkey: object = None,
                     slot_from: int | None = None, slot_to: int | None = None) -> DataFrame:
-    """States of one account type; an unknown type is a KeyError."""
+    """States of one account type; an unknown type is a KeyError. A base58 key finds BINARY keys too."""
     if account_type not in tables:
         raise KeyError(f"unknown account type {account_type!r}")
-    return _where(tables[account_type], a=("pubkey", "=", pubkey), b=("slot", ">=", slot_from),
+    states = tables[account_type]
+    if isinstance(pubkey, str) and isinstance(states.schema["pubkey"].dataType, T.BinaryType):
+        pubkey = key_bytes(pubkey)
+    return _where(states, a=("pubkey", "=", pubkey), b=("slot", ">=", slot_from),
                   c=("slot", "<=", slot_to))
 
 
@@ -63,8 +73,8 @@ class Page:
 
 
 def page(df: DataFrame, order: tuple[str, ...], limit: int | None = None, offset: int | None = None) -> Page:
-    """One page, newest first. For deep pages use ``sources.ledger.keyset_page``."""
-    limit = min(DEFAULT_LIMIT if limit is None else limit, MAX_LIMIT)
+    """One page of ``limit`` rows, newest first. For deep pages use ``sources.ledger.keyset_page``."""
+    limit = DEFAULT_LIMIT if limit is None else limit
     offset = 0 if offset is None else offset
     if limit < 0 or offset < 0:
         raise ValueError("limit and offset must not be negative")
@@ -106,16 +116,19 @@ def instruction_breakdown(instructions: DataFrame) -> DataFrame:
 
 def instruction_buckets(instructions: DataFrame, period: str | None = None, name: str | None = None,
                         from_time: str | None = None, to_time: str | None = None,
-                        time_col: str = "indexed_at", limit: int = MAX_BUCKETS) -> DataFrame:
-    """Instructions per (hour or day, name), newest first; the time range includes both ends."""
+                        time_col: str = "indexed_at", limit: int | None = None) -> DataFrame:
+    """Instructions per (hour or day, name), newest first; the time range includes both ends.
+
+    All buckets, unless ``limit`` asks for the newest ones only.
+    """
     rows = _where(instructions, a=("instruction_name", "=", name))
     if from_time is not None:
         rows = rows.where(F.col(time_col) >= time_bound(from_time))
     if to_time is not None:
         rows = rows.where(F.col(time_col) <= time_bound(to_time))
-    return (rows.groupBy(period_start(period, F.col(time_col)).alias("period"), "instruction_name")
-            .agg(F.count("*").alias("count"))
-            .orderBy(F.col("period").desc(), "instruction_name").limit(limit))
+    buckets = (rows.groupBy(period_start(period, F.col(time_col)).alias("period"), "instruction_name")
+               .agg(F.count("*").alias("count")).orderBy(F.col("period").desc(), "instruction_name"))
+    return buckets if limit is None else buckets.limit(limit)
 
 
 # Metric names and their help texts.

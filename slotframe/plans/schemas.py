@@ -31,7 +31,7 @@ TRANSACTIONS = _schema(
     "signature STRING, slot BIGINT, block_time TIMESTAMP, success BOOLEAN, fee BIGINT, "
     "err_msg STRING, indexed_at TIMESTAMP")
 INSTRUCTIONS = _schema(
-    "transaction_signature STRING, outer_index INT, inner_index INT, instruction_index INT, "
+    "transaction_signature STRING, slot BIGINT, outer_index INT, inner_index INT, instruction_index INT, "
     "instruction_name STRING, program_id STRING, args VARIANT, accounts ARRAY<STRING>, "
     "raw_data BINARY, decode_status STRING, indexed_at TIMESTAMP")
 SYNC_STATE = _schema(

@@ -64,19 +64,19 @@ def test_floats_keep_their_bits(spark):
 
 
 def test_sequence_of_primitives(spark):
-    args = [{"name": n, "type": t} for n, t in
-            zip("abcde", ["bool", "u8", "u16", "u32", "string"])]
-    row = decode(spark, args, [bytes.fromhex("012A34127856341205000000") + b"hello"])[0]
-    assert (row.a, row.b, row.c, row.d, row.e) == (True, 42, 0x1234, 0x12345678, "hello")
+    args = [{"name": n, "type": t} for n, t in zip("pqrst", ["u32", "string", "i16", "bool", "u8"])]
+    raw = struct.pack("<I", 3_000_000_001) + struct.pack("<I", 7) + "größer".encode()[:7] + struct.pack("<h?B", -31_000, False, 250)
+    row = decode(spark, args, [raw])[0]
+    assert (row.p, row.q, row.r, row.s, row.t) == (3_000_000_001, "größe", -31_000, False, 250)
     assert (row.decode_status, row.trailing_bytes) == ("ok", 0)
 
 
 def test_short_payloads_keep_what_was_read(spark):
-    args = [{"name": "a", "type": "u16"}, {"name": "b", "type": "u16"}, {"name": "c", "type": "u8"}]
-    row = decode(spark, args, [bytes.fromhex("010203")], json_column="j")[0]
-    assert (row.a, row.b, row.c) == (0x0201, None, None)
-    assert (row.decode_status, row.failed_field, row.failed_offset, row.trailing_bytes) == ("partial", "b", 10, None)
-    assert json.loads(row.j) == {"a": 513, "b": None}
+    args = [{"name": "a", "type": "i32"}, {"name": "b", "type": "u64"}, {"name": "c", "type": "u8"}]
+    row = decode(spark, args, [struct.pack("<i", -77) + b"\x05\x06\x07"], json_column="j")[0]
+    assert (row.a, row.b, row.c) == (-77, None, None)
+    assert (row.decode_status, row.failed_field, row.failed_offset, row.trailing_bytes) == ("partial", "b", 12, None)
+    assert json.loads(row.j) == {"a": -77, "b": None}
 
 
 def test_invalid_text_is_replaced(spark):

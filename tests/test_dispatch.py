@@ -7,11 +7,11 @@ from slotframe.plans.types import parse_interface
 KEY = bytes(range(32))
 FACE = parse_interface({
     "address": encode_values([KEY])[0], "metadata": {"name": "demo"},
-    "instructions": [{"name": "first", "discriminator": [1, 2, 3, 4, 5, 6, 7, 8]},
-                     {"name": "second", "discriminator": [1, 2, 3, 4, 5, 6, 7, 8]},
-                     {"name": "odd", "discriminator": [9]}]})
-ROWS = [(1, "0102030405060708" + "2a", "first"), (2, "0102030405060709" + "2a", "unknown"), (3, "010203", "unknown"),
-        (4, "", "unknown"), (5, "09", "unknown"), (6, "0102030405060708", "first")]
+    "instructions": [{"name": "first", "discriminator": list(b"hitMiss!")},
+                     {"name": "second", "discriminator": list(b"hitMiss!")},
+                     {"name": "odd", "discriminator": [200]}]})
+ROWS = [(1, b"hitMiss!tail".hex(), "first"), (2, b"hitMiss?tail".hex(), "unknown"), (3, b"hitM".hex(), "unknown"),
+        (4, "", "unknown"), (5, "c8", "unknown"), (6, b"hitMiss!".hex(), "first")]
 
 
 def facts(spark, key):
@@ -34,7 +34,7 @@ def test_large_registries_use_the_salted_join(spark):
         [(FACE.program_id, "demo", x.ordinal, x.name, bytearray(x.discriminator)) for x in FACE.instructions],
         "program_id string, program string, ordinal int, name string, discriminator binary")
     small = dispatch(facts(spark, FACE.program_id), table)
-    large = dispatch(facts(spark, FACE.program_id), table, rows_limit=0)
+    large = dispatch(facts(spark, FACE.program_id), table, bytes_limit=0)
     assert sorted(map(str, small.select("i", "name").collect())) == sorted(map(str, large.select("i", "name").collect()))
     assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
     assert "_salt" in large._jdf.queryExecution().optimizedPlan().toString()

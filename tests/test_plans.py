@@ -27,6 +27,16 @@ def test_decode_chain_is_narrow(spark, tmp_path):
     assert "hashpartitioning" not in text and "rangepartitioning" not in text and "BroadcastHashJoin" in text
 
 
+@pytest.mark.parametrize("name", ["decode_fixed", "decode_string", "decode_vec", "decode_all", "flatten_outer", "flatten_inner", "typed_ix"])
+def test_decode_queries_do_not_shuffle(spark, name):
+    assert "Exchange hashpartitioning" not in plan(QUERIES[name](spark, SF))
+
+
+def test_slot_range_reaches_both_scans(spark):
+    text = plan(QUERIES["ix_with_tx"](spark, SF))
+    assert "GreaterThanOrEqual(l_orderkey,100)" in text and "GreaterThanOrEqual(o_orderkey,100)" in text
+
+
 def test_filters_on_kept_columns_reach_the_scan(spark, tmp_path):
     fx.text_payloads(spark, SF).selectExpr("data", "length(data) as slot").write.parquet(str(tmp_path / "p"))
     face = fx.TEXTS

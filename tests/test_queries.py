@@ -20,7 +20,8 @@ def test_pages_cover_everything_once(tx):
     assert tuple(queries.page(tx, order, 4, 4).envelope.first()) == (9, 4, 4, True)
     assert tuple(queries.page(tx, order, 5, 4).envelope.first()) == (9, 5, 4, False)
     assert tuple(queries.page(tx, order).envelope.first()) == (9, 50, 0, False)
-    assert queries.page(tx, order, 9999).envelope.first().limit == 500
+    assert queries.page(tx, order, 9999).envelope.first().limit == 9999
+    assert [queries.service_limit(n) for n in (None, 7, 9999)] == [50, 7, 500]
     for bad in ((-1, 0), (1, -1)):
         with pytest.raises(ValueError):
             queries.page(tx, order, *bad)
