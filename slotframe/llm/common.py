@@ -10,16 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slotframe.operators.skew import join_counted  # noqa: F401 (used by the operators)
 from slotframe.session import new_path
 
 WORD = r"[^\x20\x09-\x0D]+"
 """A word: what lies between spaces and the control characters 9 to 13."""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-HOT_SHARE = 512
-"""A key with more than this fraction (one over it) of all rows is hot; so there are never more hot keys than this."""
-SPREAD = 64
-"""Hot keys are spread over this many parts where rows of one key need not meet."""
-
 
 def ascii_lower(text: Column) -> Column:
     """Lower case for A-Z alone."""
@@ -35,35 +31,6 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_counted(left: DataFrame, right: DataFrame, key: str, count: str, total: int, spread: Column) -> DataFrame:
-    """``left`` left-joined with ``right``, which has one row for each key and its number of rows in ``count``.
-
-    Keys with over 1/HOT_SHARE of ``total`` rows, at most HOT_SHARE of them by arithmetic, are
-    broadcast; their rows are dealt out by ``spread`` afterwards, so none of them fills a task.
-    Other keys meet by an ordinary join. Rows with a null key find nothing.
-    """
-    values = [c for c in right.columns if c not in (key, count)]
-    hot = right.where(F.col(count) * HOT_SHARE > total).select(
-        F.col(key).alias("_hot_key"), F.struct(*values).alias("_hot"))
-    cold = right.where(F.col(count) * HOT_SHARE <= total).select(
-        F.col(key).alias("_key"), F.lit(0).alias("_part"), F.struct(*values).alias("_cold"))
-    met = left.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
-    alone = F.col("_hot_key").isNotNull() | F.col(key).isNull()
-    met = met.withColumn("_part", F.when(alone, 1 + F.pmod(F.xxhash64(spread), F.lit(1 << 20)).cast("int")).otherwise(0))
-    met = met.withColumn("_match", F.when(F.col("_part") == 0, F.col(key)))
-    met = met.withColumn("_match", F.coalesce(F.col("_match"), right_null(right, key)))
-    cold = cold.withColumnRenamed("_key", "_match")
-    met = met.join(cold, ["_match", "_part"], "left")
-    kept = [c for c in left.columns]
-    return met.select(*kept, *[F.coalesce(F.col(f"_hot.{v}"), F.col(f"_cold.{v}")).alias(v) for v in values])
-
-
-def right_null(right: DataFrame, key: str) -> Column:
-    """A value of the key's type that stands for "no key"; the part number keeps it from matching."""
-    kind = right.schema[key].dataType.simpleString()
-    return F.lit("").cast(kind) if kind in ("string", "binary") else F.lit(0).cast(kind)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
