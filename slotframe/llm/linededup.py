@@ -3,8 +3,8 @@
 A line is the set of its words. Equal sets form a class, named by its first occurrence (document, line). Words
 are ordered by rarity over all lines; two sets that are similar enough share one of their few rarest words (prefix
 filter), so classes meet by the words of their prefixes. Where they meet, their sizes (length filter), the places
-of the shared word (positional filter) and a 64-bit picture of the sets bound how many words they can
-share; what passes is verified on the whole sets.
+of the shared word (positional filter) and a 64-bit picture of the sets (the parity of how many words fall into
+each cell, which differs in no more cells than the sets in words) bound how many words they can share; what passes is verified on the whole sets.
 
 Only whether a line has an earlier match matters. So each class first verifies its most promising
 partner; classes that are removed by then need no more. All remaining pairs in which an open class is
@@ -103,7 +103,7 @@ def describe(counts: np.ndarray, percent: int) -> Callable:
             owner = np.repeat(np.arange(len(lines)), n)
             with np.errstate(over="ignore"):
                 digest = np.stack([np.add.reduceat(mix64(tokens + M1), start[full]), np.add.reduceat(mix64(tokens ^ M1), start[full])], 1)
-            bits = np.bitwise_or.reduceat(np.uint64(1) << (mix64(tokens) & np.uint64(63)), start[full])
+            bits = np.bitwise_xor.reduceat(np.uint64(1) << (mix64(tokens) & np.uint64(63)), start[full])
             rare = counts[bucket(tokens)].astype(np.uint64)
             order = np.argsort((owner.astype(np.uint64) << np.uint64(40)) | rare, kind="stable")
             place = np.arange(len(tokens)) - start[owner]
