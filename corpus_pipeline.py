@@ -43,11 +43,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = minhash.near_duplicates(docs.select("doc_id", "text"))
     rows, names = numbered(docs)
     own = names["doc_id"]
-    kept = found.where("kept and doc_id is not null").select(F.col("doc_id").alias(own)).distinct()
-    named = rows.where(F.col(own).isNotNull()).join(kept, own, "left_semi")
+    kept = found.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias(own)).agg(F.count("*").alias("copies"))
+    # Ids are hashed, so texts are shuffled once and not sorted; only ids with several rows need an order.
+    named = rows.where(F.col(own).isNotNull()).join(kept.hint("shuffle_hash"), own)
     first = Window.partitionBy(own).orderBy(F.xxhash64(*names.values()))
-    named = named.withColumn("turn", F.row_number().over(first)).where("turn = 1").select(*names.values())
-    return renamed(named.unionByName(rows.where(F.col(own).isNull())), names)
+    repeated = named.where("copies > 1").withColumn("turn", F.row_number().over(first)).where("turn = 1")
+    kept = named.where("copies = 1").select(*names.values()).unionByName(repeated.select(*names.values()))
+    return renamed(kept.unionByName(rows.where(F.col(own).isNull())), names)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,12 +58,12 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats and leaves out documents until each source has its share; copies follow their shards' orders."""
+    """Repeats and leaves out documents until each source has its share; each part of the result is in its shards' seeded order."""
     rows, names = numbered(docs)
     rows = rows.withColumn("key", F.xxhash64(F.col(names["doc_id"]).cast("string"), names["text"], F.lit(5)))
     drawn = mixing.mix(rows, id_col=names["doc_id"], text_col=names["text"], source_col=names["source"], keep=("key",))
     drawn = drawn.where(F.size("draws") > 0).groupBy("key").agg(F.max("draws").alias("draws"))
-    return renamed(mixing.mixture(rows.join(drawn, "key")), names)
+    return renamed(mixing.mixture(rows.join(drawn.hint("shuffle_hash"), "key"), gather=False), names)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -169,10 +169,12 @@ def mix(docs: DataFrame, weights: Callable[[list], dict] | dict = ranked_weights
                        draws.alias("draws"), *[F.col(f"_keep_{c}").alias(c) for c in keep])
 
 
-def mixture(mixed: DataFrame) -> DataFrame:
+def mixture(mixed: DataFrame, gather: bool = True) -> DataFrame:
     """The mix: a row for each copy, gathered by shard and in the shard's seeded order. Hot sources are no
     hot keys here, as every shard has its quota of blocks; shards larger than a task are written in parts
-    by the leading bits of the order."""
+    by the leading bits of the order. Without ``gather`` rows stay in the parts they are in, each of which is put in order; that
+    moves no text."""
     rows = mixed.withColumn("_draw", F.explode("draws")).drop("draws")
     rows = rows.select("*", F.col("_draw.shard").alias("shard"), F.col("_draw.order").alias("shard_order")).drop("_draw")
-    return rows.repartitionByRange("shard", "shard_order").sortWithinPartitions("shard", "shard_order")
+    rows = rows.repartitionByRange("shard", "shard_order") if gather else rows
+    return rows.sortWithinPartitions("shard", "shard_order")
