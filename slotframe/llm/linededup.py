@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotframe.llm.common import join_counted, slices, stored
+from slotframe.llm.minhash import may_link, parity
 from slotframe.llm.shingles import M1, mix64, word_hashes
 
 BUCKETS = 1 << 18
@@ -189,7 +190,7 @@ def by_token(found: Callable, width: int) -> Callable:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own = [batch.column(k).to_numpy() for k in range(width)]
+            own = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(width)]
             held = own if held is None else [np.concatenate(x) for x in zip(held, own)]
             last = int(np.flatnonzero(np.append(True, held[0][1:] != held[0][:-1]))[-1])
             if last:
@@ -218,19 +219,30 @@ def partners(percent: int) -> Callable:
     return by_token(found, 5)
 
 
+def draw_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc, line, words) to pictures of the whole sets, of a size that grows with them."""
+    for batch in batches:
+        drawn = [parity(np.asarray(v)) for v in batch.column(2).to_numpy(zero_copy_only=False)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(drawn, pa.binary())], ["doc", "line", "picture"])
+
+
 def open_pairs(percent: int) -> Callable:
-    """Pairs whose later class is still open (flag in the last column): earlier and later one."""
+    """Pairs whose later class is still open (flag in the last column but one) and whose pictures (last column) allow it: earlier
+    and later one."""
     def found(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        _, doc, line, _, _, is_open = columns
+        _, doc, line, size, _, is_open, picture = columns
+        n = size >> 32
         for a, b, _ in meetings(columns[:5], percent):
             less = (doc[a] < doc[b]) | ((doc[a] == doc[b]) & (line[a] < line[b]))
             first, then = np.where(less, a, b), np.where(less, b, a)
             ok = is_open[then] != 0
             first, then = first[ok], then[ok]
+            ok = np.array([may_link(picture[x], picture[y], int(n[x] + n[y]), percent) for x, y in zip(first, then)], bool)
+            first, then = first[ok], then[ok]
             if len(first):
                 yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(line[first]), pa.array(doc[then]), pa.array(line[then])],
                                                  ["doc", "line", "doc2", "line2"])
-    return by_token(found, 6)
+    return by_token(found, 7)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -272,6 +284,9 @@ def line_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gone = stored(verified(best.select("doc", "line", "p.doc2", "p.line2"), sets, percent), "matched")
     flagged = members.select("token", "doc", "line", "size", "bits").join(gone.withColumn("_gone", F.lit(1)), ["doc", "line"], "left")
     flagged = flagged.select("token", "doc", "line", "size", "bits", F.when(F.col("_gone").isNull(), 1).otherwise(0).alias("open"))
+    drawn = sets.mapInArrow(draw_sets, "doc long, line int, picture binary").groupBy("doc", "line").agg(
+        F.when(F.min("picture") == F.max("picture"), F.max("picture")).alias("picture"))  # none where an id has several texts
+    flagged = flagged.join(drawn, ["doc", "line"], "left").select("token", "doc", "line", "size", "bits", "open", "picture")
     flagged = flagged.repartition("token").sortWithinPartitions("token", "size")
     pairs = flagged.mapInArrow(open_pairs(percent), "doc long, line int, doc2 long, line2 int").distinct()
     gone = gone.unionByName(verified(pairs, sets, percent)).distinct()
