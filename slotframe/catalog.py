@@ -204,6 +204,16 @@ def enrich_missing(spark, sf):
     return tables.read_batches(spark, f"{path}/rows", stream.schema).select("signature").distinct()
 
 
+@query(f"""WITH {SQL_TX} SELECT tx.* FROM tx WHERE slot % 2 = 0 AND signature IN (SELECT CAST(event_id * 3 AS VARCHAR) FROM events)""")
+def enrich_retry(spark, sf):
+    """Records that come after their notification: missed at first, found by the second look."""
+    notified = fx.table(spark, sf, "events").select((F.col("event_id") * 3).cast("string").alias("signature"))
+    records = fx.transactions(spark, sf)
+    missing = ss.missing_notifications(notified, records.where(F.col("slot") % 2 == 1))
+    found, _ = ss.retry_missing(missing, records)
+    return found
+
+
 @query("""SELECT CAST(user_id AS VARCHAR) AS pubkey, event_id AS slot, event_type AS owner FROM events
 WHERE event_type IN ('click', 'view')""")
 def scan_accounts(spark, sf):

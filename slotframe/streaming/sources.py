@@ -40,15 +40,23 @@ def stream_filter(raw: DataFrame, vote: bool | None = False, failed: bool | None
     return rows if include is None else stream_program(rows, include, keys)
 
 
-def enrich_notifications(notifications: DataFrame, raw: DataFrame, on: tuple[str, ...] = ("signature",)) -> DataFrame:
+def enrich_notifications(notifications: DataFrame, raw: DataFrame, on: tuple[str, ...] | None = None) -> DataFrame:
     """Full records for notified signatures: a stream-static join, read afresh per micro-batch.
 
-    Where notifications carry a slot, put ``slot_bucket`` into ``on`` as well: the
-    record table is then pruned to the buckets of the micro-batch.
+    Where both sides have ``slot_bucket`` it is part of the key: the record table is then
+    pruned to the buckets of the micro-batch.
     """
+    if on is None:
+        both = "slot_bucket" in notifications.columns and "slot_bucket" in raw.columns
+        on = ("signature", "slot_bucket") if both else ("signature",)
     return notifications.select(*on).join(raw, list(on))
 
 
 def missing_notifications(batch: DataFrame, raw: DataFrame) -> DataFrame:
     """Notified signatures without a record yet; for use inside ``foreachBatch``, to be looked up again."""
     return batch.select("signature").distinct().join(raw.select("signature"), "signature", "left_anti")
+
+
+def retry_missing(missing: DataFrame, raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Another look for notified records that were not there: what has come since, and what is still missing."""
+    return enrich_notifications(missing, raw), missing.join(raw.select("signature"), "signature", "left_anti")
