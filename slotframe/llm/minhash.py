@@ -6,9 +6,11 @@ with an equal head are regions of the forest; where a region has over REGION mem
 where the common prefix of tails is longer, so dense regions use deeper prefixes. Inside a region each
 member finds its longest-common-prefix neighbour and its smallest neighbour among those whose
 tails agree well enough. These few pairs for each document are confirmed on the whole sets, and
-components follow. Then every region that still holds members of several components gives all
-its pairs across them that tails allow; they are confirmed too. So a link is never missed for
-being in a large group, and pairs inside a group that already hangs together are never listed.
+components follow. Then every head that still holds members of several components gives its pairs
+across them: a region that is a whole head those that tails allow, a head that was cut (for its size, or
+between two partitions) all that sizes and pictures of whole sets allow, in blocks over tasks. They are
+confirmed too. So a link is never missed for being in a large group, and pairs inside a group
+that already hangs together are never listed.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +31,8 @@ from slotframe.llm.shingles import mix64, shingle_sets
 TREES, DEPTH, TAIL = 32, 4, 12
 VALUES = TREES * DEPTH
 REGION = 256
+FACE, FACE_BYTES = 2048, 16_000_000
+"""Members of a cut head that one task compares with as many others; fewer if their pictures are larger."""
 LEAST_AGREE = 5
 """Tail values that must agree; pairs at the threshold of 0.8 pass with 0.9994 in each of their trees."""
 SIGMAS = 4.0
@@ -147,7 +152,10 @@ def close_pairs(begin: np.ndarray, tail: np.ndarray, ids: np.ndarray, n: np.ndar
 
 
 def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows of the forest to members of regions that have a neighbour: its smallest and its best one."""
+    """Sorted rows of the forest to members of regions that have a neighbour: its smallest and its best one. Of heads that
+    are cut, and of those that may go on in another partition, all members; ``best`` is their own id if they have no neighbour."""
+    part, passed = TaskContext.get().partitionId(), 0
+
     def found(head: np.ndarray, tail: np.ndarray, ids: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         begin = bounds(head, tail)
         least, best, mark = ids.copy(), ids.copy(), np.zeros(len(ids), np.int64)
@@ -159,12 +167,17 @@ def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 more = agree > mark[x]
                 best[x[more]], mark[x[more]] = ids[y[more]], agree[more]
                 seen[x] = 1
-        kept = np.flatnonzero(seen)
+        nonlocal passed
         size = np.diff(np.append(begin, len(ids)))
-        name = mix64(np.repeat(head[begin], size).view(np.uint64) ^ mix64(np.repeat(ids[begin], size).view(np.uint64)))
+        number = np.cumsum(np.append(True, head[1:] != head[:-1])) - 1
+        open_ = (np.bincount(number[begin]) > 1)[number] | (number == 0) | (number == number[-1])
+        kept = np.flatnonzero((seen > 0) | open_)
+        # a name of its own for each region, also for the parts of one head in several partitions
+        name = mix64(np.repeat((np.int64(part) << 40) + passed + begin, size).view(np.uint64))
+        passed += len(ids)
         return pa.RecordBatch.from_arrays(
-            [pa.array(name.view(np.int64)[kept]), pa.array([tail[k].tobytes() for k in kept], pa.binary()), pa.array(ids[kept]),
-             pa.array(n[kept]), pa.array(least[kept]), pa.array(best[kept])], ["region", "tail", "id", "n", "least", "best"])
+            [pa.array(head[kept]), pa.array(name.view(np.int64)[kept]), pa.array([tail[k].tobytes() for k in kept], pa.binary()), pa.array(ids[kept]),
+             pa.array(n[kept]), pa.array(least[kept]), pa.array(best[kept])], ["head", "region", "tail", "id", "n", "least", "best"])
 
     held = None
     for batch in batches:
@@ -216,6 +229,58 @@ def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from found(*held)
 
 
+def halved(pictures: np.ndarray) -> np.ndarray:
+    """Pictures (rows of bytes) with half as many cells."""
+    odd = np.unpackbits(pictures, axis=1).reshape(len(pictures), -1, 2)
+    return np.packbits(odd[:, :, 0] ^ odd[:, :, 1], axis=1)
+
+
+def facing(percent: int, every: bool) -> object:
+    """Some members outside the largest component of a head against some of all its members: the pairs of different roots
+    that sizes and pictures allow, or only the likeliest one of any two roots. Without a picture every pair passes."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, n, root, main = (right.column(c).to_numpy() for c in ("id", "n", "root", "main"))
+        held = right.column("picture").to_pylist()
+        size = np.array([len(p or b"") for p in held], np.int64)
+        groups = {int(k): np.flatnonzero(size == k) for k in np.unique(size)}
+        seen = {(k, k): np.frombuffer(b"".join(held[i] for i in at), np.uint8).reshape(-1, k) for k, at in groups.items() if k}
+        row_of = np.zeros(len(ids), np.int64)
+        for at in groups.values():
+            row_of[at] = np.arange(len(at))
+        found: list[list[np.ndarray]] = []
+        for x in left.select(["id", "n", "root", "picture"]).to_pylist():
+            fits = (root != x["root"]) & (ids != x["id"]) & (np.minimum(n, x["n"]) * 100 >= np.maximum(n, x["n"]) * percent)
+            fits &= (root == main) | (ids > x["id"])  # two members outside the largest component meet twice
+            for k, at in groups.items():
+                at = at[fits[at]]
+                if not len(at):
+                    continue
+                total, differ = n[at] + x["n"], np.zeros(len(at), np.int64)
+                if k and x["picture"] is not None:
+                    own = np.frombuffer(x["picture"], np.uint8)[None, :]
+                    while own.shape[1] > k:
+                        own = halved(own)
+                    cells = k
+                    while cells > own.shape[1]:
+                        if (k, cells // 2) not in seen:
+                            seen[k, cells // 2] = halved(seen[k, cells])
+                        cells //= 2
+                    differ = np.bitwise_count((seen[k, cells][row_of[at]] ^ own).view(np.uint64)).sum(1, dtype=np.int64)
+                ok = differ <= total - 2 * -(-percent * total // (100 + percent))  # as in may_link
+                at, total, differ = at[ok], total[ok], differ[ok]
+                same = np.full(len(at), x["id"]), np.full(len(at), x["root"])
+                found.append([np.minimum(ids[at], same[0]), np.maximum(ids[at], same[0]), np.minimum(root[at], same[1]),
+                              np.maximum(root[at], same[1]), TAIL * (total - differ) / (total + differ)])
+        a, b, ra, rb, score = ([np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 4 + [np.zeros(0)])
+        if not every:
+            order = np.lexsort((b, a, -score, rb, ra))
+            a, b, ra, rb, score = (c[order] for c in (a, b, ra, rb, score))
+            first = np.append(True, (ra[1:] != ra[:-1]) | (rb[1:] != rb[:-1]))[: len(a)]
+            a, b, ra, rb, score = (c[first] for c in (a, b, ra, rb, score))
+        return pa.table({"a": a, "b": b, "ra": ra, "rb": rb, "score": score})
+    return run
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose whole sets are similar enough."""
     one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("_a"))
@@ -243,7 +308,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     alone = named.join(classes.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi")
     trees = alone.select("id", "n", "signature").mapInArrow(plant, "head long, tail binary, id long, n long")
     trees = trees.repartitionByRange("head", "tail", "id").sortWithinPartitions("head", "tail", "id")
-    members = stored(trees.mapInArrow(regions, "region long, tail binary, id long, n long, least long, best long"), "regions")
+    members = stored(trees.mapInArrow(regions, "head long, region long, tail binary, id long, n long, least long, best long"), "regions")
 
     # Few pairs for each document: its smallest neighbour of all trees, and the one it is best with most often.
     seen = members.select("id", F.explode(F.array("least", "best")).alias("other")).where("id <> other")
@@ -258,12 +323,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = stored(confirmed(few, sets, percent), "confirmed")
     roots = components(links)
 
-    # What still lies in one region but not in one component: first the likeliest pair of any two components, then,
+    # Heads in several regions are compared as a whole.
+    heads = members.groupBy("head").agg(F.count("*").alias("rows"), F.min("region").alias("lo"), F.max("region").alias("hi"))
+    heads = heads.where("lo <> hi").select("head", "rows", F.lit(True).alias("cut"))
+    members = join_counted(members, heads, "head", "rows", members.count(), F.col("id"))
+    cut = stored(members.where("cut").select("head", "id", "n").distinct(), "cut-heads")
+    whole = stored(members.where("cut is null and best <> id").select("region", "tail", "id", "n"), "whole-heads")
+
+    # What still lies under one head but not in one component: first the likeliest pair of any two components, then,
     # of what that leaves apart, all pairs.
     for every in (False, True):
-        pairs = apart(members, roots, sets, percent)
+        pairs = apart(whole, roots, sets, percent).unionByName(beyond(cut, roots, sets, percent, every))
         if not every:
             pairs = pairs.groupBy("ra", "rb").agg(F.max_by(F.struct("a", "b"), F.struct("score", "a", "b")).alias("p")).select("p.a", "p.b")
+        pairs = pairs.select("a", "b").distinct()
         links = links.unionByName(stored(confirmed(pairs, sets, percent), "confirmed"))
         roots = components(links)
     return labelled(signed, classes, roots, id_col)
@@ -277,9 +350,7 @@ def apart(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -
     rooted = stored(rooted.select("region", F.coalesce("root", "id").alias("root"), "tail", "id", "n"), "rooted")
     split = rooted.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("region")
     open_ = stored(rooted.join(split, "region", "left_semi"), "open")
-    seen = sets.join(open_.select("id").distinct(), "id", "left_semi").mapInArrow(pictures, "id long, picture binary").groupBy("id").agg(
-        F.when(F.min("picture") == F.max("picture"), F.max("picture")).alias("picture"))  # none where an id has several texts
-    open_ = open_.join(seen, "id").select("region", "root", "tail", "id", "n", "picture", F.lit(percent).cast("long").alias("percent"))
+    open_ = open_.join(pictured(open_, sets), "id").select("region", "root", "tail", "id", "n", "picture", F.lit(percent).cast("long").alias("percent"))
     open_ = open_.repartition("region").sortWithinPartitions("region", "id")
     pairs = open_.mapInArrow(across, "a long, b long, ra long, rb long, agree long").groupBy("a", "b").agg(
         F.min("ra").alias("ra"), F.min("rb").alias("rb"), F.count("*").alias("trees"), F.sum("agree").alias("agree"))
@@ -288,6 +359,36 @@ def apart(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -
                         (F.col("agree") / F.col("trees")).alias("score"))
 
 
+def pictured(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pictures of the members' sets; none where an id has several texts."""
+    seen = sets.join(members.select("id").distinct(), "id", "left_semi").mapInArrow(pictures, "id long, picture binary")
+    return seen.groupBy("id").agg(F.when(F.min("picture") == F.max("picture"), F.max("picture")).alias("picture"))
+
+
+def beyond(cut: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Pairs (a, b) of different components (ra, rb) that share a head that was cut, as far as sizes and pictures allow; without
+    ``every`` the likeliest ones. Members outside a head's largest component meet all its members, in blocks: tasks are as
+    large as two blocks however large the head is."""
+    rooted = cut.join(roots.withColumnRenamed("node", "id"), "id", "left")
+    rooted = stored(rooted.select("head", "id", "n", F.coalesce("root", "id").alias("root")), "rooted")
+    held = rooted.groupBy("head", "root").agg(F.count("*").alias("rows"), F.sum("n").alias("n")).groupBy("head").agg(
+        F.sum("rows").alias("rows"), F.sum("n").alias("total"), F.max_by(F.struct("root", "rows", "n"), F.struct("rows", "root")).alias("m"),
+        F.count("*").alias("roots")).where("roots > 1")
+    # a picture has up to half a byte for each shingle
+    parts = lambda rows, n: F.ceil(F.greatest(rows / FACE, n / (2 * FACE_BYTES))).cast("int")
+    held = held.select("head", "rows", F.col("m.root").alias("main"), parts(F.col("rows"), F.col("total")).alias("blocks"),
+                       parts(F.col("rows") - F.col("m.rows"), F.col("total") - F.col("m.n")).alias("others"))
+    open_ = stored(join_counted(rooted, held, "head", "rows", rooted.count(), F.col("id")).where("main is not null"), "open")
+    open_ = open_.join(pictured(open_, sets), "id")
+    every_part = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own_part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    left = open_.where("root <> main").select("head", own_part("others").alias("other"), every_part("blocks").alias("block"), "id", "n", "root", "picture")
+    right = open_.select("head", every_part("others").alias("other"), own_part("blocks").alias("block"), "id", "n", "root", "main", "picture")
+    right = right.toDF(*right.columns)  # columns of its own, as both sides come from one table
+    by = ["head", "other", "block"]
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(facing(percent, every), "a long, b long, ra long, rb long, score double")
+
+
 def likely(trees: Column, agree: Column, percent: int) -> Column:
     """Whether the agreement over all shared trees is within SIGMAS of what a pair at the threshold shows. Tails overlap
     after some ten trees, so more of them do not count as more evidence."""

@@ -76,6 +76,36 @@ def test_forest_in_one_dense_region(make_docs, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+@pytest.mark.parametrize("seed", [2, 5])
+def test_forest_links_an_outlier_to_a_large_family(make_docs, seed):
+    """One long body, each copy with words of its own, and a text at 0.83 that has none of the copies in its part of any cut head."""
+    body = [f"b{seed}-{i}" for i in range(1500)]
+    rows = [(i, " ".join(body + [f"f{seed}-{i}-{k}" for k in range(5)])) for i in range(1000)]
+    rows.append((1000, " ".join(body[:1362] + [f"o{seed}-{i}" for i in range(138)])))
+    assert alike(shingles(rows[0][1], 2), shingles(rows[-1][1], 2), 82)
+    got = minhash.near_duplicates(make_docs([(i, t, "en", "s") for i, t in rows]), width=2).collect()
+    assert {r.doc_id for r in got} == set(range(1001)) and {r.component_id for r in got} == {0}
+
+
+def test_forest_bounds_blocks_of_a_cut_head(make_docs, monkeypatch):
+    """Small regions and blocks, families that do not hang together under common heads, and rows that share an id."""
+    monkeypatch.setattr(minhash, "REGION", 4)
+    monkeypatch.setattr(minhash, "FACE", 8)
+    rng = random.Random(9)
+    base, rows = [f"v{i}" for i in range(200)], []
+    for i in range(120):
+        text = list(base)
+        for k in range(i % 4):  # up to three blocks of 15 words differ, and some words
+            text[50 * k + 5: 50 * k + 20] = [f"y{i % 12}-{k}-{j}" for j in range(15)]
+        for _ in range(rng.randint(0, 6)):
+            text[rng.randrange(200)] = f"x{i}-{rng.random()}"
+        rows.append((i, " ".join(text)))
+    want, _ = brute_components(rows, 2)
+    assert len(set(want.values())) > 3
+    got = minhash.near_duplicates(make_docs([(i, t, "en", "s") for i, t in [*rows, rows[7]]]), width=2).collect()
+    assert {r.doc_id: r.component_id for r in got} == want and len(got) == 121
+
+
 def test_forest_odd_rows(odd_docs):
     got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(odd_docs).collect()]
     assert len(got) == 13
