@@ -124,12 +124,12 @@ def keyed(longest: dict[int, float], curves: dict[int, list[Curve]]) -> object:
                     n = len(vectors)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, c, np.int32)),
-                         pa.array(keys_of(vectors, longest[dim], curve)), batch.column(0)], ["dim", "curve", "key", "id"])
+                         pa.array(keys_of(vectors, longest[dim], curve)), batch.column(0), batch.column(2)], ["dim", "curve", "key", "id", "row"])
     return run
 
 
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (dim, curve, id) with the part they are in and, within it, the number of their block."""
+    """Sorted rows (dim, curve, row) with the part they are in and, within it, the number of their block."""
     part, seen = TaskContext.get().partitionId(), {}
     for batch in batches:
         dim, curve = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -140,63 +140,70 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen[d, c] = seen.get((d, c), 0) + len(own)
         yield pa.RecordBatch.from_arrays(
             [*batch.columns, pa.array(np.full(len(at), part, np.int32)), pa.array((at // BLOCK).astype(np.int32))],
-            ["dim", "curve", "id", "part", "piece"])
+            ["dim", "curve", "row", "part", "piece"])
 
 
-def best_of(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each query, ids and scores of its k best rows, other ids than its own, best first, ties to the smaller id.
-    Missing ones have the id -1 and the score -inf. Scores are summed in one fixed order, so equal vectors
-    score alike."""
+def best_of(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each query, ids, scores and positions of its k best rows, other ids than its own and each id once, best first, ties
+    to the smaller id. Missing ones have the id and position -1 and the score -inf. Scores are summed in one fixed
+    order, so equal vectors score alike."""
     out_ids, out = np.full((len(queries), k), -1, np.int64), np.full((len(queries), k), -np.inf)
+    places, by_id = np.full((len(queries), k), -1, np.int64), np.argsort(ids, kind="stable")
+    begin = np.flatnonzero(np.append(True, ids[by_id][1:] != ids[by_id][:-1]))
     for at in range(0, len(queries), 512):
         rough = queries[at: at + 512] @ vectors.T
         rough[query_ids[at: at + 512][:, None] == ids[None, :]] = -np.inf
-        limit = np.partition(rough, -k, axis=1)[:, -k] if rough.shape[1] > k else np.full(len(rough), -np.inf)
+        each = rough if len(begin) == len(ids) else np.maximum.reduceat(rough[:, by_id], begin, axis=1)  # the best row of each id
+        limit = np.partition(each, -k, axis=1)[:, -k] if each.shape[1] > k else np.full(len(rough), -np.inf)
         slack = 1e-9 * np.maximum(1.0, np.abs(np.where(np.isfinite(limit), limit, 0)))
         for q, some in enumerate(rough >= (limit - slack)[:, None]):
             own = np.flatnonzero(some & np.isfinite(rough[q]))
             exact = (vectors[own] * queries[at + q]).sum(1)
             order = np.lexsort((ids[own], -exact))
-            names, scores = first_of_each(ids[own][order], exact[order], k)
-            out_ids[at + q, : len(names)], out[at + q, : len(names)] = names, scores
-    return out_ids, out
+            order = order[first_of_each(ids[own][order], k)]
+            n = len(order)
+            out_ids[at + q, :n], out[at + q, :n], places[at + q, :n] = ids[own][order], exact[order], own[order]
+    return out_ids, out, places
 
 
-def first_of_each(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first k different ids."""
-    _, first = np.unique(ids, return_index=True)
-    first = np.sort(first)[:k]
-    return ids[first], scores[first]
+def first_of_each(ids: np.ndarray, k: int) -> np.ndarray:
+    """Where the first k different ids begin."""
+    return np.sort(np.unique(ids, return_index=True)[1])[:k]
 
 
-def exact_best(queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> object:
+def exact_best(queries: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> object:
     """For sampled queries: the best rows of a part, exactly."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, list] = {}
+        best: dict[int, tuple] = {}
         for whole in batches:
             for dim, batch in by_dimension(whole):
                 if dim not in queries:
                     continue
-                names, vectors = queries[dim]
-                found = best_of(vectors, names, matrix(batch.column(1)), batch.column(0).to_numpy(), k)
+                names, vectors, _ = queries[dim]
+                ids, scores, at = best_of(vectors, names, matrix(batch.column(1)), batch.column(0).to_numpy(), k)
+                found = ids, scores, batch.column(2).to_numpy()[at]
                 old = best.get(dim)
                 best[dim] = merged([old, found], k) if old else found
-        for dim, (ids, scores) in best.items():
-            row, at = np.nonzero(np.isfinite(scores))
+        for dim, (ids, scores, rows) in best.items():
+            q, at = np.nonzero(np.isfinite(scores))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(queries[dim][0][row]), pa.array(ids[row, at]), pa.array(scores[row, at])], ["query", "id", "score"])
+                [pa.array(queries[dim][2][q]), pa.array(ids[q, at]), pa.array(rows[q, at]), pa.array(scores[q, at])],
+                ["query", "id", "row", "score"])
     return run
 
 
-def merged(parts: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray]:
-    ids, scores = np.hstack([p[0] for p in parts]), np.hstack([p[1] for p in parts])
-    out_ids, out = np.full((len(ids), k), -1, np.int64), np.full((len(ids), k), -np.inf)
+def merged(parts: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...]:
+    """The k best of several tables of ids and scores, with what else they hold."""
+    held = [np.hstack(p) for p in zip(*parts)]
+    ids, scores = held[:2]
+    out = [np.full((len(ids), k), -np.inf if x is scores else -1, x.dtype) for x in held]
     for q in range(len(ids)):
         own = np.flatnonzero(np.isfinite(scores[q]))
         own = own[np.lexsort((ids[q, own], -scores[q, own]))]
-        names, best = first_of_each(ids[q, own], scores[q, own], k)
-        out_ids[q, : len(names)], out[q, : len(names)] = names, best
-    return out_ids, out
+        own = own[first_of_each(ids[q, own], k)]
+        for to, x in zip(out, held):
+            to[q, : len(own)] = x[q, own]
+    return tuple(out)
 
 
 def choose_reach(places: list[dict[int, int]], pairs: list[tuple[int, int]], blocks: int) -> tuple[int, int]:
@@ -239,7 +246,7 @@ def visit(k: int) -> object:
             vectors = np.frombuffer(block["vectors"]).reshape(len(ids), -1)
             for asked in right.to_pylist():
                 names = np.frombuffer(asked["query_ids"], np.int64)
-                found, scores = best_of(np.frombuffer(asked["queries"]).reshape(len(names), -1), names, vectors, ids, k)
+                found, scores, _ = best_of(np.frombuffer(asked["queries"]).reshape(len(names), -1), names, vectors, ids, k)
                 rows.append((asked["dim"], asked["curve"], asked["home"], asked["query_ids"], found.tobytes(), scores.tobytes()))
         names = ["dim", "curve", "home", "query_ids", "found", "scores"]
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
@@ -268,31 +275,32 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
     non-finite component. Vectors of different lengths are not compared. Rows that share an id are one
     thing with several vectors and count once, by the best of them. Fewer than k candidates: all of them.
     """
-    value = F.col(vector_col).cast("array<double>")
+    value = F.col("vector").cast("array<double>")
     bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    base = vectors.select(F.col(id_col).cast("long").alias("id"), value.alias("vector"), F.coalesce(queries, F.lit(False)).alias("is_query"))
-    base = base.where(F.col("id").isNotNull() & F.col("vector").isNotNull() & ~bad & F.exists("vector", lambda x: x != 0))
-    base = stored(base.select("id", "vector", "is_query"), "vectors")
+    base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), F.coalesce(queries, F.lit(False)).alias("is_query"))
+    base = base.where(F.col("id").isNotNull()).groupBy("id", "vector").agg(F.max("is_query").alias("is_query")).withColumn("vector", value)
+    base = base.where(F.col("vector").isNotNull() & ~bad & F.exists("vector", lambda x: x != 0))
+    base = stored(base.select("id", "vector", "is_query", F.monotonically_increasing_id().alias("row")), "vectors")
 
     # Fit: longest vector, a sample of vectors, a sample of queries; all of bounded size.
     dim = F.size("vector")
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
     longest = {r["dim"]: r["longest"] for r in base.groupBy(dim.alias("dim")).agg(F.max(norm).alias("longest")).collect()}
-    order = F.xxhash64("id", F.lit(seed))
+    order = F.xxhash64("id", "vector", F.lit(seed))
     sample = base.orderBy(order, "id").limit(SAMPLE_VECTORS).select("vector").collect()
-    asked = base.where("is_query").orderBy(order, "id").limit(SAMPLE_QUERIES).select("id", "vector").collect()
+    asked = base.where("is_query").orderBy(order, "id").limit(SAMPLE_QUERIES).select("id", "vector", "row").collect()
     fitted = {}
     for d, most in longest.items():
         own = [r["vector"] for r in sample if len(r["vector"]) == d] or [[most] + [0.0] * (d - 1)]
         fitted[d] = fit_curves(np.array(own), most * (1 + 1e-9), curves, seed + d)
 
-    # Places of all vectors along all curves.
-    keys = base.select("id", "vector").mapInArrow(keyed(longest, fitted), "dim int, curve int, key long, id long")
-    keys = keys.repartitionByRange("dim", "curve", "key", "id").sortWithinPartitions("dim", "curve", "key", "id")
-    pieces = stored(keys.select("dim", "curve", "id").mapInArrow(cut, "dim int, curve int, id long, part int, piece int"), "pieces")
+    # Places of all vectors along all curves; an id may have several, so each goes by a number of its own.
+    keys = base.select("id", "vector", "row").mapInArrow(keyed(longest, fitted), "dim int, curve int, key long, id long, row long")
+    keys = keys.repartitionByRange("dim", "curve", "key", "id", "row").sortWithinPartitions("dim", "curve", "key", "id", "row")
+    pieces = stored(keys.select("dim", "curve", "row").mapInArrow(cut, "dim int, curve int, row long, part int, piece int"), "pieces")
     numbered = pieces.select("dim", "curve", "part", "piece").distinct().withColumn(
         "block", F.row_number().over(Window.partitionBy("dim", "curve").orderBy("part", "piece")).cast("long") - 1)
-    places = stored(pieces.join(numbered, ["dim", "curve", "part", "piece"]).select("dim", "curve", "block", "id"), "places")
+    places = stored(pieces.join(numbered, ["dim", "curve", "part", "piece"]).select("dim", "curve", "block", "row"), "places")
     blocks = {(r["dim"], r["curve"]): r["n"] for r in places.groupBy("dim", "curve").agg((F.max("block") + 1).alias("n")).collect()}
 
     # Measure how far neighbours are along the curves.
@@ -304,7 +312,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
 
     # Blocks, and the query blocks that visit them.
     used = places.join(F.broadcast(plan), ["dim", "curve"])
-    packs = used.join(base, "id").select("dim", "curve", "block", "id", "vector", "is_query").groupBy("dim", "curve", "block").applyInArrow(
+    packs = used.join(base, "row").select("dim", "curve", "block", "id", "vector", "is_query").groupBy("dim", "curve", "block").applyInArrow(
         pack, "dim int, curve int, block long, ids binary, vectors binary, query_ids binary, queries binary")
     packs = stored(packs, "blocks").join(F.broadcast(plan), ["dim", "curve"])
     lo, hi = F.greatest(F.col("block") - F.col("reach"), F.lit(0)), F.least(F.col("block") + F.col("reach"), F.col("blocks") - 1)
@@ -330,17 +338,17 @@ def measure(base: DataFrame, places: DataFrame, asked: list, blocks: dict, curve
     queries = {}
     for d in {len(r["vector"]) for r in asked}:
         own = [r for r in asked if len(r["vector"]) == d]
-        queries[d] = np.array([r["id"] for r in own], np.int64), np.array([r["vector"] for r in own])
+        queries[d] = np.array([r["id"] for r in own], np.int64), np.array([r["vector"] for r in own]), np.array([r["row"] for r in own], np.int64)
     pairs = []
     if queries:
-        best = base.select("id", "vector").mapInArrow(exact_best(queries, k), "query long, id long, score double")
-        best = best.groupBy("query", "id").agg(F.max("score").alias("score"))
+        best = base.select("id", "vector", "row").mapInArrow(exact_best(queries, k), "query long, id long, row long, score double")
+        best = best.groupBy("query", "id").agg(F.max("score").alias("score"), F.max_by("row", "score").alias("row"))
         rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
-        pairs = [(r["query"], r["id"]) for r in best.withColumn("rank", rank).where(F.col("rank") <= k).collect()]
-    ids = spark.createDataFrame([(i,) for i in sorted({x for p in pairs for x in p})], "id long")
+        pairs = [(r["query"], r["row"]) for r in best.withColumn("rank", rank).where(F.col("rank") <= k).collect()]
+    rows = spark.createDataFrame([(i,) for i in sorted({x for p in pairs for x in p})], "row long")
     where: dict[tuple[int, int], dict[int, int]] = {}
-    for r in places.join(F.broadcast(ids), "id").collect():  # at most (k + 1) * SAMPLE_QUERIES * CURVES
-        where.setdefault((r["dim"], r["curve"]), {})[r["id"]] = r["block"]
+    for r in places.join(F.broadcast(rows), "row").collect():  # at most (k + 1) * SAMPLE_QUERIES * CURVES
+        where.setdefault((r["dim"], r["curve"]), {})[r["row"]] = r["block"]
     out = {}
     for d in {d for d, _ in blocks}:
         own = [where.get((d, c), {}) for c in range(curves)]

@@ -66,6 +66,25 @@ def test_odd_vectors(spark):
     assert ann.nearest(frame(spark, []), F.col("vec_id") % 20 == 0).collect() == []
 
 
+def test_rows_of_one_id_push_no_others_out():
+    rng = np.random.default_rng(4)
+    vectors = np.vstack([np.full((25, 8), 2.0), rng.random((60, 8))])
+    ids = np.array([7] * 25 + [100 + i // 2 for i in range(60)])
+    scores = {int(i): vectors[ids == i].sum(1).max() for i in set(ids.tolist())}
+    found = ann.best_of(np.ones((1, 8)), np.array([1]), vectors, ids, 20)
+    assert found[0][0].tolist() == sorted(scores, key=lambda i: (-scores[i], i))[:20]
+
+
+def test_repeated_ids(spark, monkeypatch):
+    """A table that holds all its rows twice, with two vectors for each id, and an id with a third of all rows."""
+    monkeypatch.setattr(ann, "BLOCK", 64)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(20, 16)) * 3
+    rows = [(i % 600, (centres[i % 20] + rng.normal(size=16) * 0.3).tolist()) for i in range(1200)]
+    hot = [(5001, (centres[i % 20] + rng.normal(size=16) * 0.3).tolist()) for i in range(600)]
+    assert recall(spark, rows + rows + hot) >= 0.9
+
+
 def test_hilbert_neighbours_are_adjacent():
     side = np.arange(8)
     cells = np.stack(np.meshgrid(side, side, side), -1).reshape(-1, 3)
