@@ -333,7 +333,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # What still lies under one head but not in one component: first the likeliest pair of any two components, then,
     # of what that leaves apart, all pairs.
     for every in (False, True):
-        pairs = apart(whole, roots, sets, percent).unionByName(beyond(cut, roots, sets, percent, every))
+        pairs = apart(whole, roots, sets, percent, every).unionByName(beyond(cut, roots, sets, percent, every))
         if not every:
             pairs = pairs.groupBy("ra", "rb").agg(F.max_by(F.struct("a", "b"), F.struct("score", "a", "b")).alias("p")).select("p.a", "p.b")
         pairs = pairs.select("a", "b").distinct()
@@ -342,10 +342,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return labelled(signed, classes, roots, id_col)
 
 
-def apart(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def apart(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, every: bool = True) -> DataFrame:
     """Pairs (a, b) of one region and of different components (ra, rb) that may be similar enough. A picture of each whole set
     bounds how much two of them differ, so a text that is just too different from a large group drops out before it is
-    joined with all the group's members."""
+    joined with all the group's members. Without ``every`` only pairs whose tails agree well, to find the likeliest first."""
     rooted = members.select("region", "tail", "id", "n").join(roots.withColumnRenamed("node", "id"), "id", "left")
     rooted = stored(rooted.select("region", F.coalesce("root", "id").alias("root"), "tail", "id", "n"), "rooted")
     split = rooted.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("region")
@@ -354,7 +354,7 @@ def apart(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -
     open_ = open_.repartition("region").sortWithinPartitions("region", "id")
     pairs = open_.mapInArrow(across, "a long, b long, ra long, rb long, agree long").groupBy("a", "b").agg(
         F.min("ra").alias("ra"), F.min("rb").alias("rb"), F.count("*").alias("trees"), F.sum("agree").alias("agree"))
-    pairs = pairs.where(likely(F.col("trees"), F.col("agree"), percent))
+    pairs = pairs if every else pairs.where(likely(F.col("trees"), F.col("agree"), percent))
     return pairs.select("a", "b", F.least("ra", "rb").alias("ra"), F.greatest("ra", "rb").alias("rb"),
                         (F.col("agree") / F.col("trees")).alias("score"))
 
@@ -391,7 +391,8 @@ def beyond(cut: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, ever
 
 def likely(trees: Column, agree: Column, percent: int) -> Column:
     """Whether the agreement over all shared trees is within SIGMAS of what a pair at the threshold shows. Tails overlap
-    after some ten trees, so more of them do not count as more evidence."""
+    after some ten trees, so more of them do not count as more evidence. The spread is larger than this assumes, so it only
+    says which pairs to try first."""
     seen = F.least(trees, F.lit(VALUES // TAIL)) * TAIL
     share = percent / 100
     return agree / (trees * TAIL) >= share - SIGMAS * (share * (1 - share)) ** 0.5 / F.sqrt(seen)

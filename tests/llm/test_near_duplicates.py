@@ -106,6 +106,16 @@ def test_forest_bounds_blocks_of_a_cut_head(make_docs, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == want and len(got) == 121
 
 
+def test_forest_tries_pairs_whose_tails_agree_little(spark):
+    """Two alike sets in three common regions with 5 of 12 tail values equal: the last pass has them, whatever the tails say."""
+    tails = [bytes(range(minhash.TAIL)), bytes([*range(5), *[99] * (minhash.TAIL - 5)])]
+    members = spark.createDataFrame([(r, bytearray(tails[i]), i, 50) for r in (11, 12, 13) for i in (0, 1)], "region long, tail binary, id long, n long")
+    big = [(k * 0x9E3779B97F4A7C15) % (1 << 64) - (1 << 63) for k in range(1, 53)]
+    sets = spark.createDataFrame([(0, sorted(big[:50])), (1, sorted(big[2:]))], "id long, shingles array<long>")
+    pairs = minhash.apart(members, spark.createDataFrame([], "node long, root long"), sets, 80)
+    assert [(r.a, r.b) for r in pairs.collect()] == [(0, 1)]
+
+
 def test_forest_odd_rows(odd_docs):
     got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(odd_docs).collect()]
     assert len(got) == 13
