@@ -8,7 +8,7 @@ import pytest
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 
-from check import TABLES, rows_of  # noqa: E402
+from check import TABLES, rows_of, whole_numbers  # noqa: E402
 
 import __spark_entry__ as entry  # noqa: E402
 from slotframe import catalog  # noqa: E402
@@ -31,10 +31,9 @@ def test_every_query_has_sql():
 
 @pytest.mark.parametrize("name", list(catalog.QUERIES))
 def test_query(spark, duck, name):
-    got = entry.queries()[name](spark, SF).toPandas()
-    want = duck.sql(entry.oracle_sql()[name]).df()
-    assert sorted(got.columns) == sorted(want.columns)
-    assert rows_of(got.astype(object)) == rows_of(want.astype(object))
+    df, rel = entry.queries()[name](spark, SF), duck.sql(entry.oracle_sql()[name])
+    assert sorted(df.columns) == sorted(rel.columns)
+    assert rows_of(whole_numbers(df.toPandas(), dict(df.dtypes))) == rows_of(whole_numbers(rel.df(), dict(zip(rel.columns, rel.types))))
 
 
 def test_entry(spark):
