@@ -1,4 +1,4 @@
-"""The ten operators as queries over the given tables, with SQL for those that SQL can express."""
+"""The operators as queries over the given tables, with SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotframe.llm import ann, decontam, langid, linededup, minhash, mixing, quality, sharding, urlfilter, warc
+from slotframe.llm import ann, decontam, fim, langid, linededup, minhash, mixing, quality, sharding, spelling, topk, urlfilter, warc
 from slotframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,52 @@ def op10_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linededup.line_matches(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"),
                         F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
+
+
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+        FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+    SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
+    WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5""")
+def op11_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query(r"""WITH RECURSIVE tab AS (SELECT i, list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS v
+        FROM range(0, 256) t(i)),
+    runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+        FROM documents),
+    keys AS (SELECT doc_id, run, count(*) AS n, hex(doc_id || ':' || run) AS h FROM runs GROUP BY doc_id, run),
+    crc AS (SELECT h, 1 AS pos, CAST(4294967295 AS BIGINT) AS c FROM keys
+        UNION ALL SELECT h, pos + 2, xor(c >> 8, v) FROM crc JOIN tab ON pos < length(h) AND tab.i = xor(c, CAST('0x' || substr(h, pos, 2) AS BIGINT)) & 255),
+    marked AS (SELECT run, n, xor(c, 4294967295) AS m FROM keys JOIN crc USING (h) WHERE pos > length(h)),
+    v AS (SELECT CASE WHEN m % 97 = 0 THEN substr(run, 1, m % length(run)) || substr(run, m % length(run) + 2) ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n
+        FROM marked GROUP BY 1 HAVING length(word) >= 5 AND sum(n) >= 3),
+    d AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+    near AS (SELECT a.word AS a, b.word AS b FROM d a JOIN d b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+        UNION SELECT d.word, v.word FROM d JOIN v ON d.d = v.word UNION SELECT v.word, d.word FROM d JOIN v ON d.d = v.word),
+    best AS (SELECT near.a AS word, count(*) AS n_near, max(v.n) AS most FROM near JOIN v ON near.b = v.word GROUP BY near.a),
+    f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 2 * v.n THEN most END AS form_n,
+        CASE WHEN most >= 2 * v.n THEN (SELECT min(x.word) FROM near JOIN v x ON near.b = x.word WHERE near.a = v.word AND x.n = most) END AS form
+        FROM v LEFT JOIN best USING (word)),
+    way AS (SELECT word, word AS last FROM f UNION ALL SELECT way.word, f.form FROM way JOIN f ON way.last = f.word AND f.form IS NOT NULL)
+    SELECT f.word, f.form, way.last AS root, f.n, f.n_near, f.form_n FROM f JOIN way USING (word) JOIN f e ON way.last = e.word AND e.form IS NULL""")
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || doc_id) AS h FROM documents),
+    u AS (SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+        CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM d),
+    c AS (SELECT *, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+    p AS (SELECT *, coalesce(array_to_string(u[:a], ''), '') AS prefix, coalesce(array_to_string(u[a + 1:b], ''), '') AS middle, coalesce(array_to_string(u[b + 1:], ''), '') AS suffix FROM c)
+    SELECT doc_id, CAST(len(u) AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+        CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+        sha256(t) AS restored_sha256 FROM p""")
+def op13_middle_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    framed = fim.frame_texts(table(spark, sf_dir, "documents"), F.col("doc_id"))
+    found = fim.digests(fim.fill_in_middle(framed, F.col("key")))
+    return found.select(F.col("key").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
