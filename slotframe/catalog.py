@@ -554,6 +554,21 @@ def decode_all(spark, sf):
     return desk_ledger(spark, sf).select("transaction_signature", "outer_index", minus("inner_index"), "name", "args")
 
 
+@query(f"""WITH p AS (SELECT *, p_partkey % {fx.MILL_LAYOUTS} AS i, CASE p_size % 2 WHEN 1 THEN 'true' ELSE 'false' END AS odd FROM part),
+t AS (SELECT *, 'first' || i AS a, ',"second' || i || '":' AS b, '{{"wide' || i || '":' || p_partkey || ',"flag' || i || '":' || odd || '}}' AS box FROM p)
+SELECT p_partkey, 'step' || i AS name, 'ok' AS decode_status, CASE i % 12 WHEN 0 THEN '{{}}' ELSE '{{"' || a || '":' || CASE i % 12
+  WHEN 1 THEN CAST(p_partkey AS VARCHAR) WHEN 2 THEN '"' || p_name || '"' || b || p_partkey WHEN 3 THEN p_partkey || b || '"' || p_brand || '"'
+  WHEN 4 THEN odd || b || p_size WHEN 5 THEN CASE odd WHEN 'true' THEN CAST(p_partkey AS VARCHAR) ELSE 'null' END
+  WHEN 6 THEN '[' || p_size || ',' || (p_size + 1) || ']' || b || -p_size WHEN 7 THEN box
+  WHEN 8 THEN CASE odd WHEN 'true' THEN '{{"On' || i || '":{{"by' || i || '":' || p_size || '}}}}' ELSE '"Off' || i || '"' END || b || p_size
+  WHEN 9 THEN -p_partkey || b || p_size WHEN 10 THEN '[' || p_partkey || ',' || p_size || ']' ELSE '[' || box || ',' || box || ']' END || '}}' END AS args FROM t""")
+def decode_shapes(spark, sf):
+    """A program with over a hundred instructions of twelve shapes, decoded in one pass."""
+    face = parse_interface(fx.mill_document())
+    rows = dc.decode_all(dispatch(fx.mill_payloads(spark, sf), [face]), face)
+    return rows.select("p_partkey", "name", "decode_status", "args")
+
+
 @query(f"""WITH {SQL_FLAT} SELECT CAST(o_orderkey AS VARCHAR) AS transaction_signature, outer_index,
 coalesce(inner_index, -1) AS inner_index, name AS instruction_name, program, data AS raw_data,
 len(string_split(accounts, ',')) AS n_accounts, CASE WHEN name = 'unknown' THEN 'unknown' ELSE 'ok' END AS decode_status,

@@ -416,3 +416,43 @@ def shop_payloads(spark: SparkSession, sf: str) -> DataFrame:
     return lines(spark, sf).select(
         F.col("l_suppkey").cast("string").alias("program_id"),
         F.when(F.col("l_linenumber") == 7, F.substring(data, 1, 7)).otherwise(data).alias("data"))
+
+
+MILL_LAYOUTS = 132
+
+
+def mill_document() -> dict:
+    """A program with many instructions of few shapes; no two of them share a name, inner names included."""
+    def fields(i: int) -> list:
+        a, b = f"first{i}", f"second{i}"
+        kinds = [{}, {a: "u64"}, {a: "string", b: "u64"}, {a: "u64", b: "string"}, {a: "bool", b: "u8"}, {a: {"option": "u64"}},
+                 {a: {"vec": "u16"}, b: "i32"}, {a: {"defined": {"name": f"Box{i}"}}}, {a: {"defined": f"Kind{i}"}, b: "u8"},
+                 {a: "i64", b: "u32"}, {a: {"array": ["u32", 2]}}, {a: {"vec": {"defined": f"Box{i}"}}}]
+        return _args(**kinds[i % len(kinds)])
+
+    types = []
+    for i in range(MILL_LAYOUTS):
+        types += [{"name": f"Box{i}", "type": {"kind": "struct", "fields": _args(**{f"wide{i}": "u32", f"flag{i}": "bool"})}},
+                  {"name": f"Kind{i}", "type": {"kind": "enum", "variants": [
+                      {"name": f"Off{i}"}, {"name": f"On{i}", "fields": _args(**{f"by{i}": "u16"})}]}}]
+    return {"address": "mill", "metadata": {"name": "mill"}, "types": types,
+            "instructions": [{"name": f"step{i}", "args": fields(i)} for i in range(MILL_LAYOUTS)]}
+
+
+def mill_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as calls of the program above, one instruction after the other."""
+    step, key, size = F.col("p_partkey") % MILL_LAYOUTS, F.col("p_partkey"), F.col("p_size")
+    odd = size % 2 == 1
+    box = F.concat(le(key, 4), F.when(odd, F.lit(b"\x01")).otherwise(F.lit(b"\x00")))
+    bodies = [F.lit(b""), le(key, 8), F.concat(text_bytes(F.col("p_name")), le(key, 8)),
+              F.concat(le(key, 8), text_bytes(F.col("p_brand"))), F.concat(F.when(odd, F.lit(b"\x01")).otherwise(F.lit(b"\x00")), le(size, 1)),
+              F.when(odd, F.concat(F.lit(b"\x01"), le(key, 8))).otherwise(F.lit(b"\x00")),
+              F.concat(F.lit(b"\x02\x00\x00\x00"), le(size, 2), le(size + 1, 2), le(-size, 4)), box,
+              F.when(odd, F.concat(F.lit(b"\x01"), le(size, 2), le(size, 1))).otherwise(F.concat(F.lit(b"\x00"), le(size, 1))),
+              F.concat(le(-key, 8), le(size, 4)), F.concat(le(key, 4), le(size, 4)), F.concat(F.lit(b"\x02\x00\x00\x00"), box, box)]
+    body = F.lit(None).cast("binary")
+    for i, chosen in enumerate(bodies):
+        body = F.when(step % len(bodies) == i, chosen).otherwise(body)
+    name = F.concat(F.lit("step"), step.cast("string"))
+    return table(spark, sf, "part").select("p_partkey", F.lit("mill").alias("program_id"),
+                                           F.concat(instruction_discriminator(name), body).alias("data"))

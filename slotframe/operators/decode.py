@@ -8,14 +8,15 @@ from pyspark.sql import types as T
 
 from slotframe.functions.base58 import base58, base58_list, key_bytes, key_literal
 from slotframe.functions.names import DISCRIMINATOR_BYTES, sanitize_name
-from slotframe.operators.dispatch import dispatch
+from slotframe.operators.dispatch import BROADCAST_BYTES, attach_small, dispatch
 from slotframe.operators.flatten import flatten_instructions
-from slotframe.plans.layout import (OK, UNKNOWN, Compiler, Outcome, Pos, Stages, compile_layout,
+from slotframe.plans.layout import (OK, PARTIAL, UNKNOWN, UNSUPPORTED, Compiler, Outcome, Pos, Stages, compile_layout,
                                     layout_compiles)
 from slotframe.plans.schemas import column_names
+from slotframe.plans.shapes import Catalogue, classify, read_shape, shape_json
 from slotframe.plans.types import (Interface, Layout, Opt, Prim, Rec, Ref, Seq, Unknown, has_node,
                                    spark_type, walk_nodes)
-from slotframe.plans.walker import walk_column
+from slotframe.plans.walker import walk_any, walk_column
 
 OUTCOME = ("decode_status", "failed_field", "failed_offset", "trailing_bytes")
 BINARY_PRIMS = ("pubkey", "publicKey", "bytes")
@@ -96,33 +97,24 @@ def fields_json(layout: Layout, outcome: Outcome) -> Column:
 
 # ---- decode -----------------------------------------------------------------
 
-def _outcomes(df: DataFrame, chosen: list[tuple[Interface, Layout]], data: str,
-              conditions: list[Column] | None, with_json: bool) -> tuple[DataFrame, list[Outcome], list[Column]]:
-    """Stage what all layouts need together, so that several layouts cost one pass."""
+def _fits(layout: Layout) -> bool:
+    """Whether expressions can read the layout and print it as JSON."""
+    return layout_compiles(layout) and all(renders(t) for _, t in layout.fields if not has_node(t, Unknown))
+
+
+def _outcome(df: DataFrame, interface: Interface, layout: Layout, data: str, with_json: bool) -> tuple[DataFrame, Outcome, Column]:
+    """The rows with what one layout stages, its outcome and its JSON text."""
     df = df.withColumn("_length", F.length(data))
     stages = Stages("_s")
-    compiler = Compiler(F.col(data), F.col("_length"), stages)
-    outcomes, texts = [], []
-    for k, (interface, layout) in enumerate(chosen):
-        native = layout_compiles(layout) and not (
-            with_json and any(not renders(t) for _, t in layout.fields if not has_node(t, Unknown)))
-        if native:
-            start = Pos(None, DISCRIMINATOR_BYTES, 0)
-            if conditions is not None:
-                base, depth = stages.put(F.when(conditions[k], F.lit(DISCRIMINATOR_BYTES)), 0)
-                start = Pos(base, 0, depth)
-            outcome = compile_layout(layout, compiler, start)
-            outcomes.append(outcome)
-            texts.append(fields_json(layout, outcome) if with_json else F.lit(None).cast("string"))
-            continue
-        given = F.col(data) if conditions is None else F.when(conditions[k], F.col(data))
-        walked, _ = stages.put(walk_column(layout, interface, given, DISCRIMINATOR_BYTES), 0)
-        values = [F.parse_json(walked[f"v{i}"]) if isinstance(spark_type(t), T.VariantType)
-                  else walked[f"v{i}"] for i, (_, t) in enumerate(layout.fields)]
-        outcomes.append(Outcome(values, walked["status"], walked["failed_field"],
-                                walked["failed_offset"], walked["trailing"], F.lit(None).cast("int")))
-        texts.append(walked["json"])
-    return stages.apply(df), outcomes, texts
+    if _fits(layout) if with_json else layout_compiles(layout):
+        outcome = compile_layout(layout, Compiler(F.col(data), F.col("_length"), stages), Pos(None, DISCRIMINATOR_BYTES, 0))
+        return stages.apply(df), outcome, fields_json(layout, outcome) if with_json else F.lit(None).cast("string")
+    walked, _ = stages.put(walk_column(layout, interface, F.col(data), DISCRIMINATOR_BYTES), 0)
+    values = [F.parse_json(walked[f"v{i}"]) if isinstance(spark_type(t), T.VariantType)
+              else walked[f"v{i}"] for i, (_, t) in enumerate(layout.fields)]
+    outcome = Outcome(values, walked["status"], walked["failed_field"], walked["failed_offset"], walked["trailing"],
+                      F.lit(None).cast("int"))
+    return stages.apply(df), outcome, walked["json"]
 
 
 def _outcome_columns(outcome: Outcome) -> list[Column]:
@@ -139,7 +131,7 @@ def decode_table(df: DataFrame, interface: Interface, layout: Layout, data: str
     too short keeps the fields read before the failing one.
     """
     keep = df.columns if keep is None else keep
-    staged, (outcome,), (text,) = _outcomes(df, [(interface, layout)], data, None, json_column is not None)
+    staged, outcome, text = _outcome(df, interface, layout, data, json_column is not None)
     names = column_names(layout)
     typed = [v.cast(spark_type(t)).alias(names[i])
              for i, (v, (_, t)) in enumerate(zip(outcome.values, layout.fields))]
@@ -148,38 +140,74 @@ def decode_table(df: DataFrame, interface: Interface, layout: Layout, data: str
 
 
 def decode_all(df: DataFrame, interfaces: Interface | list[Interface], kind: str = "instruction",
-               data: str = "data", name: str = "name", json_column: str = "args") -> DataFrame:
+               data: str = "data", name: str = "name", json_column: str = "args",
+               bytes_limit: int = BROADCAST_BYTES) -> DataFrame:
     """Every definition of the given programs in a single pass, fields as JSON text.
 
     Expects dispatched rows (``program_id`` and ``name`` set). Rows without a
-    definition get no JSON and status ``unknown``.
+    definition get no JSON and status ``unknown``. A lookup, broadcast within ``bytes_limit``, names the shape of
+    each row's definition; there is one decoder for each shape, however many definitions have it.
     """
     faces = [interfaces] if isinstance(interfaces, Interface) else interfaces
-    chosen, conditions = [], []
+    chosen: dict[tuple[str, str], tuple[Interface, Layout]] = {}
     for face in faces:
-        seen: set[str] = set()
         for layout in face.layouts(kind):
-            if layout.name not in seen:
-                seen.add(layout.name)
-                chosen.append((face, layout))
-                conditions.append(_matches(df, face, layout.name, name))
-    keep = df.columns
-    staged, outcomes, texts = _outcomes(df, chosen, data, conditions, True)
-
-    def pick(values: list[Column], default: Column, as_type: str) -> Column:
-        out = None
-        for condition, value in zip(conditions, values):
-            out = F.when(condition, value) if out is None else out.when(condition, value)
-        return (default if out is None else out.otherwise(default)).cast(as_type)
-
-    nothing = F.lit(None)
-    return staged.select(
-        *keep,
-        pick(texts, nothing, "string").alias(json_column),
-        pick([o.status for o in outcomes], F.lit(UNKNOWN), "string").alias("decode_status"),
-        pick([o.failed_field for o in outcomes], nothing, "string").alias("failed_field"),
-        pick([o.failed_offset for o in outcomes], nothing, "int").alias("failed_offset"),
-        pick([o.trailing for o in outcomes], nothing, "int").alias("trailing_bytes"))
+            chosen.setdefault((face.program_id, layout.name), (face, layout))
+    found = classify(chosen.values(), _fits)
+    rows = _with_shape(df, found, name, bytes_limit).withColumn("_length", F.length(data))
+
+    stages = Stages("_s")
+    compiler = Compiler(F.col(data), F.col("_length"), stages)
+    reads, fails, indexes, ends = [], [], [], []
+    for k, shape in enumerate(found.shapes):
+        base, depth = stages.put(F.when(F.col("_shape") == k, F.lit(DISCRIMINATOR_BYTES)), 0)
+        got, end = read_shape(shape, compiler, Pos(base, 0, depth))
+        reads.append(got)
+        ends.append(end.at())
+        if got:  # only rows of this shape have a position, so for all others these are NULL
+            fails.append(stages.put_word(F.coalesce(*[r.fail for r in got])))
+            indexes.append(stages.put_word(F.coalesce(*[F.when(r.fail.isNotNull(), i) for i, r in enumerate(got)])))
+    walked = None
+    if found.walked:
+        walked, _ = stages.put(walk_any(found.walked, F.col("_walk"), F.col(data), DISCRIMINATOR_BYTES), 0)
+    none = F.lit(None).cast("int")
+    rows = stages.apply(rows).select("*", F.coalesce(*fails, none).alias("_failed"),
+                                     F.coalesce(*indexes, "_stop").alias("_failed_index"), F.coalesce(*ends, none).alias("_end"))
+
+    text = F.when(F.col("_shape").isNull(), walked["json"] if walked is not None else F.lit(None).cast("string"))
+    for k, (shape, got) in enumerate(zip(found.shapes, reads)):
+        text = text.when(F.col("_shape") == k, shape_json(shape, got, F.col("_keys"), F.col("_failed_index"), json_ready))
+    shaped = F.col("_shape").isNotNull()
+    status = F.when(F.col("_failed").isNotNull(), PARTIAL).when(F.col("_stop").isNotNull(), UNSUPPORTED).otherwise(OK)
+
+    def either(value: Column, of_walked: str) -> Column:
+        out = F.when(shaped, value)
+        return out if walked is None else out.otherwise(walked[of_walked])
+
+    return rows.select(
+        *df.columns, text.alias(json_column),
+        F.coalesce(either(status, "status"), F.lit(UNKNOWN)).alias("decode_status"),
+        either(F.get("_names", F.col("_failed_index")), "failed_field").alias("failed_field"),
+        either(F.coalesce("_failed", F.when(F.col("_stop").isNotNull(), F.col("_end"))).cast("int"), "failed_offset").alias("failed_offset"),
+        either(F.when(F.col("_failed").isNull() & F.col("_stop").isNull(), (F.col("_length") - F.col("_end")).cast("int")),
+               "trailing").alias("trailing_bytes"))
+
+
+def _with_shape(df: DataFrame, found: Catalogue, name: str, bytes_limit: int) -> DataFrame:
+    """Adds to each row the shape of its definition, or its number for the walker, and the names. Rows without a match are
+    named ``unknown``, which a definition may be called too, so ``matched`` decides where the table has it."""
+    kind = df.schema["program_id"].dataType
+    key = key_bytes if isinstance(kind, T.BinaryType) else str
+    schema = T.StructType([T.StructField("program_id", kind), T.StructField(name, T.StringType()),
+                           T.StructField("_shape", T.IntegerType()), T.StructField("_walk", T.IntegerType()),
+                           T.StructField("_names", T.ArrayType(T.StringType())), T.StructField("_keys", T.ArrayType(T.StringType())),
+                           T.StructField("_stop", T.IntegerType())])
+    size = sum(100 + 4 * len(row[1]) + sum(16 + 4 * len(n) for n in (*row[4], *row[5])) for row in found.rows)
+    lookup = df.sparkSession.createDataFrame([(key(row[0]), *row[1:]) for row in found.rows], schema)
+    rows = attach_small(df, lookup, ["program_id", name], bytes_limit, known_bytes=size)
+    if "matched" not in df.columns:
+        return rows
+    return rows.withColumns({c: F.when(F.col("matched"), F.col(c)) for c in ("_shape", "_walk", "_stop")})
 
 
 def args_variant(text: Column, json_null: bool = False) -> Column:
