@@ -893,7 +893,20 @@ def upsert(spark, sf):
     for part in (state, batch):
         spread = part.withColumn("bucket", F.pmod(F.xxhash64("program_id"), F.lit(8)).cast("int"))
         tables.upsert_partitions(spark, path, spread, ["program_id"], ["last_slot", "last_signature"], "bucket")
-    return spark.read.parquet(path).select("program_id", "last_slot", "last_signature")
+    return tables.read_upserted(spark, path, spread.schema, "bucket").select("program_id", "last_slot", "last_signature")
+
+
+@query(f"""WITH {SQL_IX} SELECT {', '.join(IX_COLUMNS)} FROM (SELECT *, row_number() OVER (
+  PARTITION BY transaction_signature, outer_index ORDER BY slot % 24, indexed_at, part, price, program_id, instruction_name) AS n FROM ix) WHERE n = 1""")
+def ledger_compact(spark, sf):
+    """Two dozen batches, each of which comes a second time as well; folders are merged on the way."""
+    path, rows = new_path(spark, "compacted"), fx.instructions(spark, sf)
+    order = ["indexed_at", "part", "price", "program_id", "instruction_name"]
+    for batch_id in range(24):
+        batch = rows.where(F.col("slot") % 24 == batch_id)
+        tables.write_ledger(batch, path, batch_id, IX_KEY, order)
+        tables.write_ledger(batch, path, batch_id, IX_KEY, order)
+    return tables.read_ledger(spark, path, rows.schema).select(*IX_COLUMNS)
 
 
 def order_files(spark: SparkSession, sf: str, turns: tuple[int, ...]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotframe.operators.skew import join_counted
-from slotframe.operators.tables import extreme_by
+from slotframe.operators.tables import latest_by
 
 BLOCK_SLOTS = 4096
 
@@ -36,8 +36,8 @@ def orphans(instructions: DataFrame, transactions: DataFrame) -> DataFrame:
 
 def latest_accounts(states: DataFrame, key: tuple[str, ...] = ("program", "account_type", "pubkey"),
                     order: tuple[str, ...] = ("observed_at", "slot")) -> DataFrame:
-    """The current state of every account. Reduced before the shuffle; ties are settled by all columns."""
-    return extreme_by(states, list(key), list(order), largest=True)
+    """The current state of every account. Older states are left out before anything is sorted; ties are settled by all columns."""
+    return latest_by(states, list(key), list(order))
 
 
 def account_state_at(touched: DataFrame, states: DataFrame, mode: str = "asof") -> DataFrame:

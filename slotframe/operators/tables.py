@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
-from slotframe.session import new_path
+from slotframe.operators import manifest
 
 BUCKET_SLOTS = 432_000
+LISTED = 1000
+"""Buckets of a batch that are compared as a list."""
 
 
 def slot_bucket(slot: Column) -> Column:
@@ -25,20 +27,37 @@ def _sortable(kind: T.DataType) -> bool:
     return not isinstance(kind, (T.MapType, T.VariantType))
 
 
+FIXED = (T.NumericType, T.BooleanType, T.TimestampType, T.TimestampNTZType, T.DateType)
+"""Types that a hash aggregate can hold."""
+
+
 def extreme_by(df: DataFrame, key: list[str], order: list[str], largest: bool) -> DataFrame:
     """One row per key, the smallest or largest by ``order``, ties settled by the other columns.
 
-    An aggregate rather than a window: copies of a key are reduced before the shuffle,
-    so a key that holds much of the table never meets in one task.
+    Spark limits each task's rows to the first of every key before the shuffle, so copies of a
+    key are reduced where they are and a key that holds much of the table never meets in one task.
+    """
+    ties = [c for c in df.columns if c not in key and c not in order and _sortable(df.schema[c].dataType)]
+    by = [F.col(c).desc() if largest else F.col(c).asc() for c in (*order, *ties)] or [F.lit(0)]
+    turn = F.row_number().over(Window.partitionBy(*key).orderBy(*by))
+    return df.withColumn("_turn", turn).where("_turn = 1").select(*df.columns)
+
+
+def latest_by(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The largest row of every key where keys have many rows, in two phases.
+
+    First a hash aggregate finds each key's largest value of the first order column; it reads the key and that
+    column alone. Then a semi join fetches the rows that have it, about one for each key, and only these are
+    sorted to settle what is equal so far. Rows that lose are never sorted, and cross the network at most once.
     """
-    rest = [c for c in df.columns if c not in key and c not in order]
-    ties = [c for c in rest if _sortable(df.schema[c].dataType)]
-    pick, pick_by = (F.max, F.max_by) if largest else (F.min, F.min_by)
-    if len(ties) == len(rest):
-        one = pick(F.struct(*order, *rest))
-    else:
-        one = pick_by(F.struct(*order, *rest), F.struct(*order, *ties))
-    return df.groupBy(*key).agg(one.alias("_r")).select(*key, "_r.*").select(*df.columns)
+    if not order or not isinstance(df.schema[order[0]].dataType, FIXED):
+        return extreme_by(df, key, order, largest=True)
+    names = [f"_k{i}" for i in range(len(key))]
+    best = df.groupBy(*[F.col(c).alias(n) for c, n in zip(key, names)]).agg(F.max(order[0]).alias("_best"))
+    same = F.col(order[0]).eqNullSafe(F.col("_best"))
+    for c, n in zip(key, names):
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    return extreme_by(df.join(best.hint("shuffle_hash"), same, "left_semi"), key, order, largest=True)
 
 
 def first_by(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -49,13 +68,16 @@ def first_by(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 def covered(target: DataFrame, batch: DataFrame, prune: str | None) -> DataFrame:
     """The part of the target that lies in the batch's own values of ``prune``.
 
-    ``prune`` names a column that a key determines (a slot bucket). The batch's buckets are few
-    numbers and are broadcast; where the target is partitioned by the column, its other partitions
-    are not read, however far apart the batch's buckets lie.
+    ``prune`` names a column that a key determines (a slot bucket). Up to ``LISTED`` buckets become a filter, which
+    prunes partitions before anything is planned, however far apart the buckets lie; more of them a join.
     """
     if prune is None:
         return target
-    return target.join(F.broadcast(batch.select(prune).distinct()), prune, "left_semi").select(*target.columns)
+    own = batch.select(prune).where(F.col(prune).isNotNull()).distinct()
+    found = own.limit(LISTED + 1).collect()
+    if len(found) <= LISTED:
+        return target.where(F.col(prune).isin([r[0] for r in found]))
+    return target.join(own, prune, "left_semi").select(*target.columns)
 
 
 def new_only(batch: DataFrame, target: DataFrame, key: list[str], prune: str | None = None) -> DataFrame:
@@ -119,16 +141,27 @@ def read_batches(spark: SparkSession, path: str, schema: T.StructType, before: i
 
 
 def write_ledger(batch: DataFrame, path: str, batch_id: int, key: list[str], order: list[str],
-                 prune: str | None = None, partition_by: tuple[str, ...] = ()) -> None:
-    """Stores the new rows of a micro-batch; safe to repeat with the same ``batch_id``.
+                 prune: str | None = None, partition_by: tuple[str, ...] = (), merge: bool = True) -> None:
+    """Stores the new rows of a micro-batch in a table with a manifest. Repeating a batch changes nothing.
 
     With ``prune`` the table is partitioned by that column, so a batch is compared only with the buckets
-    it has itself. The batch is then read twice, so persist it where that is expensive.
+    it has itself. The batch is then read twice, so persist it where that is expensive. With ``merge`` small folders
+    are put together when there are many; a job of its own can do it instead (:func:`manifest.compact`).
     """
+    spark = batch.sparkSession
+    if manifest.committed(spark, path, batch_id):
+        return
     if prune is not None and prune not in partition_by:
         partition_by = (prune, *partition_by)
-    stored = read_batches(batch.sparkSession, path, batch.schema, before=batch_id)
-    write_batch(insert_if_absent(batch, stored, key, order, prune), path, batch_id, partition_by)
+    stored = manifest.read(spark, path, batch.schema, before=batch_id).select(*batch.columns)
+    manifest.append(insert_if_absent(batch, stored, key, order, prune), path, batch_id, partition_by)
+    if merge:
+        manifest.compact(spark, path, batch.schema, partition_by)
+
+
+def read_ledger(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None) -> DataFrame:
+    """The newest version of such a table, with the batch of each row; with ``before`` as it was before that batch."""
+    return manifest.read(spark, path, schema, before)
 
 
 def write_dispatched(dispatched: DataFrame, path: str, batch_id: int) -> None:
@@ -148,18 +181,20 @@ def append_states(decoded: DataFrame, path: str, batch_id: int, source: str, obs
 
 def upsert_partitions(spark: SparkSession, path: str, batch: DataFrame, key: list[str], order: list[str],
                       partition: str, monotonic: bool = True) -> None:
-    """Upsert into a partitioned table, rewriting only the partitions the batch touches.
+    """Upsert into a table of versioned partitions, rewriting only the partitions the batch touches.
 
-    ``partition`` must follow from the key. The merged rows are written aside
-    first, since a query cannot overwrite what it reads; repeating it is harmless.
+    ``partition`` must follow from the key. Their new versions are written beside the old ones and count from
+    the moment the manifest lists them, so a failure at any time leaves the table as it was.
     """
-    touched = [r[0] for r in batch.select(partition).distinct().collect()]  # partition values, not rows
-    target = read_or_empty(spark, path, batch.schema)
-    aside = new_path(spark, "upsert")
-    merged = upsert(target.where(F.col(partition).isin(touched)), batch, key, order, monotonic)
-    merged.write.parquet(aside)
-    (spark.read.schema(batch.schema).parquet(aside).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path))
+    touched = batch.select(partition).distinct()
+    target = manifest.read_partitions(spark, path, batch.schema, partition)
+    merged = upsert(target.join(touched, partition, "left_semi").select(*batch.columns), batch, key, order, monotonic)
+    manifest.replace_partitions(merged, path, partition, touched)
+
+
+def read_upserted(spark: SparkSession, path: str, schema: T.StructType, partition: str) -> DataFrame:
+    """The table that :func:`upsert_partitions` keeps."""
+    return manifest.read_partitions(spark, path, schema, partition)
 
 
 def progress(batch: DataFrame, updated_at: Column | None = None) -> DataFrame:

@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from slotframe.operators.tables import progress, read_batches, read_or_empty, write_batch, write_ledger
+from slotframe.operators import manifest
+from slotframe.operators.tables import progress, read_ledger, write_ledger
 from slotframe.plans.schemas import SYNC_STATE
 
-STAMP = T.StructType([T.StructField("stamp", T.TimestampType())])
-
 
 @dataclass(frozen=True)
 class Sink:
@@ -53,7 +52,8 @@ def run_ingest(history: DataFrame, live: DataFrame, sink: Sink, track_progress:
         try:
             write_ledger(batch, sink.rows, batch_id, list(sink.key), list(sink.order), sink.prune, sink.partition_by)
             if track_progress:
-                write_batch(progress(batch, stamp), sink.states, batch_id)
+                manifest.append(progress(batch, stamp), sink.states, batch_id)
+                manifest.compact(batch.sparkSession, sink.states, SYNC_STATE)
         finally:
             batch.unpersist()
 
@@ -65,22 +65,19 @@ def run_ingest(history: DataFrame, live: DataFrame, sink: Sink, track_progress:
 
 def batch_stamp(spark: SparkSession, sink: Sink, batch_id: int) -> datetime:
     """The time a batch was first seen. It is written before anything else of the batch, so a replay has the same."""
-    path = f"{sink.path}/stamps/batch_id={batch_id}"
-    known = read_or_empty(spark, path, STAMP).first()
-    if known is None:
-        spark.range(1).select(F.current_timestamp().alias("stamp")).write.mode("overwrite").parquet(path)
-        known = read_or_empty(spark, path, STAMP).first()
-    return known["stamp"]
+    path = f"{sink.path}/stamps/{batch_id:015d}"
+    manifest.put_once(spark, path, datetime.now(timezone.utc).isoformat())
+    return datetime.fromisoformat(manifest.get_text(spark, path))
 
 
 def ingested(spark: SparkSession, sink: Sink, schema: T.StructType) -> DataFrame:
     """The stored rows."""
-    return read_batches(spark, sink.rows, schema).select(*schema.names)
+    return read_ledger(spark, sink.rows, schema).select(*schema.names)
 
 
 def sync_state(spark: SparkSession, sink: Sink) -> DataFrame:
     """Furthest position per program. It never moves back, whatever order records came in."""
-    rows = read_batches(spark, sink.states, SYNC_STATE)
+    rows = read_ledger(spark, sink.states, SYNC_STATE)
     position = F.max(F.struct("last_slot", "last_signature", "updated_at")).alias("p")
     return rows.groupBy("program_id").agg(position).select("program_id", "p.*")
 

@@ -28,7 +28,7 @@ def snapshot_job(raw_accounts: DataFrame, definitions: DataFrame | list[Interfac
     """
     rows = raw_accounts if program_ids is None else scan_accounts(raw_accounts, program_ids)
     typed = dispatch(rows.withColumnRenamed("owner", "program_id"), definitions, "account").where("matched")
-    current = latest_accounts(digest(typed), tuple(KEY))
+    current = digest(latest_accounts(typed, tuple(KEY)))
     stored = latest_accounts(previous.select(*KEY, "observed_at", "slot", "data_hash"), tuple(KEY))
     known = stored.select(*KEY, F.col("data_hash").alias("stored_hash"))
     changed = current.join(known, KEY, "left")

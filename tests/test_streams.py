@@ -42,11 +42,11 @@ def test_a_failed_batch_is_repeated_without_loss(spark, tmp_path, monkeypatch):
     sink = ingest.Sink(str(tmp_path / "sink"), ("signature",), ("slot", "fee"))
     put(spark, tmp_path / "history", [("a", 1, "p", 1)])
     put(spark, tmp_path / "live", [("a", 1, "p", 1), ("b", 2, "p", 2)])
-    real = ingest.write_batch
-    monkeypatch.setattr(ingest, "write_batch", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost")))
+    real = ingest.progress
+    monkeypatch.setattr(ingest, "progress", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost")))
     with pytest.raises(Exception, match="lost"):
         start(spark, tmp_path, sink)
-    monkeypatch.setattr(ingest, "write_batch", real)
+    monkeypatch.setattr(ingest, "progress", real)
     assert start(spark, tmp_path, sink) == [("a", 1), ("b", 2)]
     assert ingest.sync_state(spark, sink).first().last_slot == 2
 
