@@ -19,13 +19,13 @@ from slotframe.operators import decode as dc
 from slotframe.operators import flatten as fl
 from slotframe.operators import health, lookups, queries, tables
 from slotframe.operators.dispatch import dispatch
-from slotframe.plans.schemas import schema_table, type_name
+from slotframe.plans.schemas import schema_table, table_name, type_name
 from slotframe.plans.types import Interface, parse_interface
 from slotframe.session import new_path
 from slotframe.sources import definitions as df_
 from slotframe.sources import ledger
 from slotframe.sources.messages import unpack_messages
-from slotframe.streaming import buckets, ingest, snapshot
+from slotframe.streaming import buckets, counts, ingest, pending, snapshot
 from slotframe.streaming import sources as ss
 from slotframe.streaming.sources import file_stream
 
@@ -214,6 +214,23 @@ def enrich_retry(spark, sf):
     return found
 
 
+@query(f"""WITH {SQL_TX}, n AS (SELECT DISTINCT CAST(event_id * 3 AS VARCHAR) AS signature FROM events)
+SELECT n.signature, CASE WHEN tx.signature IS NULL THEN 'waiting' ELSE 'found' END AS state, tx.fee FROM n LEFT JOIN tx USING (signature)""")
+def enrich_late(spark, sf):
+    """Records and notifications land in three parts: of two parts the notification comes before the record, of one after it."""
+    landed, noted, path = new_path(spark, "landed"), new_path(spark, "noted"), new_path(spark, "followed")
+    records = fx.transactions(spark, sf)
+    notes = fx.table(spark, sf, "events").select((F.col("event_id") * 3).alias("n"), (F.col("event_id") * 3).cast("string").alias("signature"))
+    for turn in range(3):
+        records.where(F.col("slot") % 9 == 3 * turn).write.mode("append").parquet(landed)
+        notes.where(F.col("n") % 9 == 3 * ((turn + 1) % 3)).write.mode("append").parquet(noted)
+        streams = file_stream(spark, noted, notes.schema), file_stream(spark, landed, records.schema)
+        pending.follow_notifications(*streams, lambda s: s.read.schema(records.schema).parquet(landed), path, "1 day").awaitTermination()
+    found = pending.found_records(spark, path, records.schema).select("signature", F.lit("found").alias("state"), "fee")
+    return found.unionByName(pending.waiting_notifications(spark, path).select(
+        "signature", F.lit("waiting").alias("state"), F.lit(None).cast("bigint").alias("fee")))
+
+
 @query("""SELECT CAST(user_id AS VARCHAR) AS pubkey, event_id AS slot, event_type AS owner FROM events
 WHERE event_type IN ('click', 'view')""")
 def scan_accounts(spark, sf):
@@ -872,6 +889,23 @@ def ingest_report(spark, sf):
     return queries.ingest_report(rows, by=("commitment",))
 
 
+@query(f"""SELECT {SQL_STATUS} AS status, count(*) AS records FROM orders GROUP BY 1""")
+def ingest_counts(spark, sf):
+    """The same from a stream, counted while its batches run."""
+    path = new_path(spark, "counted")
+    raw = order_files(spark, sf, (0, 1, 2), fx.wire_transactions_of)
+    rows = counts.observed(unpack_messages(raw), "ingest", F.col("unpack_status"))
+    writer = counts.CountWriter(spark, "ingest", f"{path}/counts")
+    spark.streams.addListener(writer)
+    try:
+        query = rows.writeStream.format("noop").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+        writer.wait(query)
+    finally:
+        spark.streams.removeListener(writer)
+    return counts.read_counts(spark, f"{path}/counts").groupBy("status").agg(F.sum("records").alias("records"))
+
+
 # ---- tables -----------------------------------------------------------------
 
 @query(f"""WITH {SQL_TX} SELECT * REPLACE (fee - CASE WHEN success AND slot % 2 = 0 THEN 1 ELSE 0 END AS fee) FROM tx""")
@@ -909,12 +943,13 @@ def ledger_compact(spark, sf):
     return tables.read_ledger(spark, path, rows.schema).select(*IX_COLUMNS)
 
 
-def order_files(spark: SparkSession, sf: str, turns: tuple[int, ...]) -> DataFrame:
+def order_files(spark: SparkSession, sf: str, turns: tuple[int, ...],
+                records: Callable[[DataFrame], DataFrame] = fx.raw_transactions_of) -> DataFrame:
     """Orders as a stream of one file after another, by a third of the keys each."""
     path, orders = new_path(spark, "orders"), fx.table(spark, sf, "orders")
     for turn in turns:
         orders.where(F.col("o_orderkey") % 3 == turn).coalesce(1).write.mode("append").parquet(path)
-    return fx.raw_transactions_of(file_stream(spark, path, orders.schema, files_per_trigger=1))
+    return records(file_stream(spark, path, orders.schema, files_per_trigger=1))
 
 
 def tx_stream(spark: SparkSession, sf: str, turns: tuple[int, ...], more_fee: int) -> DataFrame:
@@ -1059,6 +1094,45 @@ def snapshot_delta(spark, sf):
     return changed.select("name", "pubkey", "slot")
 
 
+SNAPSHOTS = ("2024-01-10", "2024-01-20", "2024-03-01")
+
+
+@query(f"""WITH cuts(i, cut) AS (VALUES {', '.join(f"({i}, TIMESTAMP '{t}')" for i, t in enumerate(SNAPSHOTS))}),
+s AS (SELECT i, event_type, user_id, arg_max(event_id, ts) AS slot, arg_max(CAST(json_extract(props, '$.k') AS INTEGER), ts) AS k,
+  arg_max(value, ts) AS value, max(ts) AS observed_at FROM events JOIN cuts ON ts < cut WHERE event_type <> 'error' GROUP BY ALL),
+c AS (SELECT s.* FROM s LEFT JOIN s o ON o.i = s.i - 1 AND o.event_type = s.event_type AND o.user_id = s.user_id
+  WHERE o.user_id IS NULL OR o.k <> s.k OR o.value <> s.value)
+SELECT 'wallets_' || event_type AS table_name, CAST(user_id AS VARCHAR) AS pubkey, slot, k, value, CASE WHEN k > 50
+  THEN upper(substr(event_type, 1, 1)) || substr(event_type, 2) END AS label, 'snapshot' AS source, observed_at, k AS k_of_data FROM c""")
+def snapshot_states(spark, sf):
+    """Three snapshots as a stream, in the typed account tables."""
+    events, folder, path = fx.table(spark, sf, "events"), new_path(spark, "accounts"), new_path(spark, "snapshots")
+    for cut in SNAPSHOTS:
+        events.where(F.col("ts") < F.lit(cut).cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(folder)
+    stream = fx.raw_accounts_of(file_stream(spark, folder, events.schema, files_per_trigger=1))
+    snapshot.run_snapshots(stream, [wallets()], path).awaitTermination()
+    out = None
+    for layout in wallets().accounts:
+        rows = dc.read_derived(spark, layout, f"{path}/tables").select(
+            F.lit(table_name(layout)).alias("table_name"), F.col("pubkey").cast("string").alias("pubkey"), "slot", F.col("k").cast("int").alias("k"),
+            "value", "label", "source", ntz(F.col("observed_at")).alias("observed_at"), F.variant_get("data", "$.k", "int").alias("k_of_data"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(f"""WITH {SQL_FLAT} SELECT name, CAST(o_orderkey AS VARCHAR) AS transaction_signature, outer_index, coalesce(inner_index, -1) AS inner_index,
+o_orderkey AS "order", CASE name WHEN 'placeOrder' THEN o_custkey END AS customer, CASE name WHEN 'note' THEN o_orderpriority END AS "text"
+FROM flat WHERE program = '{DESK_HEX}' AND name <> 'unknown'""")
+def typed_table_rows(spark, sf):
+    """All instruction types of a program in their derived tables, written from one pass over the batch."""
+    path, face = new_path(spark, "typed"), desk()
+    dc.write_derived(dispatched(spark, sf), face, path, 0)
+    place, note = [dc.read_derived(spark, face.find("instruction", n), path) for n in ("placeOrder", "note")]
+    rows = place.withColumn("name", F.lit("placeOrder")).unionByName(note.withColumn("name", F.lit("note")), allowMissingColumns=True)
+    return rows.select("name", "transaction_signature", "outer_index", minus("inner_index"), F.col("order").cast("bigint").alias("order"),
+                       F.col("customer").cast("bigint").alias("customer"), "text")
+
+
 # ---- functions --------------------------------------------------------------
 
 @query("SELECT o_orderkey, sha256('o' || CAST(o_orderkey AS VARCHAR)) AS round_trip, md5(CAST(o_orderkey AS VARCHAR)) AS short_trip FROM orders")

@@ -196,8 +196,12 @@ def raw_transactions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def wire_transactions(spark: SparkSession, sf: str) -> DataFrame:
+    return wire_transactions_of(table(spark, sf, "orders"))
+
+
+def wire_transactions_of(orders: DataFrame) -> DataFrame:
     """Raw transactions as base64 wire bytes; those of urgent orders are broken in two ways."""
-    raw = raw_transactions(spark, sf)
+    raw = raw_transactions_of(orders)
 
     def compact(n: Column) -> Column:
         return F.unhex(F.lpad(F.hex(n.cast("bigint")), 2, "0"))

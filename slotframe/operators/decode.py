@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from urllib.parse import quote
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slotframe.functions.base58 import base58, base58_list, key_bytes, key_literal
 from slotframe.functions.names import DISCRIMINATOR_BYTES, sanitize_name
+from slotframe.operators import manifest
 from slotframe.operators.dispatch import BROADCAST_BYTES, attach_small, dispatch
 from slotframe.operators.flatten import flatten_instructions
 from slotframe.plans.layout import (OK, PARTIAL, UNKNOWN, UNSUPPORTED, Compiler, Outcome, Pos, Stages, compile_layout,
                                     layout_compiles)
-from slotframe.plans.schemas import column_names
+from slotframe.plans.schemas import column_names, table_name, typed_schema
 from slotframe.plans.shapes import Catalogue, classify, read_shape, shape_json
 from slotframe.plans.types import (Interface, Layout, Opt, Prim, Rec, Ref, Seq, Unknown, has_node,
                                    spark_type, walk_nodes)
@@ -270,6 +273,55 @@ def typed_accounts(dispatched: DataFrame, interface: Interface, name: str, data:
     return decode_table(rows, interface, layout, data, keep=keep, json_column="data_json")
 
 
+def derived_rows(dispatched: DataFrame, interface: Interface, layout: Layout, data: str = "data",
+                 source: str = "tx", observed_at: Column | None = None, indexed_at: Column | None = None) -> DataFrame:
+    """Rows of one type's table, with exactly the schema that is derived for it.
+
+    Key columns come from ``dispatched`` by name and are NULL where it has none; an account's whole object is ``data``
+    as VARIANT. ``observed_at`` is taken from the rows unless it is given.
+    """
+    schema = typed_schema(layout)
+    rows = dispatched.where(_matches(dispatched, interface, layout.name))
+    keep = [f.name for f in schema if f.name in rows.columns and f.name != data and f.name not in column_names(layout).values()]
+    whole = "_json" if layout.kind == "account" else None
+    decoded = decode_table(rows.select(*keep, data), interface, layout, data, keep=keep, json_column=whole)
+    given = {"source": F.lit(source), "indexed_at": F.current_timestamp() if indexed_at is None else indexed_at}
+    if whole:
+        given["data"] = F.parse_json(whole)
+    if observed_at is not None:
+        given["observed_at"] = observed_at
+    return decoded.select(*[given.get(f.name, F.col(f.name) if f.name in decoded.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                            for f in schema])
+
+
+def write_derived(dispatched: DataFrame, interface: Interface, path: str, batch_id: int, kind: str = "instruction",
+                  data: str = "data", source: str = "tx", observed_at: Column | None = None, indexed_at: Column | None = None) -> list[str]:
+    """One batch into the derived tables ``{path}/{table}`` of a program; returns the tables it had rows for.
+
+    The batch is evaluated and dealt out by type once; each type is then decoded from its own part. Tables have a
+    manifest each, and a table that has the batch already is left as it is.
+    """
+    spark, aside = dispatched.sparkSession, f"{path}/_dealt/batch={batch_id}"
+    rows = dispatched.where((F.col("program_id") == program_literal(dispatched, interface)) & F.col("matched"))
+    rows.withColumn("_type", F.col("name")).hint("rebalance", "_type").write.mode("overwrite").partitionBy("_type").parquet(aside)
+    dealt = spark.read.schema(T.StructType([*rows.schema, T.StructField("_type", T.StringType())])).parquet(aside)
+    wanted, written = {n for n in manifest.names_in(spark, aside) if n.startswith("_type=")}, []
+    for layout in interface.layouts(kind):
+        if f"_type={quote(layout.name)}" not in wanted and f"_type={layout.name}" not in wanted:
+            continue
+        part = dealt.where(F.col("_type") == layout.name).drop("_type")
+        manifest.append(derived_rows(part, interface, layout, data, source, observed_at, indexed_at), f"{path}/{table_name(layout)}", batch_id)
+        written.append(table_name(layout))
+        wanted -= {f"_type={quote(layout.name)}", f"_type={layout.name}"}
+    return written
+
+
+def read_derived(spark: SparkSession, layout: Layout, path: str) -> DataFrame:
+    """One type's table, with the schema derived for it."""
+    schema = typed_schema(layout)
+    return manifest.read(spark, f"{path}/{table_name(layout)}", schema).select(*schema.names)
+
+
 def populate(text: Column, schema: T.StructType, keys: list[str] | None = None) -> Column:
     """A typed struct from a JSON object, by column name.
 

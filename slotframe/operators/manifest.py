@@ -135,6 +135,14 @@ def read(spark: SparkSession, path: str, schema: T.StructType, before: int | Non
     return read_segments(spark, path, schema, segments(spark, path, before))
 
 
+def replace(df: DataFrame, path: str, batch_id: int) -> bool:
+    """The rows as the whole content of the table from this batch on; nothing happens if the batch is in it already."""
+    if committed(df.sparkSession, path, batch_id):
+        return False
+    rows = df.withColumn("batch_id", F.lit(batch_id).cast("long"))
+    return commit(df.sparkSession, path, batch_id, [write_segment(rows, path, batch_id, batch_id)])
+
+
 def to_merge(listed: list[Segment]) -> int:
     """How many of the newest folders to put together: all that are no larger than what is newer than them."""
     count, held = 1, listed[-1].bytes if listed else 0

@@ -63,11 +63,14 @@ def run_ingest(history: DataFrame, live: DataFrame, sink: Sink, track_progress:
     return writer.trigger(**trigger).start()
 
 
-def batch_stamp(spark: SparkSession, sink: Sink, batch_id: int) -> datetime:
+def stamp_of(spark: SparkSession, folder: str, batch_id: int) -> datetime:
     """The time a batch was first seen. It is written before anything else of the batch, so a replay has the same."""
-    path = f"{sink.path}/stamps/{batch_id:015d}"
-    manifest.put_once(spark, path, datetime.now(timezone.utc).isoformat())
-    return datetime.fromisoformat(manifest.get_text(spark, path))
+    manifest.put_once(spark, f"{folder}/{batch_id:015d}", datetime.now(timezone.utc).isoformat())
+    return datetime.fromisoformat(manifest.get_text(spark, f"{folder}/{batch_id:015d}"))
+
+
+def batch_stamp(spark: SparkSession, sink: Sink, batch_id: int) -> datetime:
+    return stamp_of(spark, f"{sink.path}/stamps", batch_id)
 
 
 def ingested(spark: SparkSession, sink: Sink, schema: T.StructType) -> DataFrame:
