@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotframe.llm.common import slices
@@ -28,6 +28,8 @@ SAMPLE = 4000
 """Labelled texts for each language that the model is fitted on, at most about so many."""
 SAMPLE_BYTES = 8_000_000
 """UTF-8 bytes of them for each language, at most about so many."""
+FEW = 16
+"""Texts for each language at least, if there are so many, whatever their size."""
 PENALTY = 3.0
 """What one more language must gain, times 1 + log(words)."""
 FLOOR = -8.0
@@ -90,7 +92,7 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", order_by: Column | None = None,
         sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Fits the model on about ``sample`` texts and ``sample_bytes`` bytes of each language, chosen by a hash of
-    ``order_by`` (of the text by default), so reruns agree. Null texts, texts without a letter and null
+    ``order_by`` (of the text by default), so reruns agree, but on FEW texts of each at least. Null texts, texts without a letter and null
     languages take no part."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"),
@@ -99,7 +101,12 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", ord
     if not held:
         return Model((), np.zeros((BUCKETS, 0)))
     share = {r["lang"]: min(1.0, sample / r["n"], sample_bytes / max(1, r["bytes"])) for r in held}
-    limits = labelled.sparkSession.createDataFrame([(k, int(v * (1 << 30))) for k, v in share.items()], "lang string, _limit long")
+    # However long its texts are, each language gives at least those FEW that come first.
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("_u"))
+    first = rows.select("lang", "_u").withColumn("_turn", turn).where(F.col("_turn") <= FEW).groupBy("lang").agg(F.max("_u").alias("u")).collect()
+    least = {r["lang"]: r["u"] + 1 for r in first}
+    limits = labelled.sparkSession.createDataFrame(
+        [(k, max(least[k], int(v * (1 << 30)))) for k, v in share.items()], "lang string, _limit long")
     chosen = rows.join(F.broadcast(limits), "lang").where(F.col("_u") < F.col("_limit")).select("lang", "text")
     counts = chosen.mapInArrow(count_grams, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     pdf = counts.toPandas()

@@ -2,8 +2,8 @@
 
 Two zstandard dictionaries are built from a bounded sample of labelled texts, one of good and one of
 bad ones. A text that compresses better with the good dictionary resembles good text; the difference
-of the two sizes, divided by the text's size, is the signal. A logistic curve fitted on another
-bounded sample of labelled texts turns the signal into the probability of label 1. Long texts
+of the two sizes, divided by the text's size, is the signal. A logistic curve of the signal alone, fitted on
+another bounded sample of labelled texts, turns it into the probability of label 1. Long texts
 are compressed in pieces of PIECE bytes, each anew with the dictionary, so that the size of a
 text does not dilute what the dictionaries know; all pieces count.
 """
@@ -22,14 +22,16 @@ from pyspark.sql import functions as F
 
 from slotframe.llm.common import slices
 
-SAMPLE = 3000
+SAMPLE = 6000
 """Labelled texts of each class that are drawn, at most about so many; half build dictionaries, half calibrate."""
-SAMPLE_BYTES = 12_000_000
-DICTIONARY = 112_640
-PIECE = 4096
+SAMPLE_BYTES = 24_000_000
+DICTIONARY = 262_144
+PIECE = 2048
 LEVEL = 3
 SCHEMA = "score double, signal double"
-FEATURES = 4
+FEATURES = 2
+FEW = 16
+"""Texts of each class that are drawn at least, if there are so many, however long they are."""
 
 
 @dataclass(frozen=True)
@@ -41,7 +43,7 @@ class Model:
 
 
 class Gauge:
-    """Compressed sizes of a text with either dictionary and without one, by pieces."""
+    """Compressed sizes of a text with either dictionary, by pieces."""
 
     def __init__(self, good: bytes, bad: bytes) -> None:
         def packer(data: bytes) -> zstandard.ZstdCompressor:
@@ -49,19 +51,20 @@ class Gauge:
             if words:
                 words.precompute_compress(level=LEVEL)
             return zstandard.ZstdCompressor(level=LEVEL, dict_data=words, write_content_size=False)
-        self.packers = [packer(good), packer(bad), packer(b"")]
+        self.packers = [packer(good), packer(bad)]
 
-    def features(self, text: str | None) -> list[float]:
-        """1, normalised difference, its size to the power of two at the same sign, plain ratio."""
+    def signal(self, text: str | None) -> float:
+        """What the good dictionary saves against the bad one, for each byte of the text."""
         raw = (text or "").encode("utf-8", "replace")
-        sizes = np.zeros(3)
+        good = bad = 0
         for at in range(0, len(raw), PIECE):
             piece = raw[at: at + PIECE]
-            sizes += [len(p.compress(piece)) for p in self.packers]
-        if not raw:
-            return [1.0, 0.0, 0.0, 1.0]
-        signal = (sizes[1] - sizes[0]) / len(raw)
-        return [1.0, signal, sizes[2] / len(raw), min(sizes[0], sizes[1]) / len(raw)]
+            good += len(self.packers[0].compress(piece))
+            bad += len(self.packers[1].compress(piece))
+        return (bad - good) / len(raw) if raw else 0.0
+
+    def features(self, texts: list[str | None]) -> np.ndarray:
+        return np.array([[1.0, self.signal(t)] for t in texts]).reshape(-1, FEATURES)
 
 
 def dictionary(texts: list[str]) -> bytes:
@@ -89,39 +92,39 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 60
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
         sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """Fits on about ``sample`` texts and ``sample_bytes`` bytes of each class, chosen by a hash of the id; never more than
-    four times ``sample`` ids, which are broadcast so that no text is shuffled. Null
-    labels, ids and texts take no part; repeated labels of an id count once where they agree and not
-    at all where they do not. With only one class in the sample, every score is that class' share."""
+    """Fits on about ``sample`` texts and ``sample_bytes`` bytes of each class, chosen by a hash of the id, but on FEW
+    texts of each at least if there are so many; of a text that alone would fill a good part of ``sample_bytes`` the fit sees
+    the beginning. Null labels, ids and texts take no part; repeated labels of an id count once where they agree and not
+    at all where they do not. Where one class has no text, every score is the other's share of the labels, 0 or 1; without labels 0.5."""
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(
         F.min(F.col(label_col).cast("int")).alias("_y"), F.max(F.col(label_col).cast("int")).alias("_most")).where("_y = _most and _y in (0, 1)")
-    u = F.pmod(F.xxhash64("_id", F.lit(72)), F.lit(1 << 30))
     sizes = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.octet_length(text_col).alias("_bytes"))
-    held = sizes.join(marks, "_id").groupBy("_y").agg(F.count("*").alias("n"), F.sum("_bytes").alias("bytes")).collect()
-    share = {r["_y"]: min(1.0, sample / r["n"], sample_bytes / max(1, r["bytes"])) for r in held}
-    if not share:
+    known = sizes.join(marks, "_id")
+    held = {r["_y"]: r for r in known.groupBy("_y").agg(F.count("*").alias("n"), F.sum("_bytes").alias("bytes")).collect()}
+    if not held:
         return Model(b"", b"", (0.0,) * FEATURES, 0.5)
-    limit = F.when(F.col("_y") == 1, int(share.get(1, 0) * (1 << 30))).otherwise(int(share.get(0, 0) * (1 << 30)))
-    chosen = marks.where(u < limit).select("_id", "_y", u.alias("_u")).orderBy("_u", "_id").limit(4 * sample)
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    pdf: pd.DataFrame = texts.join(F.broadcast(chosen), "_id").toPandas().sort_values(["_id", "_text"], ignore_index=True)
-    counts = {r["_y"]: r["n"] for r in held}
-    prior = counts.get(1, 0) / sum(counts.values())
-    if len(share) < 2:
+    prior = (held[1]["n"] if 1 in held else 0) / sum(r["n"] for r in held.values())
+    if len(held) < 2:
         return Model(b"", b"", (0.0,) * FEATURES, prior)
-    first = pdf["_u"] % 2 == 0
-    good = dictionary(pdf.loc[first & (pdf["_y"] == 1), "_text"].tolist())
-    bad = dictionary(pdf.loc[first & (pdf["_y"] == 0), "_text"].tolist())
-    rest = pdf[~first]
+    # Ids with texts in the order of their hash, as many of each class as its bytes allow.
+    drawn = [known.where(F.col("_y") == y).select("_id", "_y", F.xxhash64("_id", F.lit(72)).alias("_u")).distinct().orderBy("_u", "_id").limit(
+        max(FEW, int(min(1.0, sample / r["n"], sample_bytes / max(1, r["bytes"])) * r["n"]))) for y, r in held.items()]
+    chosen = drawn[0].unionByName(drawn[1])
+    part = F.substring(F.col(text_col), 1, max(PIECE, sample_bytes // FEW))
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), part.alias("_text"))
+    texts = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_y", "_u").agg(F.min("_text").alias("_text"))  # one of each id
+    pdf: pd.DataFrame = texts.toPandas().sort_values(["_y", "_u", "_id", "_text"], ignore_index=True)
+    # Of each class every second text builds its dictionary and the others calibrate; a single text does both.
+    turn = pdf.groupby("_y").cumcount()
+    good, bad = [dictionary(pdf.loc[(pdf["_y"] == y) & (turn % 2 == 0), "_text"].tolist()) for y in (1, 0)]
+    rest = pdf[turn % 2 == 1]
     if rest["_y"].nunique() < 2:
         rest = pdf
-    gauge = Gauge(good, bad)
-    x = np.array([gauge.features(t) for t in rest["_text"]])
-    y = rest["_y"].to_numpy(float)
+    x, y = Gauge(good, bad).features(rest["_text"].tolist()), rest["_y"].to_numpy(float)
     weights = logistic(x, y)
     # The sample may hold the classes in other shares than the labels do; the constant makes up for that.
-    drawn = y.mean()
-    weights[0] += np.log(prior / (1 - prior)) - np.log(drawn / (1 - drawn))
+    share = y.mean()
+    weights[0] += np.log(prior / (1 - prior)) - np.log(share / (1 - share))
     return Model(good, bad, tuple(weights.tolist()), prior)
 
 
@@ -131,7 +134,7 @@ def score_batches(model: Model) -> object:
         for batch in slices(batches, -1):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             if any(model.weights) and texts:
-                x = np.array([gauge.features(t) for t in texts])
+                x = gauge.features(texts)
                 score, signal = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30))), x[:, 1]
             else:
                 score, signal = np.full(len(texts), model.prior), np.zeros(len(texts))

@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from itertools import combinations
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -47,15 +48,85 @@ def test_mix_holds_its_targets(make_docs):
         assert r.taken == r["size"] * len(r.draws) <= 3 * r["size"] and abs(r.target - wanted[r.source]) < 1e-6
         assert r.source_size == words[r.source]
     assert len(mixed) == len(rows)
+    smallest = {s: min(r["size"] for r in mixed if r.source == s and r["size"]) for s in ordered}
     for s in ordered:
-        assert abs(taken[s] - wanted[s]) <= largest[s]
+        assert abs(taken[s] - wanted[s]) <= smallest[s]
     again = mixing.mix(make_docs(list(reversed(rows))).repartition(5), shards=7).collect()
     assert {(r.doc_id, tuple(r.draws)) for r in again} == {(r.doc_id, tuple(r.draws)) for r in mixed}
-    out = mixing.mixture(mixing.mix(make_docs(rows), shards=7)).collect()
+    out = mixing.mixture(mixing.mix(make_docs(rows), shards=7), 7).collect()
     assert len(out) == sum(len(r.draws) for r in mixed) and {r.shard for r in out} == set(range(7))
     assert [(r.shard, r.shard_order) for r in out] == sorted((r.shard, r.shard_order) for r in out)
 
 
+def test_a_long_document_does_not_spoil_the_target(make_docs):
+    """Sources of few documents, one of which is longer than all that is wanted of it."""
+    rng = random.Random(9)
+    rows = []
+    for source in "abcdef":
+        for size in [rng.randrange(20, 400) for _ in range(40)] + [4000]:
+            rows.append((len(rows), " ".join(f"w{rng.randrange(999)}" for _ in range(size)), "en", source))
+    mixed = mixing.mix(make_docs(rows)).collect()
+    taken, wanted = Counter(), {}
+    for r in mixed:
+        taken[r.source] += r.taken
+        wanted[r.source] = r.target
+        assert r.taken <= 3 * r["size"]
+    assert all(abs(taken[s] - w) <= 0.01 * w for s, w in wanted.items())
+
+
+def test_given_tables_meet_their_targets(spark):
+    for sf in ("sf0.001", "sf0.01"):
+        docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+        sums = mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+        assert all(abs(r.taken - r.target) <= 0.01 * r.target for r in sums)
+
+
+def test_fill_against_all_choices():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        sizes = rng.integers(1, 60, rng.integers(1, 9))
+        room = float(rng.uniform(0, sizes.sum()))
+        taken = mixing.fill(sizes, room)
+        sums = [sum(c) for k in range(len(sizes) + 1) for c in combinations(sizes.tolist(), k)]
+        nearest = min(abs(s - room) for s in sums)
+        assert abs(sizes[taken].sum() - room) <= max(nearest, 1)
+    long = rng.integers(1, 5000, 600)
+    assert abs(long[mixing.fill(long, 123_456.0)].sum() - 123_456) <= 2
+
+
+def test_large_draws_follow_the_law():
+    """Above the generator's limit: mean and spread of the hypergeometric law, and its bounds."""
+    rng = np.random.default_rng(3)
+    good, bad, taken = 3 * 10**9, 7 * 10**9, 10**6
+    seen = np.array([mixing.draw(rng, good, bad, taken) for _ in range(300)])
+    spread = (taken * 0.3 * 0.7) ** 0.5
+    assert abs(seen.mean() - 300_000) < 4 * spread / 300 ** 0.5 and 0.85 < seen.std() / spread < 1.15
+    assert mixing.draw(rng, 10**10, 3, 10**10 + 3) == 10**10 and mixing.draw(rng, 10**10, 3, 1) in (0, 1)
+    assert 10**10 - 3 <= mixing.draw(rng, 10**10, 3, 10**10) <= 10**10
+
+
+def test_rows_without_an_id_count_one_by_one(make_docs):
+    rows = [(None, "one two three four five six seven eight nine ten", "en", "a")] * 30 + [
+        (i, " ".join(["word"] * 11), "en", "b") for i in range(30)]
+    taken, target = Counter(), {}
+    for r in mixing.mix(make_docs(rows)).collect():
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert all(abs(taken[s] - t) <= 6 for s, t in target.items())
+
+
+def test_files_of_the_mix_hold_one_shard_each(spark, make_docs, tmp_path):
+    rows = [(i, f"{i} " * (1 + i % 50), "en", "abc"[i % 3]) for i in range(900)]
+    mixed = mixing.mix(make_docs(rows), shards=5)
+    mixing.mixture(mixed, 5, part_words=1000).write.parquet(str(tmp_path / "mix"))
+    files = spark.read.parquet(str(tmp_path / "mix")).withColumn("file", F.input_file_name()).groupBy("file").agg(
+        F.collect_set("shard").alias("shards"), F.min("shard_order").alias("lo"), F.max("shard_order").alias("hi")).collect()
+    assert len(files) > 10 and all(len(r.shards) == 1 for r in files) and {r.shards[0] for r in files} == set(range(5))
+    for shard in range(5):
+        own = sorted((r.lo, r.hi) for r in files if r.shards[0] == shard)
+        assert all(a[1] < b[0] for a, b in zip(own, own[1:]))
+
+
 def test_mix_odd_rows(odd_docs, make_docs):
     got = mixing.mix(odd_docs).collect()
     assert len(got) == 13 and all(r.taken == 0 for r in got if r["size"] == 0) and {r["size"] for r in got if r.doc_id in (2, 3, 4, 9)} == {0}
