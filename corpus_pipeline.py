@@ -31,7 +31,7 @@ def renamed(docs: DataFrame, names: dict[str, str]) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter and those in no language mainly."""
-    model = langid.fit(docs, order_by=F.col("doc_id"))
+    model = langid.fit(docs, order_by=F.struct("doc_id", "text"))
     rows, names = numbered(docs)
     found = langid.identify(rows, model, names["text"], keep=tuple(names.values()))
     return renamed(found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SHARE)), names)
@@ -58,12 +58,13 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats and leaves out documents until each source has its share; each part of the result is in its shards' seeded order."""
+    """Repeats and leaves out documents until each source has its share; every file holds a part of one shard, in its
+    seeded order. Texts go along with their rows, so none is looked up again."""
     rows, names = numbered(docs)
-    rows = rows.withColumn("key", F.xxhash64(F.col(names["doc_id"]).cast("string"), names["text"], F.lit(5)))
-    drawn = mixing.mix(rows, id_col=names["doc_id"], text_col=names["text"], source_col=names["source"], keep=("key",))
-    drawn = drawn.where(F.size("draws") > 0).groupBy("key").agg(F.max("draws").alias("draws"))
-    return renamed(mixing.mixture(rows.join(drawn.hint("shuffle_hash"), "key"), gather=False), names)
+    kept = {name: f"k{i}" for i, name in enumerate(names)}
+    rows = rows.select("*", *[F.col(names[name]).alias(k) for name, k in kept.items()])
+    mixed = mixing.mix(rows, id_col=names["doc_id"], text_col=names["text"], source_col=names["source"], keep=tuple(kept.values()))
+    return renamed(mixing.mixture(mixed), kept)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
