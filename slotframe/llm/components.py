@@ -31,6 +31,18 @@ def components(edges: DataFrame) -> DataFrame:
         roots.select("node", F.col("node").alias("root")))
 
 
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after further ``links`` (a, b): only edges between roots are looked at, so this
+    costs as much as the links that tie components together, and not what the components hold."""
+    of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"r{end}"))
+    edges = links.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    edges = edges.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    tops = stored(components(edges).select(F.col("node").alias("root"), F.col("root").alias("top")), "tops")
+    moved = roots.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    fresh = tops.select(F.col("root").alias("node"), F.col("top").alias("root")).join(roots, "node", "left_anti")
+    return stored(moved.unionByName(fresh), "roots")
+
+
 def star(links: DataFrame, total: int | None, large: bool) -> DataFrame:
     """Large star: each node's larger neighbours are tied to the smallest of it and its neighbours. Small star: each
     node and its smaller neighbours are tied to the smallest of them (``links`` hold u > v)."""

@@ -20,12 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotframe.llm.common import join_counted, slices, stored
-from slotframe.llm.components import components
+from slotframe.llm.components import components, joined
 from slotframe.llm.shingles import mix64, shingle_sets
 
 TREES, DEPTH, TAIL = 32, 4, 12
@@ -153,7 +154,8 @@ def close_pairs(begin: np.ndarray, tail: np.ndarray, ids: np.ndarray, n: np.ndar
 
 def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted rows of the forest to members of regions that have a neighbour: its smallest and its best one. Of heads that
-    are cut, and of those that may go on in another partition, all members; ``best`` is their own id if they have no neighbour."""
+    are cut, and of those that may go on in another partition (both are ``open``), all members; ``best`` is their own id if they
+    have no neighbour."""
     part, passed = TaskContext.get().partitionId(), 0
 
     def found(head: np.ndarray, tail: np.ndarray, ids: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -177,7 +179,8 @@ def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed += len(ids)
         return pa.RecordBatch.from_arrays(
             [pa.array(head[kept]), pa.array(name.view(np.int64)[kept]), pa.array([tail[k].tobytes() for k in kept], pa.binary()), pa.array(ids[kept]),
-             pa.array(n[kept]), pa.array(least[kept]), pa.array(best[kept])], ["head", "region", "tail", "id", "n", "least", "best"])
+             pa.array(n[kept]), pa.array(least[kept]), pa.array(best[kept]), pa.array(open_[kept])],
+            ["head", "region", "tail", "id", "n", "least", "best", "open"])
 
     held = None
     for batch in batches:
@@ -308,7 +311,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     alone = named.join(classes.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi")
     trees = alone.select("id", "n", "signature").mapInArrow(plant, "head long, tail binary, id long, n long")
     trees = trees.repartitionByRange("head", "tail", "id").sortWithinPartitions("head", "tail", "id")
-    members = stored(trees.mapInArrow(regions, "head long, region long, tail binary, id long, n long, least long, best long"), "regions")
+    members = stored(trees.mapInArrow(regions, "head long, region long, tail binary, id long, n long, least long, best long, open boolean"), "regions")
 
     # Few pairs for each document: its smallest neighbour of all trees, and the one it is best with most often.
     seen = members.select("id", F.explode(F.array("least", "best")).alias("other")).where("id <> other")
@@ -320,15 +323,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = members.select("id").distinct()
     texts = docs.select(ids.alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     sets = stored(texts.join(wanted, "id", "left_semi").mapInArrow(hashed_sets(width), "id long, shingles array<long>"), "sets")
-    links = stored(confirmed(few, sets, percent), "confirmed")
-    roots = components(links)
+    roots = stored(components(stored(confirmed(few, sets, percent), "confirmed")), "roots")
 
-    # Heads in several regions are compared as a whole.
-    heads = members.groupBy("head").agg(F.count("*").alias("rows"), F.min("region").alias("lo"), F.max("region").alias("hi"))
-    heads = heads.where("lo <> hi").select("head", "rows", F.lit(True).alias("cut"))
-    members = join_counted(members, heads, "head", "rows", members.count(), F.col("id"))
-    cut = stored(members.where("cut").select("head", "id", "n").distinct(), "cut-heads")
-    whole = stored(members.where("cut is null and best <> id").select("region", "tail", "id", "n"), "whole-heads")
+    # Heads that were cut are compared as a whole, all others by region.
+    cut = members.where("open").select("head", "id", "n")
+    whole = members.where("not open and best <> id").select("region", "tail", "id", "n")
 
     # What still lies under one head but not in one component: first the likeliest pair of any two components, then,
     # of what that leaves apart, all pairs.
@@ -337,8 +336,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not every:
             pairs = pairs.groupBy("ra", "rb").agg(F.max_by(F.struct("a", "b"), F.struct("score", "a", "b")).alias("p")).select("p.a", "p.b")
         pairs = pairs.select("a", "b").distinct()
-        links = links.unionByName(stored(confirmed(pairs, sets, percent), "confirmed"))
-        roots = components(links)
+        roots = joined(roots, stored(confirmed(pairs, sets, percent), "confirmed"))
     return labelled(signed, classes, roots, id_col)
 
 
@@ -365,20 +363,47 @@ def pictured(members: DataFrame, sets: DataFrame) -> DataFrame:
     return seen.groupBy("id").agg(F.when(F.min("picture") == F.max("picture"), F.max("picture")).alias("picture"))
 
 
+def count_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (heads, root, n) to members and shingles by head and component, added up a few batches at a time."""
+    def counted(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        head, root, rows, n = (np.concatenate(c) for c in zip(*parts))
+        order = np.lexsort((root, head))
+        head, root, rows, n = (c[order] for c in (head, root, rows, n))
+        begin = np.flatnonzero(np.append(True, (head[1:] != head[:-1]) | (root[1:] != root[:-1]))[: len(head)])
+        sums = [np.add.reduceat(c, begin) if len(begin) else c for c in (rows, n)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (head[begin], root[begin], *sums)], ["head", "root", "rows", "n"])
+
+    parts, held = [], 0
+    for batch in batches:
+        size = pc.list_value_length(batch.column(0)).to_numpy(zero_copy_only=False).astype(np.int64)
+        each = lambda k, size=size, batch=batch: np.repeat(batch.column(k).to_numpy(), size)
+        parts.append((batch.column(0).flatten().to_numpy(), each(1), np.ones(size.sum(), np.int64), each(2)))
+        held += int(size.sum())
+        if held > 4_000_000:
+            yield counted(parts)
+            parts, held = [], 0
+    if parts:
+        yield counted(parts)
+
+
 def beyond(cut: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, every: bool) -> DataFrame:
     """Pairs (a, b) of different components (ra, rb) that share a head that was cut, as far as sizes and pictures allow; without
     ``every`` the likeliest ones. Members outside a head's largest component meet all its members, in blocks: tasks are as
     large as two blocks however large the head is."""
-    rooted = cut.join(roots.withColumnRenamed("node", "id"), "id", "left")
-    rooted = stored(rooted.select("head", "id", "n", F.coalesce("root", "id").alias("root")), "rooted")
-    held = rooted.groupBy("head", "root").agg(F.count("*").alias("rows"), F.sum("n").alias("n")).groupBy("head").agg(
+    # Most heads hold one component by now. To find the others each member meets its component once, with all its heads, and
+    # heads are counted by component where the members are; only members of heads that are left are looked at one by one.
+    once = cut.groupBy("id").agg(F.max("n").alias("n"), F.collect_set("head").alias("heads"))
+    once = once.join(roots.withColumnRenamed("node", "id"), "id", "left").select("heads", F.coalesce("root", "id").alias("root"), "n")
+    held = once.mapInArrow(count_roots, "head long, root long, rows long, n long").groupBy("head", "root").agg(
+        F.sum("rows").alias("rows"), F.sum("n").alias("n")).groupBy("head").agg(
         F.sum("rows").alias("rows"), F.sum("n").alias("total"), F.max_by(F.struct("root", "rows", "n"), F.struct("rows", "root")).alias("m"),
         F.count("*").alias("roots")).where("roots > 1")
     # a picture has up to half a byte for each shingle
     parts = lambda rows, n: F.ceil(F.greatest(rows / FACE, n / (2 * FACE_BYTES))).cast("int")
-    held = held.select("head", "rows", F.col("m.root").alias("main"), parts(F.col("rows"), F.col("total")).alias("blocks"),
-                       parts(F.col("rows") - F.col("m.rows"), F.col("total") - F.col("m.n")).alias("others"))
-    open_ = stored(join_counted(rooted, held, "head", "rows", rooted.count(), F.col("id")).where("main is not null"), "open")
+    held = stored(held.select("head", F.col("m.root").alias("main"), parts(F.col("rows"), F.col("total")).alias("blocks"),
+                              parts(F.col("rows") - F.col("m.rows"), F.col("total") - F.col("m.n")).alias("others")), "split-heads")
+    open_ = cut.join(held, "head").distinct().join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    open_ = stored(open_, "open")
     open_ = open_.join(pictured(open_, sets), "id")
     every_part = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own_part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
