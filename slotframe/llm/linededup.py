@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotframe.llm.common import join_counted, slices, stored
@@ -106,7 +106,7 @@ def describe(counts: np.ndarray, percent: int) -> Callable:
                 digest = np.stack([np.add.reduceat(mix64(tokens + M1), start[full]), np.add.reduceat(mix64(tokens ^ M1), start[full])], 1)
             bits = np.bitwise_xor.reduceat(np.uint64(1) << (mix64(tokens) & np.uint64(63)), start[full])
             rare = counts[bucket(tokens)].astype(np.uint64)
-            order = np.argsort((owner.astype(np.uint64) << np.uint64(40)) | rare, kind="stable")
+            order = np.lexsort((rare, owner))
             place = np.arange(len(tokens)) - start[owner]
             kept = order[place < prefix_length(n, percent)[owner]]
             sizes = prefix_length(n[full], percent)
@@ -255,29 +255,63 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.select(later.alias("_later")).select("_later.doc", "_later.line").distinct()
 
 
+def meeting(postings: DataFrame) -> DataFrame:
+    """The postings without those whose word has one posting only: they can meet nothing. Words are counted alone, and those
+    with several postings become a sieve of fixed size, so what is dropped is never shuffled; with more words than the
+    sieve has room for, a join takes its place."""
+    several = stored(postings.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1").select("token"), "meeting-words")
+    if several.count() > SIEVE_BITS // 8:
+        return postings.join(several, "token", "left_semi")
+    at = F.pmod(F.xxhash64("token"), F.lit(SIEVE_BITS))
+    marks = several.select(at.alias("at")).groupBy(F.expr("at div 8").alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, CAST(at % 8 AS INT))")).alias("bits")).toPandas()
+    sieve = np.zeros(SIEVE_BITS // 8, np.uint8)
+    sieve[marks["byte"]] = marks["bits"]
+    packed = postings.sparkSession.sparkContext.broadcast(sieve)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.column(batch.num_columns - 1).to_numpy()
+            held = (packed.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+            yield batch.filter(pa.array(held)).select(batch.schema.names[:-1])
+    return postings.withColumn("at", at).mapInArrow(kept, POSTING)
+
+
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, id, text): a number of its own for each row, rising with the id, rows without one last. Ids that differ are the
+    numbers themselves; where rows share an id or have none, rows are sorted by (id, text hash) once and numbered."""
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if not rows.groupBy("doc").agg(F.count("*").alias("rows")).where("rows > 1").limit(1).count():
+        return rows
+    mark = F.xxhash64("text")
+    rows = rows.repartitionByRange("doc", mark).sortWithinPartitions("doc", mark)
+    return stored(rows.withColumn("doc", F.monotonically_increasing_id()), "line-rows")
+
+
 def line_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """One row for each id of ``docs``: id, n_lines, removed (the numbers of its lines, from 0, that have an earlier match).
+    """One row for each row of ``docs``: id, n_lines, removed (the numbers of its lines, from 0, that have an earlier match),
+    and (copy, digest), which tell rows of one id apart.
 
     Lines end at line feeds. A line matches if the sets of its words, A-Z in lower case, have 100 * intersection >=
     percent * union, and is removed if any line before it, by (id, line number), matches, removed or not. Lines without
-    words never match. A null text has no lines and an empty one has one. Rows that share an id, and rows without one, are
-    taken as one document (whose lines of one number stand at one place). Empty input: no rows.
+    words never match. A null text has no lines and an empty one has one. Rows that share an id are documents of their own, in
+    the order of a hash of their texts, and so are rows without an id, which come after all others; of equal rows the first
+    keeps its lines. Empty input: no rows.
     """
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
-    own = docs.select(key.alias("doc"), F.col(text_col).alias("text"))
+    own = numbered(docs, id_col, text_col)
     counts = rarity(docs, text_col)
-    lines = stored(own.mapInArrow(describe(counts, percent), "doc long, line int, digest binary, n int, bits long, prefix array<int>"), "lines")
+    lines = stored(own.select("doc", "text").mapInArrow(describe(counts, percent), "doc long, line int, digest binary, n int, bits long, prefix array<int>"), "lines")
     classes = lines.groupBy("digest").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("rows"),
                                           F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
     classes = stored(classes.select("digest", "first.doc", "first.line", "rows", "n", "bits", "prefix"), "line-classes")
     postings = classes.select("doc", "line", "n", "bits", F.posexplode("prefix").alias("place", "token"))
     size = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("place").cast("long"))
     postings = postings.select("token", "doc", "line", size.alias("size"), "bits")
+    postings = meeting(postings)
     sorted_ = postings.repartition("token").sortWithinPartitions("token", "size")
     members = stored(sorted_.mapInArrow(partners(percent), f"{POSTING}, doc2 long, line2 int, score double"), "meetings")
 
     names = members.select("doc", "line").distinct()
-    sets = own.mapInArrow(wanted_sets(sieve_of(names)), "doc long, line int, words array<long>")
+    sets = own.select("doc", "text").mapInArrow(wanted_sets(sieve_of(names)), "doc long, line int, words array<long>")
     sets = stored(sets.join(names, ["doc", "line"], "left_semi"), "word-sets")
 
     best = members.groupBy("doc", "line").agg(F.max_by(F.struct("doc2", "line2"), F.struct("score", "doc2", "line2")).alias("p"))
@@ -290,10 +324,10 @@ def line_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     flagged = flagged.repartition("token").sortWithinPartitions("token", "size")
     pairs = flagged.mapInArrow(open_pairs(percent), "doc long, line int, doc2 long, line2 int").distinct()
     gone = gone.unionByName(verified(pairs, sets, percent)).distinct()
-    return _by_document(docs, own, lines, classes, gone, id_col, key)
+    return _by_document(own, lines, classes, gone, id_col)
 
 
-def _by_document(docs: DataFrame, own: DataFrame, lines: DataFrame, classes: DataFrame, gone: DataFrame, id_col: str, key: Column) -> DataFrame:
+def _by_document(own: DataFrame, lines: DataFrame, classes: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     """Removed lines of each document: all of a removed class, and all but the first of any other."""
     ends = classes.select("digest", "doc", "line", "rows").join(gone.withColumn("_gone", F.lit(True)), ["doc", "line"], "left")
     ends = ends.where("rows > 1 or _gone").select("digest", "rows", F.col("doc").alias("_doc"), F.col("line").alias("_line"),
@@ -303,16 +337,25 @@ def _by_document(docs: DataFrame, own: DataFrame, lines: DataFrame, classes: Dat
     rows = rows.where("_gone or doc <> _doc or line <> _line")
     removed = rows.groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("removed"))
     number = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0))
-    sizes = own.select("doc", number.cast("long").alias("n")).groupBy("doc").agg(F.max("n").alias("n_lines"))
-    return sizes.join(removed, "doc", "left").select(
-        F.when(F.col("doc") != LAST, F.col("doc")).alias(id_col), "n_lines",
-        F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    sizes = own.select("doc", "id", number.cast("long").alias("n_lines"), F.xxhash64("text").alias("digest")).join(removed, "doc", "left")
+    return sizes.select(F.col("id").alias(id_col), "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"),
+                        _copy("id", "digest", "doc"), "digest")
+
+
+def _copy(id_col: str, digest: str | Column, *order: str | Column) -> Column:
+    """The number of a row among those of equal id and text; which of them comes first makes no difference to the texts."""
+    return F.row_number().over(Window.partitionBy(id_col, digest).orderBy(*order)).alias("copy")
 
 
 def remove_lines(docs: DataFrame, matches: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the matched lines cut out of their texts; all other columns stay."""
-    cuts = matches.where(F.size("removed") > 0).select(F.col(id_col).alias("_id"), F.col("removed").alias("_removed"))
-    rows = docs.join(cuts, docs[id_col].eqNullSafe(F.col("_id")), "left")
-    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.coalesce("_removed", F.array().cast("array<int>")), i))
-    text = F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return rows.withColumn(text_col, text).select(*docs.columns)
+    columns = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.toDF(*columns.values()).withColumn("_digest", F.xxhash64(columns[text_col]))
+    rows = rows.withColumn("_copy", _copy(columns[id_col], "_digest", F.monotonically_increasing_id()))
+    cuts = matches.where(F.size("removed") > 0).select(F.col(id_col).alias("_id"), "digest", "copy", F.col("removed").alias("_removed"))
+    same = F.col(columns[id_col]).eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("digest")) & (F.col("_copy") == F.col("copy"))
+    rows = rows.join(cuts, same, "left")
+    text = F.col(columns[text_col])
+    kept = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(F.coalesce("_removed", F.array().cast("array<int>")), i))
+    shown = F.when(F.col("_removed").isNull(), text).otherwise(F.array_join(kept, "\n"))
+    return rows.select(*[(shown if c == text_col else F.col(n)).alias(c) for c, n in columns.items()])

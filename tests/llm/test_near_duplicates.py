@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+import numpy as np
+
 from slotframe.llm import linededup, minhash
 from slotframe.llm.components import components
 
@@ -175,8 +177,26 @@ def test_lines_are_cut_out(make_docs):
     assert len(got[0]) == len(docs.columns)
 
 
+def test_rows_of_one_id_keep_their_own_lines(make_docs):
+    """Rows without an id and rows that share one: a line goes only where it has an earlier match itself."""
+    shared = "words that many rows have in common here"
+    rows = [(None, f"{shared}\ntotally unique words stay here please {i} q{i} r{i} s{i}") for i in range(3)] + [
+        (7, f"alpha{i} beta{i} gamma{i}\n{shared}") for i in range(3)] + [(9, "one two three")] * 3
+    docs = make_docs([(*r, "en", "s") for r in rows])
+    got = sorted((str(r.doc_id), r.text) for r in linededup.remove_lines(docs, linededup.line_matches(docs)).collect())
+    unique = [("None", f"totally unique words stay here please {i} q{i} r{i} s{i}") for i in range(3)]
+    sevens = [t for i, t in got if i == "7"]
+    assert [g for g in got if g[0] == "None"] == unique
+    assert sum(shared in t for t in sevens) == 1 and all(any(f"alpha{i} beta{i} gamma{i}" in t for t in sevens) for i in range(3))
+    assert sorted(t for i, t in got if i == "9") == ["", "", "one two three"]
+
+
 def test_lines_odd_rows(odd_docs, make_docs):
-    got = {r.doc_id: (r.n_lines, r.removed) for r in linededup.line_matches(odd_docs).collect()}
-    assert got[1] == (1, []) and got[2] == (0, []) and got[3] == (1, []) and got[9] == (4, [])
-    assert got[6] == (1, [0]) and got[None] == (1, [0])
+    rows = linededup.line_matches(odd_docs).collect()
+    assert len(rows) == odd_docs.count()
+    got = {}
+    for r in rows:
+        got.setdefault(r.doc_id, []).append((r.n_lines, r.removed))
+    assert sorted(got[1]) == [(1, []), (1, [0])] and got[2] == [(0, [])] and got[3] == [(1, [])] and got[9] == [(4, [])]
+    assert got[6] == [(1, [0])] and sorted(got[None]) == [(0, []), (1, [0])]
     assert linededup.line_matches(make_docs([])).collect() == []
