@@ -27,7 +27,7 @@ from slotframe.llm.shingles import M1, mix64, word_hashes
 
 BUCKETS = 1 << 18
 PIECE = 4096
-SIEVE_BITS = 1 << 24
+SIEVE_BITS, SIEVE_PIECE = 1 << 24, 1 << 15
 LAST = 9223372036854775807
 """Rows without an id come after all others."""
 POSTING = "token int, doc long, line int, size long, bits long"
@@ -148,14 +148,27 @@ def mark_sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(sieve_at(batch.column(0).to_numpy(), batch.column(1).to_numpy()))], ["at"])
 
 
+def piece_bits(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The marks of one piece of a sieve to its bytes."""
+    out = np.zeros(SIEVE_PIECE // 8, np.uint8)
+    for batch in batches:
+        at = batch.column("at").to_numpy() % SIEVE_PIECE
+        np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([out.tobytes()])], ["piece", "bits"])
+
+
+def sieve_from(marks: DataFrame) -> np.ndarray:
+    """A sieve of SIEVE_BITS bits with those at ``at`` set; it is put together in Spark and reaches the driver as bytes."""
+    rows = marks.select(F.expr(f"at div {SIEVE_PIECE}").alias("piece"), "at").groupBy("piece").applyInArrow(piece_bits, "piece long, bits binary")
+    out = np.zeros((SIEVE_BITS // SIEVE_PIECE, SIEVE_PIECE // 8), np.uint8)
+    for row in rows.collect():
+        out[row["piece"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.ravel()
+
+
 def sieve_of(names: DataFrame) -> np.ndarray:
-    """A bit for each name's hash; SIEVE_BITS bits whatever the number of names."""
-    marks = names.select("doc", "line").mapInArrow(mark_sieve, "at long").groupBy(F.shiftright("at", 3).alias("byte")).agg(
-        F.bit_or(F.expr("shiftleft(1, CAST(at & 7 AS INT))")).alias("bits"))
-    out = np.zeros(SIEVE_BITS // 8, np.uint8)
-    rows = marks.toPandas()
-    out[rows["byte"]] = rows["bits"]
-    return out
+    """A bit for each name's hash, whatever the number of names."""
+    return sieve_from(names.select("doc", "line").mapInArrow(mark_sieve, "at long"))
 
 
 def meetings(columns: list[np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -263,9 +276,7 @@ def meeting(postings: DataFrame) -> DataFrame:
     if several.count() > SIEVE_BITS // 8:
         return postings.join(several, "token", "left_semi")
     at = F.pmod(F.xxhash64("token"), F.lit(SIEVE_BITS))
-    marks = several.select(at.alias("at")).groupBy(F.expr("at div 8").alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, CAST(at % 8 AS INT))")).alias("bits")).toPandas()
-    sieve = np.zeros(SIEVE_BITS // 8, np.uint8)
-    sieve[marks["byte"]] = marks["bits"]
+    sieve = sieve_from(several.select(at.alias("at")))
     packed = postings.sparkSession.sparkContext.broadcast(sieve)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
