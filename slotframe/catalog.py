@@ -1163,6 +1163,17 @@ def ema(spark, sf):
     return health.ema(fx.request_log(spark, sf)).select("source", F.round("ema", 6).alias("ema"))
 
 
+SQL_EMA_DAYS = SQL_EMA.replace("event_id AS seq", "date_trunc('day', ts) AS seq").replace(
+    "ORDER BY seq", "ORDER BY seq, value")
+
+
+@query(f"WITH {SQL_EMA_DAYS} SELECT source, round(ema, 6) AS ema FROM averages")
+def ema_ties(spark, sf):
+    """Times that repeat: many requests of a source share a day, and their values settle the order."""
+    log = fx.request_log(spark, sf)
+    return health.ema(log, order="day").select("source", F.round("ema", 6).alias("ema"))
+
+
 @query(f"""WITH {SQL_EMA}, counts AS (SELECT source, count(*) FILTER (ok) + 1 AS success_count, count(*) + 1 AS total_count,
   max(seq) FILTER (ok) AS last_slot FROM log GROUP BY source)
 SELECT c.source, success_count, total_count, last_slot, round(ema, 6) AS ema,

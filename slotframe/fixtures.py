@@ -367,7 +367,7 @@ def request_log(spark: SparkSession, sf: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     return table(spark, sf, "events").select(
         F.col("event_type").alias("source"), F.col("event_id").alias("seq"), F.col("value").alias("latency_ms"),
-        (k % 10 != 0).alias("ok"), F.col("event_id").alias("slot"))
+        (k % 10 != 0).alias("ok"), F.col("event_id").alias("slot"), F.date_trunc("day", "ts").alias("day"))
 
 
 def part_documents(spark: SparkSession, sf: str) -> DataFrame:
