@@ -9,27 +9,33 @@ pivot being the first item whose terms can still reach the threshold. All items
 retrieved, none else. Each is then verified by the words that question and answer have in order
 in the passage and its surroundings.
 
-Items are indexed in shards of bounded count and size. The corpus is read once for each shard; so the
-index that travels to the executors never grows with the benchmark.
+Items are indexed in shards of bounded count and size. How many items hold a term, how many items there are and how
+long they are on average is counted in Spark over all items, whatever their shard or window, so a score does not
+depend on how items are dealt. The corpus is read once by ``find_leaks`` for each shard; ``drop_leaks`` passes it
+through all shards at once.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from functools import reduce
 from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotframe.llm.common import slices
+from slotframe.llm.common import slices, stored
 
 K1, B = 1.2, 0.75
 LEAST_WINDOW = 64
+CELLS = 1 << 20
+"""Words of passages that are compared at a time."""
 BLOCK = 4
 SHARD_ITEMS = 1024
 SHARD_BYTES = 4_000_000
@@ -50,23 +56,30 @@ def halves(text: str | None) -> tuple[str, str]:
     return (". ".join(parts[:-1]), parts[-1]) if len(parts) > 1 else (text or "", "")
 
 
+class Terms(NamedTuple):
+    """What the weights need to know of all items: their number, their mean length, and how many hold a term."""
+
+    items: int
+    mean: float
+    frequency: Mapping[bytes, int]
+
+
 class Index:
     """Items whose passages are windows of one length."""
 
-    def __init__(self, items: list[tuple[int, list[bytes], list[bytes]]], window: int) -> None:
+    def __init__(self, items: list[tuple[int, list[bytes], list[bytes]]], window: int, terms: Terms) -> None:
         self.window, self.items = window, items
         counts = [Counter(q + a) for _, q, a in items]
-        frequency = Counter(t for c in counts for t in c)
-        self.vocabulary = {t: i for i, t in enumerate(sorted(frequency))}
-        n, mean = len(items), sum(sum(c.values()) for c in counts) / max(1, len(items))
-        self.blocks = -(-n // BLOCK)
+        self.vocabulary = {t: i for i, t in enumerate(sorted({t for c in counts for t in c}))}
+        idf = {t: math.log(1 + (terms.items - terms.frequency[t] + 0.5) / (terms.frequency[t] + 0.5)) for t in self.vocabulary}
+        self.blocks = -(-len(items) // BLOCK)
         size = len(self.vocabulary)
         self.most = np.zeros(size + 1, np.float32)
         self.block_most = np.zeros((size + 1, self.blocks), np.float32)
         self.postings: list[dict[int, list[tuple[int, float]]]] = [defaultdict(list) for _ in range(self.blocks)]
         for at, c in enumerate(counts):
-            norm = K1 * (1 - B + B * sum(c.values()) / mean)
-            weights = {t: math.log(1 + (n - frequency[t] + 0.5) / (frequency[t] + 0.5)) * k * (K1 + 1) / (k + norm) for t, k in c.items()}
+            norm = K1 * (1 - B + B * sum(c.values()) / terms.mean)
+            weights = {t: idf[t] * k * (K1 + 1) / (k + norm) for t, k in c.items()}
             own = sum(weights.values())
             for t, w in sorted(weights.items()):
                 i, w = self.vocabulary[t], w / own
@@ -117,44 +130,80 @@ class Index:
         slack = threshold - 1e-6
         alive = np.flatnonzero(mass[last] - mass[first] >= slack)
         padded = np.append(ids, none)
-        for lo in range(0, len(alive), 2048):
-            own = alive[lo: lo + 2048]
+        rows = max(1, CELLS // self.window)
+        for lo in range(0, len(alive), rows):
+            own = alive[lo: lo + rows]
             at = first[own][:, None] + np.arange(self.window)
             terms = np.sort(padded[np.where(at < last[own][:, None], at, len(ids))], axis=1)
             terms[:, 1:][terms[:, 1:] == terms[:, :-1]] = none  # each term once
             some = self.most[terms].sum(1) >= slack
-            own, terms = own[some], terms[some]
-            for low in range(0, len(own), 256):
-                bounds = self.block_most[terms[low: low + 256]].sum(1)
-                for row, block in zip(*np.nonzero(bounds >= slack)):
-                    kept = terms[low + row]
-                    for item, score in self.retrieve(kept[kept != none].tolist(), int(block), threshold):
-                        yield int(doc[own[low + row]]), int(first[own[low + row]]), item, score
+            for row, found in zip(own[some], terms[some]):
+                kept = found[found != none]
+                bounds = self.bounds(kept)
+                for block in np.flatnonzero(bounds >= slack):
+                    for item, score in self.retrieve(kept.tolist(), int(block), threshold):
+                        yield int(doc[row]), int(first[row]), item, score
+
+    def bounds(self, terms: np.ndarray) -> np.ndarray:
+        """For each block the most that an item of it can score with these terms, some terms at a time."""
+        step = max(1, CELLS // max(1, self.blocks))
+        total = np.zeros(self.blocks)
+        for lo in range(0, len(terms), step):
+            total += self.block_most[terms[lo: lo + step]].sum(0)
+        return total
 
 
 def common_in_order(part: list[bytes], passage: list[bytes]) -> float:
-    """Share of the part's words that the passage has in the same order (longest common subsequence)."""
+    """Share of the part's words that the passage has in the same order (longest common subsequence). ``ends`` holds, for
+    each length, the earliest place in the part where a common subsequence of that length can end; only places of equal words
+    are visited."""
     if not part:
         return 1.0
-    row = [0] * (len(passage) + 1)
-    for w in part:
-        before = 0
-        for k, v in enumerate(passage, 1):
-            before, row[k] = row[k], before + 1 if v == w else max(row[k], row[k - 1])
-    return row[-1] / len(part)
+    places = defaultdict(list)
+    for i in range(len(part) - 1, -1, -1):
+        places[part[i]].append(i)
+    ends: list[int] = []
+    for w in passage:
+        for i in places.get(w, ()):
+            k = bisect_left(ends, i)
+            if k == len(ends):
+                ends.append(i)
+            else:
+                ends[k] = i
+    return len(ends) / len(part)
+
 
+def parts(question: str | None, answer: str | None, answered: bool) -> tuple[list[bytes], list[bytes]]:
+    """The words of an item's question and answer."""
+    if not answered:
+        question, answer = halves(question)
+    return words_of(question), words_of(answer)
 
-def indexes(items: list[tuple[int, str | None, str | None]], answered: bool) -> list[Index]:
+
+def indexes(items: list[tuple[int, str | None, str | None]], answered: bool, terms: Terms) -> list[Index]:
     """One index for each length of window. Windows overlap by half and are at least twice as long as an item, so
     an item lies whole in one of them. Items without words are left out."""
     by: dict[int, list] = defaultdict(list)
     for item_id, question, answer in items:
-        if not answered:
-            question, answer = halves(question)
-        q, a = words_of(question), words_of(answer)
+        q, a = parts(question, answer, answered)
         if q or a:
             by[max(LEAST_WINDOW, 1 << (2 * (len(q) + len(a)) - 1).bit_length())].append((item_id, q, a))
-    return [Index(found, window) for window, found in sorted(by.items())]
+    return [Index(found, window, terms) for window, found in sorted(by.items())]
+
+
+def item_terms(answered: bool) -> object:
+    """For each item its shard, the number of its words and its distinct terms, one row each; the first row of an
+    item carries the number."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for question, answer, shard in zip(*[batch.column(c).to_pylist() for c in ("q", "a", "shard")]):
+                q, a = parts(question, answer, answered)
+                terms = sorted(set(q + a))
+                length = [len(q) + len(a)] + [None] * (len(terms) - 1) if terms else []
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([shard] * len(terms), pa.int64()), pa.array(terms, pa.binary()), pa.array(length, pa.int64())],
+                    names=["shard", "term", "length"])
+    return run
 
 
 def leaks_in(found: list[Index], texts: list[str | None], threshold: float, question: float,
@@ -207,13 +256,23 @@ def index_shards(benchmark: DataFrame, item_col: str, question_col: str, answer_
                (F.col(answer_col) if answer_col else F.lit(None).cast("string")).alias("a")]
     items = benchmark.select(*columns).where("id is not null and (q is not null or a is not null)")
     items = items.select("id", F.coalesce("q", F.lit("")).alias("q"), F.coalesce("a", F.lit("")).alias("a"))
-    items = items.withColumn("bytes", F.octet_length("q") + F.octet_length("a"))
+    items = items.distinct().withColumn("bytes", F.octet_length("q") + F.octet_length("a"))
     size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
     shards = max(1, -(-size["n"] // SHARD_ITEMS), -(-size["bytes"] // SHARD_BYTES))
     shards = shards if shards == 1 else 2 * shards  # the hash deals unevenly
+    answered = answer_col is not None
+    items = stored(items.select("id", "q", "a", F.pmod(F.xxhash64("id", "q", "a"), F.lit(shards)).alias("shard")), "items")
+    held = stored(items.mapInArrow(item_terms(answered), "shard long, term binary, length long"), "item_terms")
+    total = held.agg(F.count("length").alias("n"), F.sum("length").alias("words")).first()
+    # each term once per shard that has it, with the number of items that hold it in any shard
+    per_shard = held.groupBy("term", "shard").agg(F.count("*").alias("n"))
+    counted = per_shard.groupBy("term").agg(F.sum("n").alias("n"), F.collect_list("shard").alias("shards"))
+    counted = stored(counted.select(F.explode("shards").alias("shard"), "term", "n"), "item_term_counts")
     for shard in range(shards):
-        part = items if shards == 1 else items.where(F.pmod(F.xxhash64("id", "q", "a"), F.lit(shards)) == shard)
-        yield indexes(sorted((r["id"], r["q"], r["a"]) for r in part.select("id", "q", "a").collect()), answer_col is not None)
+        frequency = {bytes(r["term"]): r["n"] for r in counted.where(F.col("shard") == shard).select("term", "n").collect()}
+        terms = Terms(total["n"], (total["words"] or 0) / max(1, total["n"]), frequency)
+        part = items.where(F.col("shard") == shard).select("id", "q", "a").collect()
+        yield indexes(sorted((r["id"], r["q"], r["a"]) for r in part), answered, terms)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", question_col: str = "text",

@@ -1,6 +1,7 @@
 """URL rules, leaks, languages, quality and the pipeline."""
 
 import random
+from collections import Counter
 
 import pytest
 
@@ -78,13 +79,47 @@ def test_leaks_with_answers_and_shards(spark, make_docs, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in found.collect()} == {(i, i) for i in range(1, 60, 2)}
 
 
+def test_scores_do_not_depend_on_how_items_are_dealt(spark, make_docs, monkeypatch):
+    """Items of several window lengths, repeated rows and an item without words among them; one shard and many."""
+    rng = random.Random(11)
+    items = [(i, " ".join(f"t{int(rng.expovariate(0.02))}" for _ in range(rng.randint(6, 90)))) for i in range(80)]
+    docs = make_docs([(i, "before " + " ".join(w for w in q.split() if rng.random() > 0.08) + " after", "en", "a") for i, q in items])
+    table = spark.createDataFrame(items + items[:5] + [(900, "?!"), (901, "")], "item_id long, text string")
+    found = []
+    for shard in (1024, 7):
+        monkeypatch.setattr(decontam, "SHARD_ITEMS", shard)
+        found.append(sorted(tuple(r) for r in decontam.find_leaks(docs, table).collect()))
+    assert found[0] == found[1] and len(found[0]) >= 40
+    monkeypatch.setattr(decontam, "CELLS", 50)
+    assert sorted(tuple(r) for r in decontam.find_leaks(docs, table).collect()) == found[0]
+
+
+def test_words_in_order_equal_the_table_of_all_places():
+    rng = random.Random(3)
+    for _ in range(200):
+        part, passage = ([bytes([rng.randrange(97, 103)]) for _ in range(rng.randint(1, 20))] for _ in range(2))
+        table = [[0] * (len(passage) + 1) for _ in range(len(part) + 1)]
+        for i, w in enumerate(part):
+            for k, v in enumerate(passage):
+                table[i + 1][k + 1] = table[i][k] + 1 if v == w else max(table[i][k + 1], table[i + 1][k])
+        assert decontam.common_in_order(part, passage) == table[-1][-1] / len(part)
+
+
+def test_very_long_item(spark, make_docs):
+    text = " ".join(f"w{i * 7919 % 30011}" for i in range(30000))
+    docs = make_docs([(1, "so " + text + " it is", "en", "a"), (2, text[:40000], "en", "a")])
+    assert leaks(spark, docs, [(1, text)]) == {(1, 1)}
+
+
 def test_retrieval_equals_scoring_all_items(spark):
     """Pruned retrieval finds what full scoring of every passage finds."""
     rng = random.Random(8)
     vocabulary = [f"v{int(rng.expovariate(0.05))}" for _ in range(500)]
     items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(3, 30))), None) for i in range(70)]
     text = " ".join(rng.choice(vocabulary) for _ in range(2000)) + " " + " ".join(t for _, t, _ in items[::5])
-    for index in decontam.indexes(items, False):
+    held = [set(decontam.words_of(t)) for _, t, _ in items]
+    terms = decontam.Terms(len(items), sum(len(t.split()) for _, t, _ in items) / len(items), Counter(w for h in held for w in h))
+    for index in decontam.indexes(items, False, terms):
         words = decontam.words_of(text)
         none = len(index.vocabulary)
         ids = [index.vocabulary.get(w, none) for w in words]
