@@ -137,19 +137,22 @@ class Index:
             terms = np.sort(padded[np.where(at < last[own][:, None], at, len(ids))], axis=1)
             terms[:, 1:][terms[:, 1:] == terms[:, :-1]] = none  # each term once
             some = self.most[terms].sum(1) >= slack
-            for row, found in zip(own[some], terms[some]):
-                kept = found[found != none]
-                bounds = self.bounds(kept)
-                for block in np.flatnonzero(bounds >= slack):
-                    for item, score in self.retrieve(kept.tolist(), int(block), threshold):
-                        yield int(doc[row]), int(first[row]), item, score
+            own, terms = own[some], terms[some]
+            group = max(1, min(256, 8 * CELLS // (self.window * max(1, self.blocks))))
+            for low in range(0, len(own), group):
+                bounds = self.bounds(terms[low: low + group])
+                for row, block in zip(*np.nonzero(bounds >= slack)):
+                    kept = terms[low + row]
+                    for item, score in self.retrieve(kept[kept != none].tolist(), int(block), threshold):
+                        yield int(doc[own[low + row]]), int(first[own[low + row]]), item, score
 
     def bounds(self, terms: np.ndarray) -> np.ndarray:
-        """For each block the most that an item of it can score with these terms, some terms at a time."""
-        step = max(1, CELLS // max(1, self.blocks))
-        total = np.zeros(self.blocks)
-        for lo in range(0, len(terms), step):
-            total += self.block_most[terms[lo: lo + step]].sum(0)
+        """For each passage and block the most that an item can score with the passage's terms, so many terms at a time that
+        memory does not follow the window."""
+        step = max(1, 8 * CELLS // max(1, len(terms) * self.blocks))
+        total = np.zeros((len(terms), self.blocks), np.float32)
+        for lo in range(0, self.window, step):
+            total += self.block_most[terms[:, lo: lo + step]].sum(1)
         return total
 
 
