@@ -6,10 +6,13 @@ filter), so classes meet by the words of their prefixes. Where they meet, their
 of the shared word (positional filter) and a 64-bit picture of the sets (the parity of how many words fall into
 each cell, which differs in no more cells than the sets in words) bound how many words they can share; what passes is verified on the whole sets.
 
-Only whether a line has an earlier match matters. So each class first verifies its most promising
-partner; classes that are removed by then need no more. All remaining pairs in which an open class is
-the later one are then verified, so none is missed, while a large family of variants costs a few
-pairs for each member.
+Only whether a line has an earlier match matters. So each class first verifies its most promising earlier
+partner, by the 64-bit pictures; classes that are removed by then need no more. Those still open verify their closest
+earlier partner by finer pictures, and then all earlier partners that these allow, so none is missed, while a large family
+of variants costs a few pairs for each member.
+
+A word with many classes is cut into blocks by size and place of the word. Only blocks meet that the length and
+positional filters allow to, each two of them under a key of their own, so no task holds more than two blocks of a word.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotframe.llm.common import join_counted, slices, stored
-from slotframe.llm.minhash import may_link, parity
+from slotframe.llm.minhash import halved
 from slotframe.llm.shingles import M1, mix64, word_hashes
 
 BUCKETS = 1 << 18
@@ -30,7 +33,15 @@ PIECE = 4096
 SIEVE_BITS, SIEVE_PIECE = 1 << 24, 1 << 15
 LAST = 9223372036854775807
 """Rows without an id come after all others."""
+BLOCK = 4096
+"""Classes of one word that meet in one block."""
+CELLS = 13
+"""Finer pictures have 2 to the power of 13 cells at most, whatever the length of a line."""
+ROOM = 32_000_000
 POSTING = "token int, doc long, line int, size long, bits long"
+KEYED = "key long, doc long, line int, size long, bits long, side int"
+BOTH = 2
+"""The side of rows that meet all others under their key; rows of side 0 meet those of side 1."""
 
 
 def cut_lines(texts: list[str | None]) -> tuple[np.ndarray, list[bytes]]:
@@ -171,33 +182,40 @@ def sieve_of(names: DataFrame) -> np.ndarray:
     return sieve_from(names.select("doc", "line").mapInArrow(mark_sieve, "at long"))
 
 
+def least_common(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """How many words sets of n and m words must share."""
+    return (percent * (n + m) + 99 + percent) // (100 + percent)
+
+
 def meetings(columns: list[np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Positions i < j of one token that all filters let pass, and the share of words they may have in common. Rows
-    (token, doc, line, size, bits) are sorted by token and size."""
-    token, doc, line, size, bits = columns
+    """Positions (earlier class, later class) under one key that all filters let pass, and the share of words they may have in
+    common; no position is twice among the later ones of a step. Rows (key, doc, line, size, bits, side) are sorted by key and size."""
+    key, doc, line, size, bits, side = columns
     n, place = size >> 32, size & 0xFFFFFFFF
-    i, step = np.arange(len(token)), 1
+    i, step = np.arange(len(key)), 1
     while True:
-        i = i[i + step < len(token)]
+        i = i[i + step < len(key)]
         j = i + step
-        live = (token[i] == token[j]) & (n[j] * percent <= n[i] * 100)  # sizes only grow: no later partner either
+        live = (key[i] == key[j]) & (n[j] * percent <= n[i] * 100)  # sizes only grow: no later partner either
         i, j = i[live], j[live]
         if not len(i):
             return
-        need = (percent * (n[i] + n[j]) + 99 + percent) // (100 + percent)
-        most = np.minimum(n[i] - place[i], n[j] - place[j])
-        ok = most >= need
+        need = least_common(n[i], n[j], percent)
+        ok = (np.minimum(n[i] - place[i], n[j] - place[j]) >= need) & ((side[i] != side[j]) | (side[i] == BOTH))
         a, b, need = i[ok], j[ok], need[ok]
         bound = (n[a] + n[b] - np.bitwise_count((bits[a] ^ bits[b]).view(np.uint64))) // 2
         ok = (bound >= need) & ((doc[a] != doc[b]) | (line[a] != line[b]))
         a, b, bound = a[ok], b[ok], bound[ok]
-        if len(a):
-            yield a, b, bound / (n[a] + n[b] - bound)
+        share = bound / (n[a] + n[b] - bound)
+        less = (doc[a] < doc[b]) | ((doc[a] == doc[b]) & (line[a] < line[b]))
+        for first, then, part in ((a, b, less), (b, a, ~less)):
+            if part.any():
+                yield first[part], then[part], share[part]
         step += 1
 
 
-def by_token(found: Callable, width: int) -> Callable:
-    """Hands on the rows of whole tokens; rows are sorted by token."""
+def by_key(found: Callable, width: int) -> Callable:
+    """Hands on the rows of whole keys; rows are sorted by key."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
@@ -215,47 +233,95 @@ def by_token(found: Callable, width: int) -> Callable:
 
 
 def partners(percent: int) -> Callable:
-    """Classes that meet another one, with the most promising of these."""
+    """Classes that meet another one, each with the most promising of those before it, if there are any."""
     def found(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        token, doc, line, size, bits = columns
-        best, score = np.full(len(token), -1, np.int64), np.zeros(len(token))
-        for a, b, share in meetings(columns, percent):
-            for x, y in ((a, b), (b, a)):
-                more = share > score[x]
-                best[x[more]], score[x[more]] = y[more], share[more]
-        kept = np.flatnonzero(best >= 0)
+        key, doc, line = columns[:3]
+        best, score, seen = np.full(len(key), -1, np.int64), np.zeros(len(key)), np.zeros(len(key), bool)
+        for first, then, share in meetings(columns, percent):
+            seen[first] = seen[then] = True
+            more = share > score[then]
+            best[then[more]], score[then[more]] = first[more], share[more]
+        kept = np.flatnonzero(seen)
         if len(kept):
-            other = best[kept]
+            other, none = best[kept], best[kept] < 0
             yield pa.RecordBatch.from_arrays(
-                [*[pa.array(c[kept]) for c in columns], pa.array(doc[other]), pa.array(line[other]), pa.array(score[kept])],
-                ["token", "doc", "line", "size", "bits", "doc2", "line2", "score"])
-    return by_token(found, 5)
+                [*[pa.array(c[kept]) for c in columns], pa.array(doc[other], mask=none), pa.array(line[other], mask=none), pa.array(score[kept])],
+                ["key", "doc", "line", "size", "bits", "side", "doc2", "line2", "score"])
+    return by_key(found, 6)
+
+
+def fine_picture(words: np.ndarray) -> bytes:
+    """For each of some cells, 8 to 16 for each word up to a fixed number, whether an odd number of words falls into it."""
+    bits = min(CELLS, max(6, 3 + int(len(words) - 1).bit_length()))
+    odd = np.bincount((words.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
 def draw_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, line, words) to pictures of the whole sets, of a size that grows with them."""
+    """Rows (doc, line, words) to finer pictures of the whole sets."""
     for batch in batches:
-        drawn = [parity(np.asarray(v)) for v in batch.column(2).to_numpy(zero_copy_only=False)]
+        drawn = [fine_picture(np.asarray(v)) for v in batch.column(2).to_numpy(zero_copy_only=False)]
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(drawn, pa.binary())], ["doc", "line", "picture"])
 
 
-def open_pairs(percent: int) -> Callable:
-    """Pairs whose later class is still open (flag in the last column but one) and whose pictures (last column) allow it: earlier
-    and later one."""
+class Pictures:
+    """Pictures of several sizes. The coarser of two decides: neighbouring cells of the finer one are put together."""
+
+    def __init__(self, drawn: np.ndarray) -> None:
+        self.width = np.array([len(p) for p in drawn], np.int64)
+        self.place, self.seen = np.zeros(len(drawn), np.int64), {}
+        for w in np.unique(self.width).tolist():
+            own = np.flatnonzero(self.width == w)
+            self.place[own] = np.arange(len(own))
+            self.seen[w, w] = np.frombuffer(b"".join(drawn[own]), np.uint8).reshape(-1, w)
+
+    def at(self, width: int, coarse: int) -> np.ndarray:
+        if (width, coarse) not in self.seen:
+            self.seen[width, coarse] = halved(self.at(width, 2 * coarse))
+        return self.seen[width, coarse]
+
+    def differing(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """In how many cells the pictures of each pair differ: in no more than their sets in words."""
+        out = np.zeros(len(a), np.int64)
+        kinds = self.width[a] << 32 | self.width[b]
+        for kind in np.unique(kinds).tolist():
+            v, w = kind >> 32, kind & 0xFFFFFFFF
+            own, least = np.flatnonzero(kinds == kind), min(v, w)
+            x, y = self.at(v, least), self.at(w, least)
+            for some in np.array_split(own, 1 + len(own) * least // ROOM):
+                mixed = x[self.place[a[some]]] ^ y[self.place[b[some]]]
+                out[some] = np.bitwise_count(mixed.view(np.uint64)).sum(1, dtype=np.int64)
+        return out
+
+
+def open_pairs(percent: int, every: bool) -> Callable:
+    """Pairs (doc, line, doc2, line2, score) whose later class is open (flag in the last column but one) and whose pictures (last
+    column) allow it: all of them, or for each open class and key the closest earlier one."""
     def found(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        _, doc, line, size, _, is_open, picture = columns
-        n = size >> 32
-        for a, b, _ in meetings(columns[:5], percent):
-            less = (doc[a] < doc[b]) | ((doc[a] == doc[b]) & (line[a] < line[b]))
-            first, then = np.where(less, a, b), np.where(less, b, a)
+        doc, line, size, is_open = columns[1], columns[2], columns[3], columns[6]
+        if not is_open.any():
+            return
+        n, pictures = size >> 32, Pictures(columns[7])
+        best, score = np.full(len(doc), -1, np.int64), np.full(len(doc), np.inf)
+
+        def rows(first: np.ndarray, then: np.ndarray, apart: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[first], line[first], doc[then], line[then], -apart)],
+                                              ["doc", "line", "doc2", "line2", "score"])
+
+        for first, then, _ in meetings(columns[:6], percent):
             ok = is_open[then] != 0
             first, then = first[ok], then[ok]
-            ok = np.array([may_link(picture[x], picture[y], int(n[x] + n[y]), percent) for x, y in zip(first, then)], bool)
-            first, then = first[ok], then[ok]
-            if len(first):
-                yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(line[first]), pa.array(doc[then]), pa.array(line[then])],
-                                                 ["doc", "line", "doc2", "line2"])
-    return by_token(found, 7)
+            total, differ = n[first] + n[then], pictures.differing(first, then)
+            ok = differ <= total - 2 * least_common(n[first], n[then], percent)
+            first, then, apart = first[ok], then[ok], (differ / total)[ok]
+            if every and len(first):
+                yield rows(first, then, apart)
+            more = apart < score[then]
+            best[then[more]], score[then[more]] = first[more], apart[more]
+        kept = np.flatnonzero(best >= 0)
+        if not every and len(kept):
+            yield rows(best[kept], kept, score[kept])
+    return by_key(found, 8)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -268,13 +334,12 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.select(later.alias("_later")).select("_later.doc", "_later.line").distinct()
 
 
-def meeting(postings: DataFrame) -> DataFrame:
-    """The postings without those whose word has one posting only: they can meet nothing. Words are counted alone, and those
-    with several postings become a sieve of fixed size, so what is dropped is never shuffled; with more words than the
-    sieve has room for, a join takes its place."""
-    several = stored(postings.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1").select("token"), "meeting-words")
+def meeting(postings: DataFrame, several: DataFrame) -> DataFrame:
+    """The postings without those whose word has one posting only: they can meet nothing. The words with several postings
+    become a sieve of fixed size, so what is dropped is never shuffled; with more words than the sieve has room for, a
+    join takes its place."""
     if several.count() > SIEVE_BITS // 8:
-        return postings.join(several, "token", "left_semi")
+        return postings.join(several, "token", "left_semi").select(*postings.columns)
     at = F.pmod(F.xxhash64("token"), F.lit(SIEVE_BITS))
     sieve = sieve_from(several.select(at.alias("at")))
     packed = postings.sparkSession.sparkContext.broadcast(sieve)
@@ -287,6 +352,47 @@ def meeting(postings: DataFrame) -> DataFrame:
     return postings.withColumn("at", at).mapInArrow(kept, POSTING)
 
 
+def keyed(postings: DataFrame, several: DataFrame, percent: int) -> DataFrame:
+    """Postings by the key under which they meet: their word, or for a word with more than BLOCK of them two blocks that may
+    hold similar sets. Blocks follow sizes and places, of which a word has few; large ones are spread over several blocks."""
+    cold = postings.select(F.col("token").cast("long").alias("key"), "doc", "line", "size", "bits", F.lit(BOTH).alias("side"))
+    hot = several.where(F.col("rows") > BLOCK).select("token")
+    if not hot.limit(1).count():
+        return cold
+    busy = postings.join(hot, "token", "left_semi")
+    before = F.sum("rows").over(Window.partitionBy("token").orderBy("size")) - F.col("rows")
+    cells = stored(busy.groupBy("token", "size").agg(F.count("*").alias("rows")).withColumn("start", before), "cells")
+    spans = cells.select("token", F.shiftright("size", 32).alias("n"), F.col("size").bitwiseAND(0xFFFFFFFF).alias("place"),
+                         F.explode(F.sequence(F.expr(f"start div {BLOCK}"), F.expr(f"(start + rows - 1) div {BLOCK}"))).alias("block"))
+    spans = stored(spans.groupBy("token", "block", "n").agg(F.min("place").alias("place")), "spans")
+    one = spans.toDF("token", "lo", "n", "place")
+    two = spans.toDF("token", "hi", "m", "place2")
+    may = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("place2")) >= F.expr(f"({percent} * (n + m) + {99 + percent}) div {100 + percent}")
+    faces = one.join(two, "token").where((F.col("lo") <= F.col("hi")) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & may)
+    faces = stored(faces.select("token", "lo", "hi").distinct(), "faces")
+    turns = faces.select("token", F.col("lo").alias("block"), "lo", "hi", F.when(F.col("lo") == F.col("hi"), BOTH).otherwise(0).alias("side"))
+    turns = turns.unionByName(faces.where("lo < hi").select("token", F.col("hi").alias("block"), "lo", "hi", F.lit(1).alias("side")))
+    busy = busy.join(cells, ["token", "size"]).withColumn("block", F.expr(f"(start + pmod(xxhash64(doc, line), rows)) div {BLOCK}"))
+    busy = busy.join(turns, ["token", "block"]).select(F.xxhash64("token", "lo", "hi").alias("key"), "doc", "line", "size", "bits", "side")
+    return cold.join(hot.select(F.col("token").cast("long").alias("key")), "key", "left_anti").unionByName(busy)
+
+
+def earlier(members: DataFrame, left: DataFrame, sets: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Pairs (doc, line, doc2, line2) of an earlier class and an open one (``left``) that pictures allow: the closest for each open
+    class, or all. Only keys with an open class are looked at."""
+    marked = members.select("key", "doc", "line", "size", "bits", "side").join(left.withColumn("_open", F.lit(1)), ["doc", "line"], "left")
+    keys = members.join(left, ["doc", "line"], "left_semi").select("key").distinct()
+    marked = marked.join(keys, "key", "left_semi")
+    drawn = sets.mapInArrow(draw_sets, "doc long, line int, picture binary")
+    marked = marked.join(drawn, ["doc", "line"]).select("key", "doc", "line", "size", "bits", "side", F.coalesce("_open", F.lit(0)).alias("open"), "picture")
+    marked = marked.repartition("key").sortWithinPartitions("key", "size")
+    pairs = marked.mapInArrow(open_pairs(percent, every), "doc long, line int, doc2 long, line2 int, score double")
+    if every:
+        return pairs.select("doc", "line", "doc2", "line2").distinct()
+    pairs = pairs.groupBy("doc2", "line2").agg(F.max_by(F.struct("doc", "line"), F.struct("score", "doc", "line")).alias("p"))
+    return pairs.select("p.doc", "p.line", "doc2", "line2")
+
+
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, id, text): a number of its own for each row, rising with the id, rows without one last. Ids that differ are the
     numbers themselves; where rows share an id or have none, rows are sorted by (id, text hash) once and numbered."""
@@ -317,24 +423,24 @@ def line_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     postings = classes.select("doc", "line", "n", "bits", F.posexplode("prefix").alias("place", "token"))
     size = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("place").cast("long"))
     postings = postings.select("token", "doc", "line", size.alias("size"), "bits")
-    postings = meeting(postings)
-    sorted_ = postings.repartition("token").sortWithinPartitions("token", "size")
-    members = stored(sorted_.mapInArrow(partners(percent), f"{POSTING}, doc2 long, line2 int, score double"), "meetings")
+    several = stored(postings.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1"), "meeting-words")
+    postings = keyed(meeting(postings, several), several, percent)
+    sorted_ = postings.repartition("key").sortWithinPartitions("key", "size")
+    members = stored(sorted_.mapInArrow(partners(percent), f"{KEYED}, doc2 long, line2 int, score double"), "meetings")
 
     names = members.select("doc", "line").distinct()
     sets = own.select("doc", "text").mapInArrow(wanted_sets(sieve_of(names)), "doc long, line int, words array<long>")
     sets = stored(sets.join(names, ["doc", "line"], "left_semi"), "word-sets")
 
-    best = members.groupBy("doc", "line").agg(F.max_by(F.struct("doc2", "line2"), F.struct("score", "doc2", "line2")).alias("p"))
-    gone = stored(verified(best.select("doc", "line", "p.doc2", "p.line2"), sets, percent), "matched")
-    flagged = members.select("token", "doc", "line", "size", "bits").join(gone.withColumn("_gone", F.lit(1)), ["doc", "line"], "left")
-    flagged = flagged.select("token", "doc", "line", "size", "bits", F.when(F.col("_gone").isNull(), 1).otherwise(0).alias("open"))
-    drawn = sets.mapInArrow(draw_sets, "doc long, line int, picture binary").groupBy("doc", "line").agg(
-        F.when(F.min("picture") == F.max("picture"), F.max("picture")).alias("picture"))  # none where an id has several texts
-    flagged = flagged.join(drawn, ["doc", "line"], "left").select("token", "doc", "line", "size", "bits", "open", "picture")
-    flagged = flagged.repartition("token").sortWithinPartitions("token", "size")
-    pairs = flagged.mapInArrow(open_pairs(percent), "doc long, line int, doc2 long, line2 int").distinct()
-    gone = gone.unionByName(verified(pairs, sets, percent)).distinct()
+    best = members.where("doc2 is not null").groupBy("doc", "line").agg(
+        F.max_by(F.struct("doc2", "line2"), F.struct("score", "doc2", "line2")).alias("p"))
+    best = stored(best.select("doc", "line", "p.doc2", "p.line2"), "promising")
+    gone = stored(verified(best, sets, percent), "matched")
+    left = stored(best.select("doc", "line").join(gone, ["doc", "line"], "left_anti"), "open")
+    for every in (False, True):
+        pairs = earlier(members, left, sets, percent, every)
+        more = stored(verified(pairs, sets, percent), "matched")
+        gone, left = gone.unionByName(more), stored(left.join(more, ["doc", "line"], "left_anti"), "open")
     return _by_document(own, lines, classes, gone, id_col)
 
 

@@ -170,6 +170,54 @@ def test_lines_equal_brute_force(make_docs, seed):
     assert {r.doc_id: r.removed for r in found.collect()} == brute_lines(rows)
 
 
+@pytest.mark.parametrize("block", [3, 8])
+def test_lines_under_busy_words(make_docs, monkeypatch, block):
+    """Words that many lines share as their rarest ones, in lines of many lengths: blocks lose no match and add none."""
+    monkeypatch.setattr(linededup, "BLOCK", block)
+    rng = random.Random(block)
+    rows = []
+    for i in range(70):
+        lines = [f"id {rng.randrange(40)} status {rng.choice('ab')} done"]
+        body = [f"t{k}" for k in range(rng.choice((6, 7, 8, 9, 10, 12, 30)))]
+        for _ in range(rng.choice((0, 1, 1, 2, 3))):
+            body[rng.randrange(len(body))] = f"z{rng.randrange(60)}"
+        lines.append(" ".join(body))
+        rows.append((i, "\n".join(lines)))
+    found = linededup.line_matches(make_docs([(i, t, "en", "s") for i, t in rows]))
+    assert {r.doc_id: r.removed for r in found.collect()} == brute_lines(rows)
+
+
+def test_faces_hold_each_pair_that_filters_allow_once(spark):
+    """Two classes of a busy word meet under one key if sizes and places allow it; classes that cannot match share few keys."""
+    rng, percent = random.Random(4), 80
+    rows = [(5, d, 0, n << 32 | rng.randrange(n - (n * percent + 99) // 100 + 1), 0) for d in range(300) for n in [rng.choice((5, 5, 5, 6, 20, 22, 40))]]
+    rows += [(6, d, 0, 5 << 32 | 1, 0) for d in range(400)]
+    postings = spark.createDataFrame(rows, linededup.POSTING)
+    several = postings.groupBy("token").count().withColumnRenamed("count", "rows")
+    old, linededup.BLOCK = linededup.BLOCK, 32
+    try:
+        got = linededup.keyed(postings, several, percent).collect()
+    finally:
+        linededup.BLOCK = old
+    size, under = {r[1]: r[3] for r in rows if r[0] == 5}, {}
+    for r in got:
+        under.setdefault(r.key, []).append((r.doc, r.side))
+    met = {}
+    for held in under.values():
+        for k, (a, x) in enumerate(held):
+            for b, y in held[k + 1:]:
+                if x != y or x == linededup.BOTH:
+                    met[min(a, b), max(a, b)] = met.get((min(a, b), max(a, b)), 0) + 1
+    for a in range(300):
+        for b in range(a + 1, 300):
+            (n, p), (m, q) = ((size[x] >> 32, size[x] & 0xFFFFFFFF) for x in (a, b))
+            if min(n, m) * 100 >= max(n, m) * percent and min(n - p, m - q) >= -(-percent * (n + m) // (100 + percent)):
+                assert met[a, b] == 1
+    # five words with the shared one in second place: never alike enough by this word alone
+    assert not any(a >= 300 or b >= 300 for a, b in met)
+    assert max(map(len, under.values())) <= 2 * 64
+
+
 def test_lines_are_cut_out(make_docs):
     docs = make_docs([(1, "a b c\nkeep me\n", "en", "s"), (2, "x\nA B C\n\nA b c", "en", "s"), (None, "a b c\nnew", "en", "s"), (3, None, "en", "s")])
     got = linededup.remove_lines(docs, linededup.line_matches(docs)).collect()
