@@ -6,10 +6,10 @@ filter), so classes meet by the words of their prefixes. Where they meet, their
 of the shared word (positional filter) and a 64-bit picture of the sets (the parity of how many words fall into
 each cell, which differs in no more cells than the sets in words) bound how many words they can share; what passes is verified on the whole sets.
 
-Only whether a line has an earlier match matters. So each class first verifies its most promising earlier
-partner, by the 64-bit pictures; classes that are removed by then need no more. Those still open verify their closest
-earlier partner by finer pictures, and then all earlier partners that these allow, so none is missed, while a large family
-of variants costs a few pairs for each member.
+Only whether a line has an earlier match matters. So for classes that meet another one finer pictures are drawn, and
+each verifies the closest of those before it that these allow; classes that are removed by then, or have none, need no
+more. The others verify all that pictures allow, so none is missed, while a large family of variants costs a pair for
+each member.
 
 A word with many classes is cut into blocks by size and place of the word. Only blocks meet that the length and
 positional filters allow to, each two of them under a key of their own, so no task holds more than two blocks of a word.
@@ -233,20 +233,13 @@ def by_key(found: Callable, width: int) -> Callable:
 
 
 def partners(percent: int) -> Callable:
-    """Classes that meet another one, each with the most promising of those before it, if there are any."""
+    """Classes that meet another one."""
     def found(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, doc, line = columns[:3]
-        best, score, seen = np.full(len(key), -1, np.int64), np.zeros(len(key)), np.zeros(len(key), bool)
-        for first, then, share in meetings(columns, percent):
+        seen = np.zeros(len(columns[0]), bool)
+        for first, then, _ in meetings(columns, percent):
             seen[first] = seen[then] = True
-            more = share > score[then]
-            best[then[more]], score[then[more]] = first[more], share[more]
-        kept = np.flatnonzero(seen)
-        if len(kept):
-            other, none = best[kept], best[kept] < 0
-            yield pa.RecordBatch.from_arrays(
-                [*[pa.array(c[kept]) for c in columns], pa.array(doc[other], mask=none), pa.array(line[other], mask=none), pa.array(score[kept])],
-                ["key", "doc", "line", "size", "bits", "side", "doc2", "line2", "score"])
+        if seen.any():
+            yield pa.RecordBatch.from_arrays([pa.array(c[seen]) for c in columns], ["key", "doc", "line", "size", "bits", "side"])
     return by_key(found, 6)
 
 
@@ -378,11 +371,12 @@ def keyed(postings: DataFrame, several: DataFrame, percent: int) -> DataFrame:
 
 
 def earlier(members: DataFrame, left: DataFrame, sets: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Pairs (doc, line, doc2, line2) of an earlier class and an open one (``left``) that pictures allow: the closest for each open
-    class, or all. Only keys with an open class are looked at."""
-    marked = members.select("key", "doc", "line", "size", "bits", "side").join(left.withColumn("_open", F.lit(1)), ["doc", "line"], "left")
-    keys = members.join(left, ["doc", "line"], "left_semi").select("key").distinct()
-    marked = marked.join(keys, "key", "left_semi")
+    """Pairs (doc, line, doc2, line2) of an earlier class and an open one (``left``, at first all that are ``members``) that
+    pictures allow: the closest for each open class, or all of them, which looks only at keys with an open class."""
+    marked = members.withColumn("_open", F.lit(1))
+    if every:
+        keys = members.join(left, ["doc", "line"], "left_semi").select("key").distinct()
+        marked = members.join(left.withColumn("_open", F.lit(1)), ["doc", "line"], "left").join(keys, "key", "left_semi")
     drawn = sets.mapInArrow(draw_sets, "doc long, line int, picture binary")
     marked = marked.join(drawn, ["doc", "line"]).select("key", "doc", "line", "size", "bits", "side", F.coalesce("_open", F.lit(0)).alias("open"), "picture")
     marked = marked.repartition("key").sortWithinPartitions("key", "size")
@@ -426,21 +420,19 @@ def line_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     several = stored(postings.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1"), "meeting-words")
     postings = keyed(meeting(postings, several), several, percent)
     sorted_ = postings.repartition("key").sortWithinPartitions("key", "size")
-    members = stored(sorted_.mapInArrow(partners(percent), f"{KEYED}, doc2 long, line2 int, score double"), "meetings")
+    members = stored(sorted_.mapInArrow(partners(percent), KEYED), "meetings")
 
-    names = members.select("doc", "line").distinct()
+    names = stored(members.select("doc", "line").distinct(), "meeting-lines")
     sets = own.select("doc", "text").mapInArrow(wanted_sets(sieve_of(names)), "doc long, line int, words array<long>")
-    sets = stored(sets.join(names, ["doc", "line"], "left_semi"), "word-sets")
-
-    best = members.where("doc2 is not null").groupBy("doc", "line").agg(
-        F.max_by(F.struct("doc2", "line2"), F.struct("score", "doc2", "line2")).alias("p"))
-    best = stored(best.select("doc", "line", "p.doc2", "p.line2"), "promising")
-    gone = stored(verified(best, sets, percent), "matched")
-    left = stored(best.select("doc", "line").join(gone, ["doc", "line"], "left_anti"), "open")
-    for every in (False, True):
-        pairs = earlier(members, left, sets, percent, every)
-        more = stored(verified(pairs, sets, percent), "matched")
-        gone, left = gone.unionByName(more), stored(left.join(more, ["doc", "line"], "left_anti"), "open")
+    if names.count() > SIEVE_BITS // 8:  # a full sieve lets through much that is not wanted, which is no fault but room
+        sets = sets.join(names, ["doc", "line"], "left_semi")
+    sets = stored(sets, "word-sets")
+
+    nearest = stored(earlier(members, names, sets, percent, every=False), "nearest")
+    gone = stored(verified(nearest, sets, percent), "matched")
+    left = stored(nearest.select(F.col("doc2").alias("doc"), F.col("line2").alias("line")).join(gone, ["doc", "line"], "left_anti"), "open")
+    pairs = stored(earlier(members, left, sets, percent, every=True), "open-pairs")
+    gone = gone.unionByName(verified(pairs, sets, percent)).distinct()
     return _by_document(own, lines, classes, gone, id_col)
 
 
