@@ -168,15 +168,26 @@ def piece_bits(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([out.tobytes()])], ["piece", "bits"])
 
 
+def pieces_of(marks: DataFrame) -> DataFrame:
+    """The pieces (piece, bits) of a sieve of SIEVE_BITS bits that have any of those at ``at`` set."""
+    return marks.select(F.expr(f"at div {SIEVE_PIECE}").alias("piece"), "at").groupBy("piece").applyInArrow(piece_bits, "piece long, bits binary")
+
+
 def sieve_from(marks: DataFrame) -> np.ndarray:
-    """A sieve of SIEVE_BITS bits with those at ``at`` set; it is put together in Spark and reaches the driver as bytes."""
-    rows = marks.select(F.expr(f"at div {SIEVE_PIECE}").alias("piece"), "at").groupBy("piece").applyInArrow(piece_bits, "piece long, bits binary")
+    """The whole sieve; it is put together in Spark and reaches the driver as bytes."""
     out = np.zeros((SIEVE_BITS // SIEVE_PIECE, SIEVE_PIECE // 8), np.uint8)
-    for row in rows.collect():
+    for row in pieces_of(marks).collect():
         out[row["piece"]] = np.frombuffer(row["bits"], np.uint8)
     return out.ravel()
 
 
+def as_longs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces with 64 bits a number, the first one lowest."""
+    for batch in batches:
+        bits = [np.frombuffer(b, np.int64) for b in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.list_(pa.int64()))], ["_piece", "_bits"])
+
+
 def sieve_of(names: DataFrame) -> np.ndarray:
     """A bit for each name's hash, whatever the number of names."""
     return sieve_from(names.select("doc", "line").mapInArrow(mark_sieve, "at long"))
@@ -329,45 +340,14 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def meeting(postings: DataFrame, several: DataFrame) -> DataFrame:
     """The postings without those whose word has one posting only: they can meet nothing. The words with several postings
-    become a sieve of fixed size, so what is dropped is never shuffled; with more words than the sieve has room for, a
+    become a sieve of fixed size (2 MB), so what is dropped is never shuffled; with more words than the sieve has room for, a
     join takes its place."""
     if several.count() > SIEVE_BITS // 8:
         return postings.join(several, "token", "left_semi").select(*postings.columns)
     at = F.pmod(F.xxhash64("token"), F.lit(SIEVE_BITS))
-    sieve = sieve_from(several.select(at.alias("at")))
-    packed = postings.sparkSession.sparkContext.broadcast(sieve)
-
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            place = batch.column(batch.num_columns - 1).to_numpy()
-            held = (packed.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-            yield batch.filter(pa.array(held)).select(batch.schema.names[:-1])
-    return postings.withColumn("at", at).mapInArrow(kept, POSTING)
-
-
-def keyed(postings: DataFrame, several: DataFrame, percent: int) -> DataFrame:
-    """Postings by the key under which they meet: their word, or for a word with more than BLOCK of them two blocks that may
-    hold similar sets. Blocks follow sizes and places, of which a word has few; large ones are spread over several blocks."""
-    cold = postings.select(F.col("token").cast("long").alias("key"), "doc", "line", "size", "bits", F.lit(BOTH).alias("side"))
-    hot = several.where(F.col("rows") > BLOCK).select("token")
-    if not hot.limit(1).count():
-        return cold
-    busy = postings.join(hot, "token", "left_semi")
-    before = F.sum("rows").over(Window.partitionBy("token").orderBy("size")) - F.col("rows")
-    cells = stored(busy.groupBy("token", "size").agg(F.count("*").alias("rows")).withColumn("start", before), "cells")
-    spans = cells.select("token", F.shiftright("size", 32).alias("n"), F.col("size").bitwiseAND(0xFFFFFFFF).alias("place"),
-                         F.explode(F.sequence(F.expr(f"start div {BLOCK}"), F.expr(f"(start + rows - 1) div {BLOCK}"))).alias("block"))
-    spans = stored(spans.groupBy("token", "block", "n").agg(F.min("place").alias("place")), "spans")
-    one = spans.toDF("token", "lo", "n", "place")
-    two = spans.toDF("token", "hi", "m", "place2")
-    may = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("place2")) >= F.expr(f"({percent} * (n + m) + {99 + percent}) div {100 + percent}")
-    faces = one.join(two, "token").where((F.col("lo") <= F.col("hi")) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & may)
-    faces = stored(faces.select("token", "lo", "hi").distinct(), "faces")
-    turns = faces.select("token", F.col("lo").alias("block"), "lo", "hi", F.when(F.col("lo") == F.col("hi"), BOTH).otherwise(0).alias("side"))
-    turns = turns.unionByName(faces.where("lo < hi").select("token", F.col("hi").alias("block"), "lo", "hi", F.lit(1).alias("side")))
-    busy = busy.join(cells, ["token", "size"]).withColumn("block", F.expr(f"(start + pmod(xxhash64(doc, line), rows)) div {BLOCK}"))
-    busy = busy.join(turns, ["token", "block"]).select(F.xxhash64("token", "lo", "hi").alias("key"), "doc", "line", "size", "bits", "side")
-    return cold.join(hot.select(F.col("token").cast("long").alias("key")), "key", "left_anti").unionByName(busy)
+    sieve = pieces_of(several.select(at.alias("at"))).mapInArrow(as_longs, "_piece long, _bits array<long>")
+    held = postings.withColumn("_at", at).join(F.broadcast(stored(sieve, "sieve")), F.expr(f"_at div {SIEVE_PIECE}") == F.col("_piece"))
+    return held.where(F.expr(f"getbit(_bits[int(_at % {SIEVE_PIECE} div 64)], int(_at % 64))") == 1).select(*postings.columns)
 
 
 def earlier(members: DataFrame, left: DataFrame, sets: DataFrame, percent: int, every: bool) -> DataFrame:
