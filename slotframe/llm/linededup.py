@@ -76,7 +76,7 @@ def add_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def rarity(docs: DataFrame, text_col: str) -> np.ndarray:
     """Occurrences of all words in the corpus, by BUCKETS hash buckets. Any one order of words keeps the join exact; this
-    one, of fixed size, puts rare words first. Ranks stand for counts."""
+    one, of fixed size, puts rare words first."""
     pieces = docs.select(text_col).mapInArrow(count_words, "piece int, counts binary")
     summed = pieces.repartition(BUCKETS // PIECE, "piece").mapInArrow(add_pieces, "piece int, counts binary").collect()
     counts = np.zeros((BUCKETS // PIECE, PIECE), np.int64)
@@ -104,6 +104,9 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
 def describe(counts: np.ndarray, percent: int) -> Callable:
     """Rows (id, text) to lines: digest of the set, its size, its prefix and its picture. A prefix has half of each word's hash: where
     halves agree by chance, classes meet that need not, and whole sets are verified in any case."""
+    rank = np.zeros(BUCKETS, np.int64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(BUCKETS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, 2_000_000):
             per, lines = cut_lines(batch.column(1).to_pylist())
@@ -116,8 +119,7 @@ def describe(counts: np.ndarray, percent: int) -> Callable:
             with np.errstate(over="ignore"):
                 digest = np.stack([np.add.reduceat(mix64(tokens + M1), start[full]), np.add.reduceat(mix64(tokens ^ M1), start[full])], 1)
             bits = np.bitwise_xor.reduceat(np.uint64(1) << (mix64(tokens) & np.uint64(63)), start[full])
-            rare = counts[bucket(tokens)].astype(np.uint64)
-            order = np.lexsort((rare, owner))
+            order = np.argsort(owner * BUCKETS + rank[bucket(tokens)], kind="stable")  # words of one bucket stay in the order of their hashes
             place = np.arange(len(tokens)) - start[owner]
             kept = order[place < prefix_length(n, percent)[owner]]
             sizes = prefix_length(n[full], percent)
@@ -225,21 +227,26 @@ def meetings(columns: list[np.ndarray], percent: int) -> Iterator[tuple[np.ndarr
         step += 1
 
 
-def by_key(found: Callable, width: int) -> Callable:
-    """Hands on the rows of whole keys; rows are sorted by key."""
+def by_key(found: Callable, width: int, rows: int = 1 << 17, size: int = 1 << 24) -> Callable:
+    """Hands on the rows of whole keys, many keys at a time; rows are sorted by key."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        parts: list[list[np.ndarray]] = []
+        count = taken = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(width)]
-            held = own if held is None else [np.concatenate(x) for x in zip(held, own)]
+            parts.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(width)])
+            count, taken = count + batch.num_rows, taken + batch.nbytes
+            if count < rows and taken < size:
+                continue
+            held = [np.concatenate(x) for x in zip(*parts)]
             last = int(np.flatnonzero(np.append(True, held[0][1:] != held[0][:-1]))[-1])
             if last:
                 yield from found([x[:last] for x in held])
                 held = [x[last:] for x in held]
-        if held is not None:
-            yield from found(held)
+            parts, count, taken = [held], len(held[0]), 0
+        if parts:
+            yield from found([np.concatenate(x) for x in zip(*parts)])
     return run
 
 
