@@ -339,7 +339,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The later lines (doc, line) of the pairs (doc, line, doc2, line2) whose whole sets are similar enough."""
     one = sets.select("doc", "line", F.col("words").alias("_a"))
     two = sets.select(F.col("doc").alias("doc2"), F.col("line").alias("line2"), F.col("words").alias("_b"))
-    rows = pairs.join(one, ["doc", "line"]).join(two, ["doc2", "line2"]).withColumn("_both", F.size(F.array_intersect("_a", "_b")))
+    # each end is found by itself, so what is joined in the end has the sets of pairs only
+    rows = pairs.join(one, ["doc", "line"]).join(pairs.join(two, ["doc2", "line2"]), ["doc", "line", "doc2", "line2"])
+    rows = rows.withColumn("_both", F.size(F.array_intersect("_a", "_b")))
     rows = rows.where(F.col("_both") * 100 >= percent * (F.size("_a") + F.size("_b") - F.col("_both")))
     later = F.greatest(F.struct("doc", "line"), F.struct(F.col("doc2").alias("doc"), F.col("line2").alias("line")))
     return rows.select(later.alias("_later")).select("_later.doc", "_later.line").distinct()
