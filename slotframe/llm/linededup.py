@@ -200,9 +200,9 @@ def least_common(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return (percent * (n + m) + 99 + percent) // (100 + percent)
 
 
-def meetings(columns: list[np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Positions (earlier class, later class) under one key that all filters let pass, and the share of words they may have in
-    common; no position is twice among the later ones of a step. Rows (key, doc, line, size, bits, side) are sorted by key and size."""
+def meetings(columns: list[np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (earlier class, later class) under one key that all filters let pass; no position is twice among the later ones
+    of a step. Rows (key, doc, line, size, bits, side) are sorted by key and size."""
     key, doc, line, size, bits, side = columns
     n, place = size >> 32, size & 0xFFFFFFFF
     i, step = np.arange(len(key)), 1
@@ -218,12 +218,11 @@ def meetings(columns: list[np.ndarray], percent: int) -> Iterator[tuple[np.ndarr
         a, b, need = i[ok], j[ok], need[ok]
         bound = (n[a] + n[b] - np.bitwise_count((bits[a] ^ bits[b]).view(np.uint64))) // 2
         ok = (bound >= need) & ((doc[a] != doc[b]) | (line[a] != line[b]))
-        a, b, bound = a[ok], b[ok], bound[ok]
-        share = bound / (n[a] + n[b] - bound)
+        a, b = a[ok], b[ok]
         less = (doc[a] < doc[b]) | ((doc[a] == doc[b]) & (line[a] < line[b]))
         for first, then, part in ((a, b, less), (b, a, ~less)):
             if part.any():
-                yield first[part], then[part], share[part]
+                yield first[part], then[part]
         step += 1
 
 
@@ -254,7 +253,7 @@ def partners(percent: int) -> Callable:
     """Classes that meet another one."""
     def found(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(len(columns[0]), bool)
-        for first, then, _ in meetings(columns, percent):
+        for first, then in meetings(columns, percent):
             seen[first] = seen[then] = True
         if seen.any():
             yield pa.RecordBatch.from_arrays([pa.array(c[seen]) for c in columns], ["key", "doc", "line", "size", "bits", "side"])
@@ -319,7 +318,7 @@ def open_pairs(percent: int, every: bool) -> Callable:
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[first], line[first], doc[then], line[then], -apart)],
                                               ["doc", "line", "doc2", "line2", "score"])
 
-        for first, then, _ in meetings(columns[:6], percent):
+        for first, then in meetings(columns[:6], percent):
             ok = is_open[then] != 0
             first, then = first[ok], then[ok]
             total, differ = n[first] + n[then], pictures.differing(first, then)
