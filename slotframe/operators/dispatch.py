@@ -11,7 +11,7 @@ from slotframe.functions.names import DISCRIMINATOR_BYTES
 from slotframe.plans.types import Interface
 
 UNKNOWN_NAME = "unknown"
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 4 << 20
 SALTS = 32
 
 
@@ -36,7 +36,8 @@ def attach_small(facts: DataFrame, small: DataFrame, on: list[str], bytes_limit:
     The lookup's size in bytes is added up first, unless it is known. Within the
     limit it is broadcast, so the facts are not shuffled. Beyond it the lookup is
     copied ``SALTS`` times and the facts are spread over the copies by a hash of the
-    whole row, so no single key fills one task.
+    whole row, so no single key fills one task. The hint keeps Spark, which goes by the
+    size of files that may be compressed many times, from broadcasting the copies.
     """
     size = known_bytes
     if size is None:
@@ -46,7 +47,7 @@ def attach_small(facts: DataFrame, small: DataFrame, on: list[str], bytes_limit:
     hashed = [f.name for f in facts.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     spread = F.pmod(F.xxhash64(*hashed), F.lit(SALTS)).cast("int")
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return facts.withColumn("_salt", spread).join(copies, [*on, "_salt"], "left").drop("_salt")
+    return facts.withColumn("_salt", spread).join(copies.hint("merge"), [*on, "_salt"], "left").drop("_salt")
 
 
 def definition_rows(df: DataFrame, interfaces: list[Interface], kind: str) -> DataFrame:
