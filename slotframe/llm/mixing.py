@@ -35,6 +35,8 @@ ZONE = 1024
 STARTS, ROUNDS = 64, 64
 """Orders that are tried in a zone, and exchanges in each, at most; both only bring the sum nearer."""
 CAP = 3.0
+BROADCAST_BLOCKS = 1 << 18
+"""Drawn blocks that are sent to every task, a few dozen bytes each; the rows then stay where they are."""
 
 
 def targets(sizes: list[int], weights: list[float], total: float, cap: float = CAP) -> list[float]:
@@ -203,7 +205,8 @@ def mix(docs: DataFrame, weights: Callable[[list], dict] | dict = ranked_weights
     held = held.withColumn("_zone_room", F.max(F.when(F.col("_part") == 1, F.col("_room"))).over(each))
     held = held.withColumn("_turns", F.col("_full") + (F.col("_part") > 0).cast("int"))
     held = stored(held.select("_nr", "_block", F.col("_zone_room").alias("_room"), "_part", "_turns", "_order"), "mix-blocks")
-    quota = {r["_nr"]: r["n"] for r in held.groupBy("_nr").agg(F.sum("_turns").alias("n")).collect()}
+    drawn = held.groupBy("_nr").agg(F.sum("_turns").alias("n"), F.count_if(F.col("_turns") > 0).alias("blocks")).collect()
+    quota = {r["_nr"]: r["n"] for r in drawn}
     dealt = split_quotas(np.array([quota.get(i, 0) for i in range(len(sums))], np.int64), shards, seed)
     ends = np.cumsum(dealt, axis=1)
     limits = spark.createDataFrame([(i, ends[i].tolist()) for i in range(len(sums))], "_nr int, _ends array<long>")
@@ -217,6 +220,9 @@ def mix(docs: DataFrame, weights: Callable[[list], dict] | dict = ranked_weights
     placed = turns.groupBy("_nr", "_block").agg(
         F.min("_room").alias("_room"), F.min("_part").alias("_part"), F.min("_turns").alias("_turns"),
         F.array_sort(F.collect_list(F.struct("_turn", "_shard"))).alias("_places"))
+    # One row for some BLOCK_ROWS documents; without the hint Spark, which cannot tell, shuffles all kept columns twice.
+    if sum(r["blocks"] for r in drawn) <= BROADCAST_BLOCKS:
+        placed = F.broadcast(placed)
 
     # The zone is filled by sizes alone; what is taken comes back by row.
     rows = rows.join(placed, ["_nr", "_block"], "left")

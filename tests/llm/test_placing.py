@@ -186,3 +186,13 @@ def test_no_texts_in_the_driver(make_docs):
     """What reaches the driver is bounded by the atoms, not by the rows."""
     docs = make_docs([(i, f"text {i}", "en", "a") for i in range(500)])
     assert sharding.shard_documents(docs, 4, atoms=16).agg(F.countDistinct("shard")).first()[0] == 4
+
+
+def test_the_mix_moves_kept_columns_only_for_the_zone(spark):
+    """Drawn blocks come to the rows; when they were joined by a shuffle, every kept text was written to disk twice on the way."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b c "), F.col("id")).alias("text"),
+                                    F.concat(F.lit("s"), F.col("id") % 3).alias("source"), F.repeat(F.lit("x"), 50).alias("more"))
+    mixed = mixing.mix(docs, keep=("more",))
+    plan = mixed._jdf.queryExecution().sparkPlan().toString()
+    assert not [line for line in plan.splitlines() if "SortMergeJoin [_nr" in line or "ShuffledHashJoin [_nr" in line]
+    assert mixed.count() == 3000
