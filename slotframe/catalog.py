@@ -945,11 +945,9 @@ def ledger_compact(spark, sf):
 
 def order_files(spark: SparkSession, sf: str, turns: tuple[int, ...],
                 records: Callable[[DataFrame], DataFrame] = fx.raw_transactions_of) -> DataFrame:
-    """Orders as a stream of one file after another, by a third of the keys each."""
-    path, orders = new_path(spark, "orders"), fx.table(spark, sf, "orders")
-    for turn in turns:
-        orders.where(F.col("o_orderkey") % 3 == turn).coalesce(1).write.mode("append").parquet(path)
-    return records(file_stream(spark, path, orders.schema, files_per_trigger=1))
+    """Orders as a stream that lands in turns, by a third of the keys each."""
+    orders = fx.table(spark, sf, "orders")
+    return records(fx.landed_stream([orders.where(F.col("o_orderkey") % 3 == turn) for turn in turns], "orders"))
 
 
 def tx_stream(spark: SparkSession, sf: str, turns: tuple[int, ...], more_fee: int) -> DataFrame:

@@ -36,6 +36,20 @@ def table_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return file_stream(spark, f"{sf}/{name}.parquet", static.schema)
 
 
+LANDED_ROWS = 100_000
+"""Rows of a landed file, as far as one task should read."""
+
+
+def landed_stream(turns: list[DataFrame], label: str) -> DataFrame:
+    """Rows that land one turn after the other, as a stream with a micro-batch for each turn. Every turn has the same number
+    of files, as many as the largest needs, so that a micro-batch is one turn and many tasks read it."""
+    spark, schema = turns[0].sparkSession, turns[0].schema
+    path, files = new_path(spark, label), -(-max(1, *[turn.count() for turn in turns]) // LANDED_ROWS)
+    for turn in turns:
+        (turn.repartition(files) if files > 1 else turn.coalesce(1)).write.mode("append").parquet(path)
+    return file_stream(spark, path, schema, files_per_trigger=files)
+
+
 def drain(stream: DataFrame, label: str) -> DataFrame:
     """Runs a stream over all available files into a folder and returns what it wrote."""
     spark = stream.sparkSession

@@ -111,3 +111,23 @@ def test_a_batch_keeps_its_stamp(spark, tmp_path):
     sink = ingest.Sink(str(tmp_path / "sink"), ("signature",), ("slot",))
     first = ingest.batch_stamp(spark, sink, 3)
     assert ingest.batch_stamp(spark, sink, 3) == first < ingest.batch_stamp(spark, sink, 4)
+
+
+def test_a_turn_lands_in_many_files_and_one_micro_batch(spark, monkeypatch):
+    """A turn that lands as one file is written and read by one task, however many rows it has."""
+    from pyspark.sql import functions as F
+
+    from slotframe import fixtures as fx
+    from slotframe.session import new_path
+
+    monkeypatch.setattr(fx, "LANDED_ROWS", 10)
+    rows, seen = spark.range(90).select("id", (F.col("id") % 3).alias("turn")), []
+    stream = fx.landed_stream([rows.where(F.col("turn") == t) for t in (2, 0, 1)], "turns").withColumn("file", F.col("_metadata.file_path"))
+
+    def look(batch, batch_id):
+        found = batch.collect()
+        seen.append(({r.turn for r in found}, len(found), len({r.file for r in found})))
+
+    stream.writeStream.foreachBatch(look).option("checkpointLocation", new_path(spark, "check")) \
+        .trigger(availableNow=True).start().awaitTermination()
+    assert seen == [({2}, 30, 3), ({0}, 30, 3), ({1}, 30, 3)]
