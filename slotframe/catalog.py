@@ -1104,10 +1104,8 @@ SELECT 'wallets_' || event_type AS table_name, CAST(user_id AS VARCHAR) AS pubke
   THEN upper(substr(event_type, 1, 1)) || substr(event_type, 2) END AS label, 'snapshot' AS source, observed_at, k AS k_of_data FROM c""")
 def snapshot_states(spark, sf):
     """Three snapshots as a stream, in the typed account tables."""
-    events, folder, path = fx.table(spark, sf, "events"), new_path(spark, "accounts"), new_path(spark, "snapshots")
-    for cut in SNAPSHOTS:
-        events.where(F.col("ts") < F.lit(cut).cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(folder)
-    stream = fx.raw_accounts_of(file_stream(spark, folder, events.schema, files_per_trigger=1))
+    events, path = fx.table(spark, sf, "events"), new_path(spark, "snapshots")
+    stream = fx.raw_accounts_of(fx.landed_stream([events.where(F.col("ts") < F.lit(cut).cast("timestamp_ntz")) for cut in SNAPSHOTS], "accounts"))
     snapshot.run_snapshots(stream, [wallets()], path).awaitTermination()
     out = None
     for layout in wallets().accounts:
