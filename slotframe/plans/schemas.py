@@ -97,19 +97,33 @@ def derive_schemas(interface: Interface) -> dict[str, T.StructType]:
 SCHEMA_ROWS = "program_id STRING, table_name STRING, ordinal INT, column_name STRING, column_type STRING"
 
 
+TASKS_PER_CORE = 4
+
+
+def _columns_of(schema: T.StructType) -> tuple[list[int], list[str], list[str]]:
+    return list(range(len(schema))), schema.names, [f.dataType.simpleString() for f in schema]
+
+
 def schema_table(documents: DataFrame) -> DataFrame:
-    """Schemas of many definitions as rows, from (program_id, json); one task row per definition."""
+    """Schemas of many definitions as rows, from (program_id, json); one task row per definition.
+
+    Definitions take much longer to read than their bytes let Spark expect, so they are dealt out to all cores first.
+    """
+    core = {table: _columns_of(schema) for table, schema in CORE_TABLES.items()}
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
+            out = {f.name: [] for f in _schema(SCHEMA_ROWS)}
             for key, document in zip(batch["program_id"], batch["json"]):
                 for table, schema in derive_schemas(parse_interface(document, key)).items():
-                    out += [(key, table, i, f.name, f.dataType.simpleString())
-                            for i, f in enumerate(schema)]
-            yield pd.DataFrame(out, columns=[f.name for f in _schema(SCHEMA_ROWS)])
-
-    return documents.select("program_id", "json").mapInPandas(rows, SCHEMA_ROWS)
+                    found = core[table] if schema is CORE_TABLES.get(table) else _columns_of(schema)
+                    own = ([key] * len(schema), [table] * len(schema), *found)
+                    for column, values in zip(out.values(), own):
+                        column += values
+            yield pd.DataFrame(out)
+
+    tasks = TASKS_PER_CORE * documents.sparkSession.sparkContext.defaultParallelism
+    return documents.select("program_id", "json").repartition(tasks).mapInPandas(rows, SCHEMA_ROWS)
 
 
 @F.pandas_udf(T.StringType())

@@ -55,3 +55,18 @@ def test_filters_on_decoded_columns_do_not_multiply(spark, tmp_path):
 def test_unused_columns_are_not_read(spark):
     text = plan(entry.queries()["buckets_day"](spark, SF))
     assert "l_extendedprice" not in text and "l_partkey" not in text
+
+
+def test_definitions_of_one_file_are_read_by_many_tasks(spark):
+    """Definitions of a small file are one split; reading them all in one task took the time of all together."""
+    from pyspark.sql import functions as F
+
+    from slotframe.plans.schemas import schema_table
+
+    documents = spark.range(200).coalesce(1).select(F.col("id").cast("string").alias("program_id"),
+                                                    F.lit('{"name":"sync","accounts":[{"name":"State"}]}').alias("json"))
+    found = schema_table(documents)
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    # the definition's own table is called like one of the core tables, and takes its place
+    tables = {r.table_name: r["count"] for r in found.groupBy("table_name").count().collect()}
+    assert tables == {"sync_state": 7 * 200, "transactions": 7 * 200, "instructions": 12 * 200}
