@@ -662,11 +662,13 @@ def flatten_inner(spark, sf):
 @query(f"""WITH {SQL_FLAT} SELECT CAST(o_orderkey AS VARCHAR) AS transaction_signature, outer_index, coalesce(inner_index, -1) AS inner_index, accounts,
 replace(accounts, ',-', '') AS compact FROM flat""")
 def resolve_accounts(spark, sf):
-    compact = fl.flatten_instructions(fx.raw_transactions(spark, sf), compact=True)
-    key = ["transaction_signature", "outer_index"]
-    short = compact.select(*key, minus("inner_index"), F.col("accounts").alias("compact"))
-    both = flat(spark, sf).select(*key, minus("inner_index"), "accounts").join(short, [*key, "inner_index"])
-    return both.select("transaction_signature", "outer_index", "inner_index", key_text(F.col("accounts")).alias("accounts"), key_text(F.col("compact")).alias("compact"))
+    """Accounts with and without the missing ones, side by side in the row of the transaction."""
+    raw = fx.raw_transactions(spark, sf)
+    pairs = F.zip_with(fl.instruction_array(raw), fl.instruction_array(raw, compact=True),
+                       lambda whole, short: F.struct(whole.alias("whole"), short["accounts"].alias("compact")))
+    both = raw.select(F.col("signature").alias("transaction_signature"), F.explode(pairs).alias("p")).select(
+        "transaction_signature", "p.whole.*", "p.compact")
+    return both.select("transaction_signature", "outer_index", minus("inner_index"), key_text(F.col("accounts")).alias("accounts"), key_text(F.col("compact")).alias("compact"))
 
 
 @query(f"""WITH {SQL_FLAT} SELECT CAST(o_orderkey AS VARCHAR) AS transaction_signature, outer_index, coalesce(inner_index, -1) AS inner_index

@@ -107,3 +107,12 @@ def test_unreadable_records_keep_their_row(spark, text, status):
     rows = unpack_messages(df)
     assert [r.unpack_status for r in rows.collect()] == [status]
     assert flatten_instructions(rows).count() == (1 if status == "ok" else 0)
+
+
+def test_accounts_with_and_without_missing_ones_need_no_shuffle(spark):
+    """The two lists come from one row; a join of all instructions with themselves moved every key twice."""
+    from slotframe import catalog
+
+    rows = catalog.QUERIES["resolve_accounts"](spark, "/root/testdata/sf0.001")
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert all(r.compact == r.accounts.replace(",-", "") for r in rows.limit(50).collect())
