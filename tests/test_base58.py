@@ -50,3 +50,18 @@ def test_functions_travel_without_the_package(tmp_path):
     done = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps((encode_values, parse_message)),
                           cwd=tmp_path, capture_output=True, timeout=60)
     assert done.stdout.decode().strip() == "['2g'] None", done.stderr.decode()
+
+
+def test_equal_values_of_a_batch_are_converted_once(spark):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from slotframe.functions import base58 as b58
+
+    seen = []
+    got = b58._each_once(pa.array([b"\x01", None, b"\x02", b"\x01", b""]), lambda v: seen.extend(v) or b58.encode_values(v), pa.string())
+    assert got.to_pylist() == ["2", None, "3", "2", ""] and sorted(seen) == [b"", b"\x01", b"\x02"]
+    rows = [[b"\x01", None, b"\x01"], None, [], [b"", b"\x02" * 32], [None]]
+    lists = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, keys array<binary>").coalesce(1)
+    shown = {r.i: r.t for r in lists.select("i", b58.base58_list(F.col("keys")).alias("t")).collect()}
+    assert shown == {i: None if r is None else b58.encode_values(r) for i, r in enumerate(rows)}
