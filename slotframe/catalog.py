@@ -936,10 +936,11 @@ def upsert(spark, sf):
   PARTITION BY transaction_signature, outer_index ORDER BY slot % 24, indexed_at, part, price, program_id, instruction_name) AS n FROM ix) WHERE n = 1""")
 def ledger_compact(spark, sf):
     """Two dozen batches, each of which comes a second time as well; folders are merged on the way."""
-    path, rows = new_path(spark, "compacted"), fx.instructions(spark, sf)
+    path, landed, rows = new_path(spark, "compacted"), new_path(spark, "landed"), fx.instructions(spark, sf)
     order = ["indexed_at", "part", "price", "program_id", "instruction_name"]
+    tables.write_batch(rows.withColumn("turn", F.col("slot") % 24), landed, 0, ("turn",))
     for batch_id in range(24):
-        batch = rows.where(F.col("slot") % 24 == batch_id)
+        batch = tables.read_or_empty(spark, f"{landed}/batch_id=0/turn={batch_id}", rows.schema)
         tables.write_ledger(batch, path, batch_id, IX_KEY, order)
         tables.write_ledger(batch, path, batch_id, IX_KEY, order)
     return tables.read_ledger(spark, path, rows.schema).select(*IX_COLUMNS)

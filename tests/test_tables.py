@@ -221,3 +221,14 @@ def test_an_old_table_costs_a_batch_no_more(spark, tmp_path, monkeypatch):
     assert len({n for n in read if n.endswith(manifest.version_name(999))}) == 1 and len(set(read)) == 2
     stored = read_ledger(spark, path, schema)
     assert stored.count() == len(listed) + 1 and len(stored.inputFiles()) <= len(listed) + 1
+
+
+def test_ledger_batches_do_not_read_the_whole_table_each(spark, monkeypatch):
+    """Two dozen batches land once; each used to read all line items for its own part of them."""
+    from slotframe import catalog
+
+    read = []
+    monkeypatch.setattr(catalog.tables, "write_ledger", lambda batch, *rest: read.append(batch.inputFiles()))
+    catalog.QUERIES["ledger_compact"](spark, "/root/testdata/sf0.001")
+    assert len(read) == 48 and any(read)
+    assert not [f for files in read for f in files if "lineitem" in f]
