@@ -30,6 +30,8 @@ SAMPLE_BYTES = 8_000_000
 """UTF-8 bytes of them for each language, at most about so many."""
 FEW = 16
 """Texts for each language at least, if there are so many, whatever their size."""
+SLICE = 1_000_000
+"""Bytes of texts whose words are weighed together, at most about so many, or one text."""
 PENALTY = 3.0
 """What one more language must gain, times 1 + log(words)."""
 FLOOR = -8.0
@@ -187,13 +189,14 @@ def choose(logs: np.ndarray, counts: np.ndarray, start: np.ndarray) -> tuple[np.
     return share.T, best - alone
 
 
-def identify_batches(model: Model) -> object:
+def identify_batches(model: Model, text_at: int = -1, kept: int = -1) -> object:
+    """The first ``kept`` columns of a batch with what is found in the texts of column ``text_at``."""
     k = len(model.languages)
     by_language = np.ascontiguousarray(model.logs.T)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, -1):
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+        for batch in slices(batches, text_at, SLICE):
+            texts = batch.column(text_at).to_pylist()
             rows: list[tuple] = [(UNDETERMINED, 0.0, [], [], 0.0)] * len(texts)
             words, counts, sizes, docs = [], [], [], []
             seen: dict[str, int] = {}
@@ -217,8 +220,8 @@ def identify_batches(model: Model) -> object:
             columns = list(zip(*rows)) if rows else [[]] * 5
             kinds = (pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64()), pa.float64())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], *[pa.array(c, t) for c, t in zip(columns, kinds)]],
-                [*batch.schema.names[:-1], "lang_pred", "score", "languages", "proportions", "gain"])
+                [*batch.columns[:kept], *[pa.array(c, t) for c, t in zip(columns, kinds)]],
+                [*batch.schema.names[:kept], "lang_pred", "score", "languages", "proportions", "gain"])
 
     return run
 
@@ -232,9 +235,11 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[
     languages. Ties go to the language that sorts first. Whole texts are read; the work of a task is bounded
     by an Arrow batch. Columns named like the results are not carried along.
     """
-    own = docs.select(*keep, F.col(text_col).alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1])
-    return own.mapInArrow(identify_batches(model), ", ".join(filter(None, (kinds, SCHEMA))))
+    # a text that is kept goes to Python once
+    own = docs.select(*keep) if text_col in keep else docs.select(*keep, F.col(text_col).alias("_text"))
+    text_at = keep.index(text_col) if text_col in keep else len(keep)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:len(keep)])
+    return own.mapInArrow(identify_batches(model, text_at, len(keep)), ", ".join(filter(None, (kinds, SCHEMA))))
 
 
 def held_out(id_col: str, parts: int, part: int) -> Column:

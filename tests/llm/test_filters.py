@@ -3,9 +3,11 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
+
 from slotframe.llm import decontam, langid, quality, urlfilter
 from slotframe.llm.common import join_counted
 
@@ -174,6 +176,26 @@ def test_language_of_odd_rows(odd_docs, make_docs, language_model):
     assert langid.identify(make_docs([]), language_model).collect() == []
 
 
+def test_kept_text_goes_to_python_once(make_docs, language_model):
+    """A batch holds a text that is kept once, and results are those of a text that is not kept."""
+    docs = make_docs([(i, f"the lazy dog {i} and the brown fox", "en", "a") for i in range(5)])
+    kept = langid.identify(docs, language_model, keep=("doc_id", "text", "lang"))
+    assert " AS _text" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    alone = langid.identify(docs, language_model)
+    assert kept.columns == ["doc_id", "text", "lang", *alone.columns[1:]]
+    assert sorted(kept.drop("text", "lang").collect()) == sorted(alone.collect())
+    assert sorted(kept.select(*docs.columns[:3]).collect()) == sorted(docs.select(*docs.columns[:3]).collect())
+
+
+def test_few_texts_are_weighed_together(language_model):
+    """A large batch comes back in parts of about SLICE bytes, all rows in their order."""
+    texts = [f"the lazy dog {i} " * 4000 for i in range(60)]
+    batch = pa.RecordBatch.from_pydict({"text": texts, "doc_id": list(range(60))})
+    parts = list(langid.identify_batches(language_model, 0, 2)(iter([batch])))
+    assert [i for p in parts for i in p.column(1).to_pylist()] == list(range(60))
+    assert all(sum(map(len, p.column(0).to_pylist())) < 2 * langid.SLICE for p in parts)
+
+
 def test_quality(make_docs, spark):
     rng = random.Random(2)
     rows, labels = [], []
