@@ -3,9 +3,11 @@
 A line is the set of its words. Equal sets form a class, named by its first occurrence (document, line). Words
 are ordered by rarity over all lines; two sets that are similar enough share one of their few rarest words (prefix
 filter), so classes meet by the words of their prefixes. Where they meet, their sizes (length filter), the places
-of the shared word (positional filter) and a 64-bit picture of the sets (the parity of how many words fall into
+of the shared word (positional filter) and a picture of the sets in 128 bits (the parity of how many words fall into
 each cell, which differs in no more cells than the sets in words) bound how many words they can share; what passes is verified on the whole sets.
 
+Postings are dealt out by word to parts of like size, and cross the shuffle as packed records, many in a row.
+
 Only whether a line has an earlier match matters. So for classes that meet another one finer pictures are drawn, and
 each verifies the closest of those before it that these allow; classes that are removed by then, or have none, need no
 more. The others verify all that pictures allow, so none is missed, while a large family of variants costs a pair for
@@ -38,6 +40,11 @@ BLOCK = 4096
 CELLS = 13
 """Finer pictures have 2 to the power of 13 cells at most, whatever the length of a line."""
 ROOM = 32_000_000
+PART = 1 << 18
+"""Postings that meet in one part, about."""
+SHARE = 16
+"""Busy words are sought among the classes of one part in so many; those it misses are found where postings meet."""
+RECORD = np.dtype([("key", "<i4"), ("line", "<i4"), ("n", "<i4"), ("place", "<i4"), ("doc", "<i8"), ("bits", "<i8"), ("more", "<i8")])
 POSTING = "token int, doc long, line int, size long, bits long"
 KEYED = "key long, doc long, line int, size long, bits long, side int"
 BOTH = 2
@@ -56,7 +63,7 @@ def bucket(tokens: np.ndarray) -> np.ndarray:
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(BUCKETS, np.int64)
-    for batch in slices(batches, 0):
+    for batch in slices(batches, 0, 500_000):
         raw = [t.encode("utf-8", "surrogatepass") for t in batch.column(0).to_pylist() if t]
         if raw:
             total += np.bincount(bucket(word_hashes(raw)[0]), minlength=BUCKETS)
@@ -102,7 +109,8 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def describe(counts: np.ndarray, percent: int) -> Callable:
-    """Rows (id, text) to lines: digest of the set, its size, its prefix and its picture. A prefix has half of each word's hash: where
+    """Rows (id, text) to lines: digest of the set, its size, its prefix and its picture: which of 64 cells are odd, and which
+    cells of 128 are, of those in the upper half. A prefix has half of each word's hash: where
     halves agree by chance, classes meet that need not, and whole sets are verified in any case."""
     rank = np.zeros(BUCKETS, np.int64)
     rank[np.argsort(counts, kind="stable")] = np.arange(BUCKETS)
@@ -118,7 +126,10 @@ def describe(counts: np.ndarray, percent: int) -> Callable:
             owner = np.repeat(np.arange(len(lines)), n)
             with np.errstate(over="ignore"):
                 digest = np.stack([np.add.reduceat(mix64(tokens + M1), start[full]), np.add.reduceat(mix64(tokens ^ M1), start[full])], 1)
-            bits = np.bitwise_xor.reduceat(np.uint64(1) << (mix64(tokens) & np.uint64(63)), start[full])
+            cell = mix64(tokens)
+            mark = np.uint64(1) << (cell & np.uint64(63))
+            bits = np.bitwise_xor.reduceat(mark, start[full])
+            more = np.bitwise_xor.reduceat(np.where(cell & np.uint64(64), mark, np.uint64(0)), start[full])
             order = np.argsort(owner * BUCKETS + rank[bucket(tokens)], kind="stable")  # words of one bucket stay in the order of their hashes
             place = np.arange(len(tokens)) - start[owner]
             kept = order[place < prefix_length(n, percent)[owner]]
@@ -129,8 +140,9 @@ def describe(counts: np.ndarray, percent: int) -> Callable:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(doc)), pa.array(number.astype(np.int32)),
                  pa.array([d.tobytes() for d in digest], pa.binary()), pa.array(n[full].astype(np.int32)), pa.array(bits.view(np.int64)),
+                 pa.array(more.view(np.int64)),
                  pa.ListArray.from_arrays(pa.array(ends), pa.array((tokens[kept] >> np.uint64(32)).astype(np.uint32).view(np.int32)))],
-                ["doc", "line", "digest", "n", "bits", "prefix"])
+                ["doc", "line", "digest", "n", "bits", "more", "prefix"])
     return run
 
 
@@ -183,13 +195,6 @@ def sieve_from(marks: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def as_longs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces with 64 bits a number, the first one lowest."""
-    for batch in batches:
-        bits = [np.frombuffer(b, np.int64) for b in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.list_(pa.int64()))], ["_piece", "_bits"])
-
-
 def sieve_of(names: DataFrame) -> np.ndarray:
     """A bit for each name's hash, whatever the number of names."""
     return sieve_from(names.select("doc", "line").mapInArrow(mark_sieve, "at long"))
@@ -202,8 +207,9 @@ def least_common(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
 
 def meetings(columns: list[np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (earlier class, later class) under one key that all filters let pass; no position is twice among the later ones
-    of a step. Rows (key, doc, line, size, bits, side) are sorted by key and size."""
-    key, doc, line, size, bits, side = columns
+    of a step. Rows (key, doc, line, size, bits, side) are sorted by key and size. They may have the upper half of a picture of
+    twice the cells at their end."""
+    key, doc, line, size, bits, side, *more = columns
     n, place = size >> 32, size & 0xFFFFFFFF
     i, step = np.arange(len(key)), 1
     while True:
@@ -216,7 +222,13 @@ def meetings(columns: list[np.ndarray], percent: int) -> Iterator[tuple[np.ndarr
         need = least_common(n[i], n[j], percent)
         ok = (np.minimum(n[i] - place[i], n[j] - place[j]) >= need) & ((side[i] != side[j]) | (side[i] == BOTH))
         a, b, need = i[ok], j[ok], need[ok]
-        bound = (n[a] + n[b] - np.bitwise_count((bits[a] ^ bits[b]).view(np.uint64))) // 2
+        mixed = (bits[a] ^ bits[b]).view(np.uint64)
+        if more:
+            upper = (more[0][a] ^ more[0][b]).view(np.uint64)
+            differ = np.bitwise_count(upper).astype(np.int64) + np.bitwise_count(mixed ^ upper)
+        else:
+            differ = np.bitwise_count(mixed).astype(np.int64)
+        bound = (n[a] + n[b] - differ) // 2
         ok = (bound >= need) & ((doc[a] != doc[b]) | (line[a] != line[b]))
         a, b = a[ok], b[ok]
         less = (doc[a] < doc[b]) | ((doc[a] == doc[b]) & (line[a] < line[b]))
@@ -249,6 +261,77 @@ def by_key(found: Callable, width: int, rows: int = 1 << 17, size: int = 1 << 24
     return run
 
 
+def deal(parts: int, busy: np.ndarray) -> Callable:
+    """Classes (doc, line, n, bits, more, prefix) to their postings, packed by part. A word has one part; postings of ``busy``
+    words, which meet elsewhere, go to all parts alike."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column(5).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            cuts = np.flatnonzero(np.diff((np.cumsum(held) - held) // PART)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(held)]):
+                some, per = batch.slice(lo, hi - lo), held[lo:hi]
+                owner = np.repeat(np.arange(hi - lo), per)
+                rows = np.empty(len(owner), RECORD)
+                rows["key"] = some.column(5).flatten().to_numpy()
+                rows["place"] = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
+                for k, name in enumerate(("doc", "line", "n", "bits", "more")):
+                    rows[name] = some.column(k).to_numpy()[owner]
+                by = np.where(np.isin(rows["key"], busy), rows["doc"] + rows["line"], rows["key"]).astype(np.int64)
+                part = (mix64(by.view(np.uint64) + M1) % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                rows, ends = rows[order], np.cumsum(np.bincount(part, minlength=parts))
+                own = np.flatnonzero(np.diff(ends, prepend=0))
+                packed = [rows[e - c: e].tobytes() for e, c in zip(ends[own].tolist(), np.diff(ends, prepend=0)[own].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(packed, pa.binary())], ["part", "rows"])
+    return run
+
+
+def meet(percent: int, busy: np.ndarray) -> Callable:
+    """Packed postings of whole parts to those that meet another one, and to all postings of busy words: ``busy`` ones and all
+    that have more than BLOCK postings."""
+    def found(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        rows = np.frombuffer(b"".join(columns[1]), RECORD)
+        size = rows["n"].astype(np.int64) << 32 | rows["place"]
+        order = np.lexsort((size, rows["key"]))
+        rows, size = rows[order], size[order]
+        key = rows["key"].astype(np.int64)
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        count = np.diff(np.append(first, len(key)))
+        hot = np.repeat((count > BLOCK) | np.isin(rows["key"][first], busy), count)
+        alone = np.repeat(count < 2, count)
+        for own, is_hot in ((hot, True), (~hot & ~alone, False)):
+            own = np.flatnonzero(own)
+            held = [key[own], *[np.ascontiguousarray(rows[c][own]) for c in ("doc", "line")], size[own],
+                    np.ascontiguousarray(rows["bits"][own]), np.full(len(own), BOTH, np.int32)]
+            if not is_hot and len(own):
+                seen = np.zeros(len(own), bool)
+                for a, b in meetings([*held, np.ascontiguousarray(rows["more"][own])], percent):
+                    seen[a] = seen[b] = True
+                held = [c[seen] for c in held]
+            if len(held[0]):
+                yield pa.RecordBatch.from_arrays([*map(pa.array, held), pa.array(np.full(len(held[0]), is_hot))],
+                                                 ["key", "doc", "line", "size", "bits", "side", "hot"])
+    return by_key(found, 2)
+
+
+def met(classes: DataFrame, percent: int) -> DataFrame:
+    """Postings (KEYED) that meet another one under their key: their word, or two blocks of a busy word."""
+    prefix = classes.select("doc", "line", "n", "bits", "more", "prefix")
+    total = classes.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    some = prefix.where(F.pmod(F.xxhash64("doc", "line"), F.lit(SHARE)) == 0).select(F.explode("prefix").alias("token"))
+    words = some.groupBy("token").agg(F.count("*").alias("rows")).where(F.col("rows") * SHARE > 4 * BLOCK).collect()
+    busy, parts = np.array([r["token"] for r in words], np.int32), 1 + total // PART
+    packed = prefix.mapInArrow(deal(parts, busy), "part int, rows binary").repartition(parts, "part").sortWithinPartitions("part")
+    found = stored(packed.mapInArrow(meet(percent, busy), f"{KEYED}, hot boolean"), "meetings")
+    members = found.where("not hot").drop("hot")
+    hot = found.where("hot").select(F.col("key").cast("int").alias("token"), "doc", "line", "size", "bits")
+    several = stored(hot.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1"), "meeting-words")
+    if not several.limit(1).count():
+        return members
+    sorted_ = keyed(hot, several, percent).repartition("key").sortWithinPartitions("key", "size")
+    return members.unionByName(stored(sorted_.mapInArrow(partners(percent), KEYED), "busy-meetings"))
+
+
 def partners(percent: int) -> Callable:
     """Classes that meet another one."""
     def found(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -346,18 +429,6 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.select(later.alias("_later")).select("_later.doc", "_later.line").distinct()
 
 
-def meeting(postings: DataFrame, several: DataFrame) -> DataFrame:
-    """The postings without those whose word has one posting only: they can meet nothing. The words with several postings
-    become a sieve of fixed size (2 MB), so what is dropped is never shuffled; with more words than the sieve has room for, a
-    join takes its place."""
-    if several.count() > SIEVE_BITS // 8:
-        return postings.join(several, "token", "left_semi").select(*postings.columns)
-    at = F.pmod(F.xxhash64("token"), F.lit(SIEVE_BITS))
-    sieve = pieces_of(several.select(at.alias("at"))).mapInArrow(as_longs, "_piece long, _bits array<long>")
-    held = postings.withColumn("_at", at).join(F.broadcast(stored(sieve, "sieve")), F.expr(f"_at div {SIEVE_PIECE}") == F.col("_piece"))
-    return held.where(F.expr(f"getbit(_bits[int(_at % {SIEVE_PIECE} div 64)], int(_at % 64))") == 1).select(*postings.columns)
-
-
 def keyed(postings: DataFrame, several: DataFrame, percent: int) -> DataFrame:
     """Postings by the key under which they meet: their word, or for a word with more than BLOCK of them two blocks that may
     hold similar sets. Blocks follow sizes and places, of which a word has few; large ones are spread over several blocks."""
@@ -423,17 +494,12 @@ def line_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     own = numbered(docs, id_col, text_col)
     counts = rarity(docs, text_col)
-    lines = stored(own.select("doc", "text").mapInArrow(describe(counts, percent), "doc long, line int, digest binary, n int, bits long, prefix array<int>"), "lines")
+    lines = own.select("doc", "text").mapInArrow(describe(counts, percent), "doc long, line int, digest binary, n int, bits long, more long, prefix array<int>")
+    lines = stored(lines, "lines")
     classes = lines.groupBy("digest").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("rows"),
-                                          F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
-    classes = stored(classes.select("digest", "first.doc", "first.line", "rows", "n", "bits", "prefix"), "line-classes")
-    postings = classes.select("doc", "line", "n", "bits", F.posexplode("prefix").alias("place", "token"))
-    size = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("place").cast("long"))
-    postings = postings.select("token", "doc", "line", size.alias("size"), "bits")
-    several = stored(postings.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1"), "meeting-words")
-    postings = keyed(meeting(postings, several), several, percent)
-    sorted_ = postings.repartition("key").sortWithinPartitions("key", "size")
-    members = stored(sorted_.mapInArrow(partners(percent), KEYED), "meetings")
+                                          *[F.first(c).alias(c) for c in ("n", "bits", "more", "prefix")])
+    classes = stored(classes.select("digest", "first.doc", "first.line", "rows", "n", "bits", "more", "prefix"), "line-classes")
+    members = met(classes, percent)
 
     names = stored(members.select("doc", "line").distinct(), "meeting-lines")
     sets = own.select("doc", "text").mapInArrow(wanted_sets(sieve_of(names)), "doc long, line int, words array<long>")

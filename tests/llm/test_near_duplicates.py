@@ -5,6 +5,7 @@ import random
 import pytest
 
 import numpy as np
+import pyarrow as pa
 
 from slotframe.llm import linededup, minhash
 from slotframe.llm.components import components
@@ -218,6 +219,40 @@ def test_faces_hold_each_pair_that_filters_allow_once(spark):
     assert max(map(len, under.values())) <= 2 * 64
 
 
+@pytest.mark.parametrize("share", [1, 16])
+def test_lines_of_busy_words_in_small_parts(make_docs, monkeypatch, share):
+    """Many parts, and busy words known before postings are dealt out or only where they meet: no match is lost, none added."""
+    for name, value in (("BLOCK", 3), ("PART", 16), ("SHARE", share)):
+        monkeypatch.setattr(linededup, name, value)
+    rng = random.Random(share)
+    rows = []
+    for i in range(90):
+        body = [f"t{k}" for k in range(rng.choice((6, 9, 10, 12)))]
+        for _ in range(rng.choice((0, 1, 1, 2, 3))):
+            body[rng.randrange(len(body))] = f"z{rng.randrange(60)}"
+        rows.append((i, f"id {rng.randrange(50)} status {rng.choice('ab')} done\n" + " ".join(body)))
+    found = linededup.line_matches(make_docs([(i, t, "en", "s") for i, t in rows]))
+    assert {r.doc_id: r.removed for r in found.collect()} == brute_lines(rows)
+
+
+def test_long_lines_do_not_meet_by_chance():
+    """Long lines with a word in common: none but the alike ones meet, which 64 cells could not tell apart."""
+    rng = random.Random(6)
+    lines = [["shared", *[f"w{rng.randrange(10**6)}" for _ in range(159)]] for _ in range(300)]
+    lines += [[*line[:150], *[f"y{i}-{k}" for k in range(10)]] for i, line in enumerate(lines[:40])]
+    docs = pa.RecordBatch.from_pydict({"doc": pa.array(range(len(lines)), pa.int64()), "text": [" ".join(x) for x in lines]})
+    rows = pa.Table.from_batches(list(linededup.describe(np.zeros(linededup.BUCKETS, np.int64), 80)(iter([docs]))))
+    n, doc = rows["n"].to_numpy().astype(np.int64), rows["doc"].to_numpy()
+    order = np.argsort(n << 32, kind="stable")
+    zero = np.zeros(len(n), np.int64)
+    columns = [zero, doc[order], zero, n[order] << 32, rows["bits"].to_numpy()[order], zero + linededup.BOTH]
+    pairs = [{(int(columns[1][a]), int(columns[1][b])) for x, y in linededup.meetings(c, 80) for a, b in zip(x, y)}
+             for c in (columns, [*columns, rows["more"].to_numpy()[order]])]
+    alike_ones = {(i, 300 + i) for i in range(40)}
+    assert alike_ones <= pairs[1] <= pairs[0]
+    assert len(pairs[1]) < 60 and len(pairs[0]) > 10 * len(pairs[1])
+
+
 def test_lines_are_cut_out(make_docs):
     docs = make_docs([(1, "a b c\nkeep me\n", "en", "s"), (2, "x\nA B C\n\nA b c", "en", "s"), (None, "a b c\nnew", "en", "s"), (3, None, "en", "s")])
     got = linededup.remove_lines(docs, linededup.line_matches(docs)).collect()
