@@ -40,11 +40,14 @@ BLOCK = 4096
 CELLS = 13
 """Finer pictures have 2 to the power of 13 cells at most, whatever the length of a line."""
 ROOM = 32_000_000
+PAIRS = 1 << 16
+"""Pairs tried in one step, about."""
 PART = 1 << 18
 """Postings that meet in one part, about."""
 SHARE = 16
 """Busy words are sought among the classes of one part in so many; those it misses are found where postings meet."""
 RECORD = np.dtype([("key", "<i4"), ("line", "<i4"), ("n", "<i4"), ("place", "<i4"), ("doc", "<i8"), ("bits", "<i8"), ("more", "<i8")])
+LINE = ["doc", "line", "digest", "n", "bits", "more", "prefix", "again"]
 POSTING = "token int, doc long, line int, size long, bits long"
 KEYED = "key long, doc long, line int, size long, bits long, side int"
 BOTH = 2
@@ -63,7 +66,7 @@ def bucket(tokens: np.ndarray) -> np.ndarray:
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(BUCKETS, np.int64)
-    for batch in slices(batches, 0, 500_000):
+    for batch in slices(batches, 0, 2_000_000):
         raw = [t.encode("utf-8", "surrogatepass") for t in batch.column(0).to_pylist() if t]
         if raw:
             total += np.bincount(bucket(word_hashes(raw)[0]), minlength=BUCKETS)
@@ -104,20 +107,36 @@ def token_sets(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashed, np.bincount(owner, minlength=len(lines))
 
 
+def ordered(values: np.ndarray) -> np.ndarray:
+    """The places of the values from small to large, equal ones as they stand. Values are not negative; where they leave room
+    for the places, one plain sort does."""
+    room = int(len(values)).bit_length()
+    if len(values) and int(values.max()).bit_length() + room > 63:
+        return np.argsort(values, kind="stable")
+    return np.sort(values << room | np.arange(len(values))) & ((1 << room) - 1)
+
+
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - (n * percent + 99) // 100 + 1
 
 
-def describe(counts: np.ndarray, percent: int) -> Callable:
+def describe(counts: np.ndarray, percent: int, texts: bool = False) -> Callable:
     """Rows (id, text) to lines: digest of the set, its size, its prefix and its picture: which of 64 cells are odd, and which
     cells of 128 are, of those in the upper half. A prefix has half of each word's hash: where
-    halves agree by chance, classes meet that need not, and whole sets are verified in any case."""
+    halves agree by chance, classes meet that need not, and whole sets are verified in any case. ``again`` marks the
+    lines of a set that the same text has before. With ``texts`` each text has a row of its own beside its lines, of no words and with
+    the number of its lines."""
     rank = np.zeros(BUCKETS, np.int64)
     rank[np.argsort(counts, kind="stable")] = np.arange(BUCKETS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1, 2_000_000):
+        for batch in slices(batches, 1, 500_000):
             per, lines = cut_lines(batch.column(1).to_pylist())
+            if texts:
+                some, zero = batch.num_rows, np.zeros(batch.num_rows, np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(per.astype(np.int32)), pa.nulls(some, pa.binary()), pa.array(zero.astype(np.int32)),
+                     pa.array(zero), pa.array(zero), pa.nulls(some, pa.list_(pa.int32())), pa.array(zero != 0)], LINE)
             tokens, n = token_sets(lines)
             start = np.cumsum(n) - n
             full = np.flatnonzero(n)
@@ -130,19 +149,21 @@ def describe(counts: np.ndarray, percent: int) -> Callable:
             mark = np.uint64(1) << (cell & np.uint64(63))
             bits = np.bitwise_xor.reduceat(mark, start[full])
             more = np.bitwise_xor.reduceat(np.where(cell & np.uint64(64), mark, np.uint64(0)), start[full])
-            order = np.argsort(owner * BUCKETS + rank[bucket(tokens)], kind="stable")  # words of one bucket stay in the order of their hashes
+            order = ordered(owner * BUCKETS + rank[bucket(tokens)])  # words of one bucket stay in the order of their hashes
             place = np.arange(len(tokens)) - start[owner]
             kept = order[place < prefix_length(n, percent)[owner]]
             sizes = prefix_length(n[full], percent)
             ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             doc = np.repeat(np.arange(batch.num_rows), per)[full]
             number = (np.arange(len(lines)) - np.repeat(np.cumsum(per) - per, per))[full]
+            same = np.lexsort((digest[:, 1], digest[:, 0], doc))  # lines of one set and text stay in their order
+            again = np.zeros(len(full), bool)
+            again[same[1:]] = (doc[same[1:]] == doc[same[:-1]]) & (digest[same[1:]] == digest[same[:-1]]).all(1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(doc)), pa.array(number.astype(np.int32)),
                  pa.array([d.tobytes() for d in digest], pa.binary()), pa.array(n[full].astype(np.int32)), pa.array(bits.view(np.int64)),
                  pa.array(more.view(np.int64)),
-                 pa.ListArray.from_arrays(pa.array(ends), pa.array((tokens[kept] >> np.uint64(32)).astype(np.uint32).view(np.int32)))],
-                ["doc", "line", "digest", "n", "bits", "more", "prefix"])
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array((tokens[kept] >> np.uint64(32)).astype(np.uint32).view(np.int32))), pa.array(again)], LINE)
     return run
 
 
@@ -206,36 +227,39 @@ def least_common(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
 
 
 def meetings(columns: list[np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions (earlier class, later class) under one key that all filters let pass; no position is twice among the later ones
-    of a step. Rows (key, doc, line, size, bits, side) are sorted by key and size. They may have the upper half of a picture of
-    twice the cells at their end."""
+    """Positions (earlier class, later class) under one key that all filters let pass, some PAIRS of those tried in a step. Rows
+    (key, doc, line, size, bits, side) are sorted by key and number of words. They may have the upper half of a picture of twice the
+    cells at their end."""
     key, doc, line, size, bits, side, *more = columns
-    n, place = size >> 32, size & 0xFFFFFFFF
-    i, step = np.arange(len(key)), 1
-    while True:
-        i = i[i + step < len(key)]
-        j = i + step
-        live = (key[i] == key[j]) & (n[j] * percent <= n[i] * 100)  # sizes only grow: no later partner either
-        i, j = i[live], j[live]
-        if not len(i):
-            return
-        need = least_common(n[i], n[j], percent)
-        ok = (np.minimum(n[i] - place[i], n[j] - place[j]) >= need) & ((side[i] != side[j]) | (side[i] == BOTH))
-        a, b, need = i[ok], j[ok], need[ok]
+    if not len(key):
+        return
+    n, rest = size >> 32, (size >> 32) - (size & 0xFFFFFFFF)
+    group = np.cumsum(np.append(True, key[1:] != key[:-1]))
+    # sizes only grow: a row has enough words left for one behind it only if it has for one of its own size
+    own = np.flatnonzero(rest >= least_common(n, n, percent))
+    most = np.minimum(n[own] * 100 // percent, 0xFFFFFFFF)
+    reach = np.searchsorted(group << 32 | n, group[own] << 32 | most, side="right") - own - 1
+    own, reach = own[reach > 0], reach[reach > 0]
+    cuts = np.flatnonzero(np.diff((np.cumsum(reach) - reach) // PAIRS)) + 1
+    for i, per in zip(np.split(own, cuts), np.split(reach, cuts)):
+        a = np.repeat(i, per)
+        b = np.arange(len(a)) + np.repeat(i + 1 - np.cumsum(per) + per, per)
+        need = least_common(n[a], n[b], percent)
+        ok = np.flatnonzero(np.minimum(rest[a], rest[b]) >= need)
+        a, b, need = a[ok], b[ok], need[ok]
         mixed = (bits[a] ^ bits[b]).view(np.uint64)
         if more:
             upper = (more[0][a] ^ more[0][b]).view(np.uint64)
             differ = np.bitwise_count(upper).astype(np.int64) + np.bitwise_count(mixed ^ upper)
         else:
             differ = np.bitwise_count(mixed).astype(np.int64)
-        bound = (n[a] + n[b] - differ) // 2
-        ok = (bound >= need) & ((doc[a] != doc[b]) | (line[a] != line[b]))
+        ok = np.flatnonzero((n[a] + n[b] - differ) // 2 >= need)
+        a, b = a[ok], b[ok]
+        ok = ((side[a] != side[b]) | (side[a] == BOTH)) & ((doc[a] != doc[b]) | (line[a] != line[b]))
         a, b = a[ok], b[ok]
         less = (doc[a] < doc[b]) | ((doc[a] == doc[b]) & (line[a] < line[b]))
-        for first, then, part in ((a, b, less), (b, a, ~less)):
-            if part.any():
-                yield first[part], then[part]
-        step += 1
+        if len(a):
+            yield np.where(less, a, b), np.where(less, b, a)
 
 
 def by_key(found: Callable, width: int, rows: int = 1 << 17, size: int = 1 << 24) -> Callable:
@@ -271,15 +295,16 @@ def deal(parts: int, busy: np.ndarray) -> Callable:
             for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(held)]):
                 some, per = batch.slice(lo, hi - lo), held[lo:hi]
                 owner = np.repeat(np.arange(hi - lo), per)
+                key, place = some.column(5).flatten().to_numpy(), np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
+                spread = some.column(0).to_numpy() + some.column(1).to_numpy()
+                by = np.where(np.isin(key, busy), spread[owner], key).astype(np.int64)
+                part = (mix64(by.view(np.uint64) + M1) % np.uint64(parts)).astype(np.min_scalar_type(parts))
+                order = np.argsort(part, kind="stable")
+                ends, owner = np.cumsum(np.bincount(part, minlength=parts)), owner[order]
                 rows = np.empty(len(owner), RECORD)
-                rows["key"] = some.column(5).flatten().to_numpy()
-                rows["place"] = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
+                rows["key"], rows["place"] = key[order], place[order]
                 for k, name in enumerate(("doc", "line", "n", "bits", "more")):
                     rows[name] = some.column(k).to_numpy()[owner]
-                by = np.where(np.isin(rows["key"], busy), rows["doc"] + rows["line"], rows["key"]).astype(np.int64)
-                part = (mix64(by.view(np.uint64) + M1) % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                rows, ends = rows[order], np.cumsum(np.bincount(part, minlength=parts))
                 own = np.flatnonzero(np.diff(ends, prepend=0))
                 packed = [rows[e - c: e].tobytes() for e, c in zip(ends[own].tolist(), np.diff(ends, prepend=0)[own].tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(packed, pa.binary())], ["part", "rows"])
@@ -291,9 +316,8 @@ def meet(percent: int, busy: np.ndarray) -> Callable:
     that have more than BLOCK postings."""
     def found(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         rows = np.frombuffer(b"".join(columns[1]), RECORD)
+        rows = rows[np.argsort(rows["key"].astype(np.int64) << 32 | rows["n"])]
         size = rows["n"].astype(np.int64) << 32 | rows["place"]
-        order = np.lexsort((size, rows["key"]))
-        rows, size = rows[order], size[order]
         key = rows["key"].astype(np.int64)
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         count = np.diff(np.append(first, len(key)))
@@ -409,8 +433,10 @@ def open_pairs(percent: int, every: bool) -> Callable:
             first, then, apart = first[ok], then[ok], (differ / total)[ok]
             if every and len(first):
                 yield rows(first, then, apart)
-            more = apart < score[then]
-            best[then[more]], score[then[more]] = first[more], apart[more]
+            order = np.lexsort((apart, then))  # the closest one of each later class, which may meet several in a step
+            order = order[np.append(True, np.diff(then[order]) != 0)[: len(order)]]
+            order = order[apart[order] < score[then[order]]]
+            best[then[order]], score[then[order]] = first[order], apart[order]
         kept = np.flatnonzero(best >= 0)
         if not every and len(kept):
             yield rows(best[kept], kept, score[kept])
@@ -494,11 +520,14 @@ def line_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     own = numbered(docs, id_col, text_col)
     counts = rarity(docs, text_col)
-    lines = own.select("doc", "text").mapInArrow(describe(counts, percent), "doc long, line int, digest binary, n int, bits long, more long, prefix array<int>")
+    lines = own.select("doc", "text").mapInArrow(
+        describe(counts, percent, texts=True), "doc long, line int, digest binary, n int, bits long, more long, prefix array<int>, again boolean")
     lines = stored(lines, "lines")
-    classes = lines.groupBy("digest").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("rows"),
-                                          *[F.first(c).alias(c) for c in ("n", "bits", "more", "prefix")])
-    classes = stored(classes.select("digest", "first.doc", "first.line", "rows", "n", "bits", "more", "prefix"), "line-classes")
+    # lines of one digest differ in their places only; each text has one that is not there again, so the least document names the first
+    doc = F.when(~F.col("again"), F.col("doc"))
+    classes = lines.where("n > 0").groupBy("digest", "n", "bits", "more", "prefix").agg(
+        F.min(doc).alias("doc"), F.min_by("line", doc).alias("line"), F.count("*").alias("rows"))
+    classes = stored(classes.select("digest", "doc", "line", "rows", "n", "bits", "more", "prefix"), "line-classes")
     members = met(classes, percent)
 
     names = stored(members.select("doc", "line").distinct(), "meeting-lines")
@@ -521,13 +550,13 @@ def _by_document(own: DataFrame, lines: DataFrame, classes: DataFrame, gone: Dat
     ends = ends.where("rows > 1 or _gone").select("digest", "rows", F.col("doc").alias("_doc"), F.col("line").alias("_line"),
                                                   F.coalesce("_gone", F.lit(False)).alias("_gone"))
     ends = stored(ends, "line-ends")
-    rows = join_counted(lines.select("doc", "line", "digest"), ends, "digest", "rows", lines.count(), F.struct("doc", "line"))
-    rows = rows.where("_gone or doc <> _doc or line <> _line")
-    removed = rows.groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("removed"))
-    number = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0))
-    sizes = own.select("doc", "id", number.cast("long").alias("n_lines"), F.xxhash64("text").alias("digest")).join(removed, "doc", "left")
-    return sizes.select(F.col("id").alias(id_col), "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"),
-                        _copy("id", "digest", "doc"), "digest")
+    worded = lines.where("n > 0").select("doc", "line", "digest")
+    rows = join_counted(worded, ends, "digest", "rows", worded.count(), F.struct("doc", "line"))
+    rows = rows.where("_gone or doc <> _doc or line <> _line").select("doc", "line", F.lit(None).cast("int").alias("n_lines"))
+    rows = rows.unionByName(lines.where("n = 0").select("doc", F.lit(None).cast("int").alias("line"), F.col("line").alias("n_lines")))
+    removed = rows.groupBy("doc").agg(F.max("n_lines").cast("long").alias("n_lines"), F.array_sort(F.collect_set("line")).alias("removed"))
+    texts = own.select("doc", "id", F.xxhash64("text").alias("digest")).join(removed, "doc")
+    return texts.select(F.col("id").alias(id_col), "n_lines", "removed", _copy("id", "digest", "doc"), "digest")
 
 
 def _copy(id_col: str, digest: str | Column, *order: str | Column) -> Column:

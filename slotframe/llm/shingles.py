@@ -8,8 +8,7 @@ import numpy as np
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASE = np.uint64(0xD1342543DE82EF95)
-SPACE = np.zeros(256, bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
+SPAN = 1 << 15
 _rng = np.random.Generator(np.random.PCG64(2024))
 LETTER = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -32,19 +31,26 @@ def powers(n: int, base: np.uint64) -> np.ndarray:
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """A hash for each word of all texts, and how many words each text has. A-Z count as a-z; words are what lies between
     spaces and the control characters 9 to 13."""
-    joined = b" ".join(texts).lower() + b" "
-    raw = np.frombuffer(joined, np.uint8)
-    word = ~SPACE[raw]
+    raw = np.frombuffer(b" ".join(texts).lower() + b" ", np.uint8)
+    word = ((raw < 9) | (raw > 13)) & (raw != 32)
     edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
     begin, end = edge[::2], edge[1::2]
-    inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
+    hashed = (end - begin).astype(np.uint64) * M1
+    # sums are taken over SPAN bytes at a time, or one longer word: a word's hash is the same wherever the sum begins
+    cuts = np.unique(np.append(np.searchsorted(begin, np.arange(0, len(raw), SPAN)), len(begin)))
+    most = int((end[cuts[1:] - 1] - begin[cuts[:-1]]).max(initial=0))
+    power, back = powers(most, BASE), powers(most, np.uint64(pow(int(BASE), -1, 1 << 64)))
+    value, before = np.empty(most, np.uint64), np.zeros(most + 1, np.uint64)
     with np.errstate(over="ignore"):
-        value = np.cumsum(LETTER[raw] * powers(len(raw), BASE), dtype=np.uint64)
-        before = np.where(begin > 0, value[begin - 1], np.uint64(0))
-        hashed = (value[end - 1] - before) * powers(len(raw), inverse)[begin] + (end - begin).astype(np.uint64) * M1
+        for lo, hi in zip(cuts.tolist(), cuts[1:].tolist()):
+            at, n = begin[lo], int(end[hi - 1] - begin[lo])
+            np.take(LETTER, raw[at: at + n], out=value[:n], mode="clip")
+            value[:n] *= power[:n]
+            np.cumsum(value[:n], out=before[1: n + 1])
+            first = begin[lo:hi] - at
+            hashed[lo:hi] += (before[end[lo:hi] - at] - before[first]) * back[first]
     close = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
-    owner = np.searchsorted(close, begin, side="right")
-    return mix64(hashed), np.bincount(owner, minlength=len(texts))
+    return mix64(hashed), np.diff(np.searchsorted(begin, close), prepend=0)
 
 
 def shingle_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:

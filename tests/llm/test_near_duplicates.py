@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 from slotframe.llm import linededup, minhash
+from slotframe.llm import shingles as hashing
 from slotframe.llm.components import components
 
 
@@ -253,6 +254,56 @@ def test_long_lines_do_not_meet_by_chance():
     assert len(pairs[1]) < 60 and len(pairs[0]) > 10 * len(pairs[1])
 
 
+def test_texts_are_not_read_again_to_count_their_lines(spark, make_docs, tmp_path):
+    """The last step takes the numbers of lines from the first one, also of texts without words and of nulls."""
+    rows = [(1, "a b c\n\nx"), (2, "\n\n"), (3, None), (4, ""), (5, "x\nA b c\na b c\nx")]
+    make_docs([(*r, "en", "s") for r in rows]).write.parquet(str(tmp_path / "docs"))
+    found = linededup.line_matches(spark.read.parquet(str(tmp_path / "docs"))).select("doc_id", "n_lines", "removed")
+    assert {r.doc_id: (r.n_lines, r.removed) for r in found.collect()} == {1: (3, []), 2: (3, []), 3: (0, []), 4: (1, []), 5: (4, [0, 1, 2, 3])}
+    scans = [x for x in found._jdf.queryExecution().sparkPlan().toString().split("\n") if "FileScan" in x]
+    assert scans and not any("text#" in x for x in scans)
+
+
+def test_first_line_of_a_class_within_one_text(make_docs):
+    """Lines that one text has several times, before and after others have them: only the very first stays."""
+    rows = [(7, "one two three\nsame same words\nOne two three"), (3, "q r s\nwords same\nsame words\nq r s"), (None, "s r q\nnew")]
+    found = linededup.line_matches(make_docs([(*r, "en", "s") for r in rows]))
+    assert {r.doc_id: r.removed for r in found.collect()} == {7: [1, 2], 3: [2, 3], None: [0]}
+
+
+def test_pairs_that_places_rule_out_are_not_tried(monkeypatch):
+    """Of 600 classes that share only their last prefix word, each two would share too few words: no pair is looked at."""
+    tried, real = [], linededup.least_common
+    monkeypatch.setattr(linededup, "least_common", lambda n, m, percent: tried.append(len(n)) or real(n, m, percent))
+    rows, zero = 600, np.zeros(600, np.int64)
+    size = np.full(rows, 50 << 32 | 10)
+    columns = [zero, np.arange(rows), zero, size, zero, zero + linededup.BOTH]
+    assert list(linededup.meetings(columns, 80)) == [] and sum(tried) <= 2 * rows
+    columns[3] = size - 10
+    assert sum(len(a) for a, _ in linededup.meetings(columns, 80)) == rows * (rows - 1) // 2
+
+
+def test_words_have_one_hash_wherever_sums_begin(monkeypatch):
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choices("abCd\u00e9", k=rng.choice((1, 3, 70)))) for _ in range(rng.randrange(9))).encode() for _ in range(60)]
+    hashed, counts = hashing.word_hashes(texts)
+    alone = [hashing.word_hashes([t]) for t in texts]
+    assert counts.tolist() == [len(t.split()) for t in texts] == [int(c[0]) for _, c in alone]
+    assert hashed.tolist() == [v for h, _ in alone for v in h.tolist()]
+    for span in (1, 16):
+        monkeypatch.setattr(hashing, "SPAN", span)
+        assert hashing.word_hashes(texts)[0].tolist() == hashed.tolist()
+
+
+def test_equal_values_stay_in_order():
+    """With room for the places beside the values, and without."""
+    rng = np.random.default_rng(3)
+    for top in (5, 1 << 62):
+        values = rng.choice(np.array([0, 1, top // 2, top]), 500)
+        assert linededup.ordered(values).tolist() == np.argsort(values, kind="stable").tolist()
+    assert linededup.ordered(np.zeros(0, np.int64)).tolist() == []
+
+
 def test_lines_are_cut_out(make_docs):
     docs = make_docs([(1, "a b c\nkeep me\n", "en", "s"), (2, "x\nA B C\n\nA b c", "en", "s"), (None, "a b c\nnew", "en", "s"), (3, None, "en", "s")])
     got = linededup.remove_lines(docs, linededup.line_matches(docs)).collect()
